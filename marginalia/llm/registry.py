@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, packing, sharding
 from .common import table
+from .dedup import DigestIndex
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,5 +23,47 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe}
-ORACLES: dict[str, str] = {}
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = DigestIndex(spark).label(table(spark, sf_dir, "documents"))
+    return labels.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+OP2_SQL = """
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS h FROM documents
+), g AS (
+  SELECT *, first_value(doc_id) OVER (PARTITION BY h ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size FROM d
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM g
+"""
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), path, limit=4096, end_id=2, with_ids=False)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+SHARD_BYTES = 64 << 20
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+OP4_SQL = f"""
+WITH r AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes,
+         lpad(to_binary(CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15)) AS BIGINT)), 60, '0') AS bits
+  FROM documents
+), p AS (
+  SELECT doc_id, bytes, l AS depth, substr(bits, 1, l) AS shard FROM r, range(0, 61) t(l)
+), s AS (
+  SELECT shard, depth, CAST(sum(bytes) AS BIGINT) AS shard_bytes, count(*) AS shard_rows FROM p GROUP BY ALL
+)
+SELECT doc_id, bytes, shard, CAST(depth AS INT) AS depth, shard_bytes, shard_rows
+FROM p JOIN s USING (shard, depth) WHERE shard_bytes <= {SHARD_BYTES}
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1
+"""
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_exact_dedup": op2_exact_dedup, "op3_packing": op3_packing, "op4_sharding": op4_sharding}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op4_sharding": OP4_SQL}

@@ -1,0 +1,66 @@
+import hashlib
+import random
+from collections import defaultdict
+
+import pytest
+
+from marginalia.llm import registry, sharding
+
+from .oracle import same
+
+
+def brute(rows, limit):
+    """Split one bucket at a time, as a directory would."""
+    def bits(k):
+        return f"{int(hashlib.md5(('' if k is None else str(k)).encode()).hexdigest()[:15], 16):060b}"
+
+    out, open_ = {}, {"": [(bits(k), k, len((t or "").encode())) for k, t in rows]}
+    while open_:
+        p, held = open_.popitem()
+        if sum(b for *_, b in held) <= limit:
+            for _, k, b in held:
+                out[k] = (b, p, len(p), sum(b for *_, b in held), len(held))
+            continue
+        for bit in "01":
+            if part := [h for h in held if h[0].startswith(p + bit)]:
+                open_[p + bit] = part
+    return out
+
+
+@pytest.mark.parametrize("limit", [60, 300, 1000, 10**6])
+def test_against_brute_force(spark, limit):
+    rng = random.Random(limit)
+    rows = [(i, "é" * rng.randrange(25)) for i in range(400)] + [(None, None)]
+    docs = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id long, text string, shard int").repartition(3)
+    got = sharding.assign(docs, limit).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: (r.bytes, r.shard, r.depth, r.shard_bytes, r.shard_rows) for r in got} == brute(rows, limit)
+
+
+def test_repeated_keys_and_long_rows(spark):
+    rows = [(7, "x" * 10)] * 500 + [(i, "y" * 10) for i in range(50)] + [(99, "z" * 1000)] * 2
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), 100).collect()
+    assert len(got) == len(rows)
+    size = defaultdict(int)
+    for r in got:
+        size[r.shard] += r.bytes
+    assert all(size[r.shard] == r.shard_bytes for r in got)
+    assert all(n <= 100 or n == 1000 for n in size.values())
+
+
+def test_empty_table(spark):
+    assert sharding.assign(spark.createDataFrame([], "doc_id long, text string"), 100).count() == 0
+
+
+def test_written_shards(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "x" * (i % 30)) for i in range(200)], "doc_id long, text string")
+    sharding.write(docs, str(tmp_path / "out"), 400)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 200
+    assert max(r.n for r in back.groupBy("shard").agg({"text": "count"}).withColumnRenamed("count(text)", "n").collect()) > 1
+
+
+def test_query_against_sql(spark, monkeypatch):
+    monkeypatch.setattr(registry, "SHARD_BYTES", 50_000)
+    sql = registry.OP4_SQL.replace(str(64 << 20), "50000")
+    assert same(spark, registry.op4_sharding, sql, "/root/testdata/sf0.001") > 0
