@@ -15,7 +15,7 @@ import json
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -63,17 +63,6 @@ def merge(symbols: list[int], ranks: dict[int, int], merged: list[int], width: i
         a, b = tree[2 * i], tree[2 * i + 1]
         tree[i] = a if a < b else b
 
-    def update(i: int, value: int) -> None:
-        i += size
-        tree[i] = value
-        while i > 1:
-            other = tree[i ^ 1]
-            low = value if value < other else other
-            i >>= 1
-            if tree[i] == low:
-                return
-            tree[i] = value = low
-
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     while (root := tree[1]) != NO_PAIR:
         r, i = divmod(root, n)
@@ -81,18 +70,34 @@ def merge(symbols: list[int], ranks: dict[int, int], merged: list[int], width: i
         k = after[j]
         symbols[i], symbols[j] = merged[r], -1
         after[i] = k
-        if j < n - 1:
-            update(j, NO_PAIR)
+        here = before_here = NO_PAIR
         if k < n:
             before[k] = i
-            r = rank_of(symbols[i] * width + symbols[k])
-            update(i, NO_PAIR if r is None else r * n + i)
-        else:
-            update(i, NO_PAIR)
+            if (r := rank_of(symbols[i] * width + symbols[k])) is not None:
+                here = r * n + i
         h = before[i]
-        if h >= 0:
-            r = rank_of(symbols[h] * width + symbols[i])
-            update(h, NO_PAIR if r is None else r * n + h)
+        if h < 0:
+            h = i
+        else:
+            if (r := rank_of(symbols[h] * width + symbols[i])) is not None:
+                before_here = r * n + h
+            tree[size + h] = before_here
+        tree[size + i] = here
+        if j == n - 1:
+            j = i
+        else:
+            tree[size + j] = NO_PAIR
+        x, y, z = size + h, size + i, size + j  # up from the three leaves; their paths soon meet
+        while x > 1:
+            x, y, z = x >> 1, y >> 1, z >> 1
+            a, b = tree[2 * x], tree[2 * x + 1]
+            tree[x] = a if a < b else b
+            if y != x:
+                a, b = tree[2 * y], tree[2 * y + 1]
+                tree[y] = a if a < b else b
+            if z != y:
+                a, b = tree[2 * z], tree[2 * z + 1]
+                tree[z] = a if a < b else b
     return [s for s in symbols if s >= 0]
 
 
@@ -169,9 +174,13 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of each whole text in ``ids``."""
-    schema = with_fields(docs.schema, **{ids: T.ArrayType(T.IntegerType(), False)})
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with the token ids of each whole text in ``ids``.
+
+    With ``decoded`` the ids are decoded again at once, into a column of that name.
+    """
+    fields = {ids: T.ArrayType(T.IntegerType(), False)} | ({decoded: T.StringType()} if decoded else {})
+    schema = with_fields(docs.schema, **fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(path)
@@ -182,7 +191,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
                     known.encode(value, flat)
                 ends.append(len(flat))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32) if flat else [], pa.int32()))
-            yield put_columns(batch, **{ids: lists})
+            made = {ids: lists}
+            if decoded:
+                made[decoded] = pa.array([known.decode(flat[a:b]) for a, b in pairwise(ends)], pa.string())
+            yield put_columns(batch, **made)
 
     return docs.mapInArrow(run, schema)
 
