@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, sharding
-from .common import table
+from . import bpe, packing, quality, secrets, sharding, simhash, topk
+from .common import fold_column, table
 from .dedup import DigestIndex
 
 
@@ -65,5 +65,43 @@ FROM p JOIN s USING (shard, depth) WHERE shard_bytes <= {SHARD_BYTES}
 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_exact_dedup": op2_exact_dedup, "op3_packing": op3_packing, "op4_sharding": op4_sharding}
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op4_sharding": OP4_SQL}
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    count = {k: F.expr(f"size(filter(base, s -> s.kind = {n}))").cast("long") for n, k in enumerate(secrets.KINDS)}
+    return found.select(
+        "doc_id",
+        *(count[k].alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(secrets.spelled("base"), 256).alias("base_sha256"),
+        secrets.spelled("spans").alias("spans"),
+    )
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.label(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    held_out = fold_column("doc_id", quality.FOLDS) == quality.HELD_OUT
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=10, every=100, scale=1024)
+
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.v, d.v) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_packing, op4_sharding, op5_secrets, op8_simhash, op9_quality, op10_topk)}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op4_sharding": OP4_SQL, "op10_topk": OP10_SQL}
