@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, secrets, sharding, simhash, topk
+from . import bpe, lm, packing, quality, secrets, sharding, simhash, topk
 from .common import fold_column, table
 from .dedup import DigestIndex
 
@@ -76,6 +76,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.label(table(spark, sf_dir, "documents"))
 
@@ -103,5 +107,5 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY rank <= 10
 """
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_packing, op4_sharding, op5_secrets, op8_simhash, op9_quality, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_packing, op4_sharding, op5_secrets, op6_lm_score, op8_simhash, op9_quality, op10_topk)}
 ORACLES = {"op2_exact_dedup": OP2_SQL, "op4_sharding": OP4_SQL, "op10_topk": OP10_SQL}
