@@ -1 +1 @@
-
+"""Column functions: text, markdown, identity."""

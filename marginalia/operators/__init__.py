@@ -1 +1 @@
-
+"""DataFrame operators: chunking, embedding, search, selection, context, evaluation."""

@@ -1 +1 @@
-
+"""Configuration, staging of intermediate tables, and composed pipelines."""

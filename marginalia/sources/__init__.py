@@ -1 +1 @@
-
+"""Sources and sinks: files, notes, indexes, caches, dumps."""

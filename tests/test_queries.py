@@ -1,0 +1,23 @@
+import pytest
+
+import __spark_entry__
+from marginalia import registry
+
+from .oracle import same
+
+D = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_query_against_sql(spark, name):
+    assert same(spark, registry.QUERIES[name], registry.ORACLES[name], D) > 0
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
+def test_query_gives_rows(spark, name):
+    assert registry.QUERIES[name](spark, D).count() > 0
+
+
+def test_entry(spark):
+    assert __spark_entry__.entry(spark).count() > 0
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
