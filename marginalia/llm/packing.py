@@ -14,7 +14,9 @@ gives no rows; other columns are left out of the pieces.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,14 +32,17 @@ from marginalia.plans.staging import stage
 from .common import text_blocks
 
 GROUP_PIECES = 2048
-MEMO_WORDS = 1 << 18
+MEMO_WORDS = 1 << 20
+#: Letters of the first Unicode blocks and a stop, where the library's rules surely part the two.
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[,.]").fullmatch
 
 
 class WordIds:
     """Token ids of words, each tokenised once until the bounded memo is full.
 
     The vocabulary drops white space and no token spans it, so a text's ids are those of its
-    words in turn.
+    words in turn. Letters and a comma or full stop after them are tokens apart too, so a plain
+    word is known with either.
     """
 
     def __init__(self, path: str):
@@ -47,17 +52,24 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.memo: dict[str, np.ndarray] = {}
-
-    def of(self, words: list[str]) -> list[np.ndarray]:
-        new = [w for w in words if w not in self.memo]
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo, new = {}, words
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[w] = np.array(e.ids, dtype=np.int32)
-        return [self.memo[w] for w in words]
+        self.memo: dict[str, bytes] = {}
+        self.stops = dict(zip(",.", self.encode([",", "."]), strict=True))
+
+    def encode(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of each word, four bytes each."""
+        for lo in range(0, len(words), 4096):
+            for e in self.library.encode_batch_fast(words[lo : lo + 4096], add_special_tokens=False):
+                yield array("i", e.ids).tobytes()
+
+    def of(self, words: list[str]) -> list[bytes]:
+        stops, memo = self.stops, self.memo
+        cut = [w[:-1] if w[-1:] in stops and PLAIN(w) else w for w in words]
+        new = list({w for w in cut if w not in memo})
+        if len(memo) + len(new) > MEMO_WORDS:
+            memo.clear()
+            new = list(set(cut))
+        memo.update(zip(new, self.encode(new), strict=True))
+        return [memo[c] if len(c) == len(w) else memo[c] + stops[w[-1]] for c, w in zip(cut, words, strict=True)]
 
 
 @lru_cache(maxsize=4)
@@ -66,13 +78,18 @@ def word_ids(path: str) -> WordIds:
 
 
 def tokenise(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of ``texts`` in a row, and where each text begins and ends in them."""
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    """All ids of ``texts`` in a row, and where each text begins and ends in them.
+
+    A-Z are lowered before words are told apart, as the vocabulary does, but not where that
+    could spell one of its special tokens.
+    """
+    texts = pc.fill_null(texts, "")
+    lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
     words = lists.flatten().dictionary_encode()
     codes = words.indices.to_numpy(zero_copy_only=False)
     ids = word_ids(path).of(words.dictionary.to_pylist())
-    counts = np.array([len(x) for x in ids], dtype=np.int64)
-    flat = np.concatenate([*ids, np.empty(0, np.int32)])
+    counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    flat = np.frombuffer(b"".join(ids), np.int32)
     first = np.cumsum(counts) - counts
     lengths = counts[codes]
     ends = np.cumsum(lengths)
@@ -91,7 +108,7 @@ def token_pieces(docs: DataFrame, path: str, limit: int = 4096, end_id: int = 2,
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *T.StructType.fromDDL(fields).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_blocks(batches, "text"):
+        for batch in text_blocks(batches, "text", 8 << 20):
             ids, bounds = tokenise(batch.column("text"), path)
             row, out, held = [], [], []
             for i in range(batch.num_rows):

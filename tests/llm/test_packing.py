@@ -48,7 +48,7 @@ def whole(rows, limit):
 
 def test_pieces_hold_each_id_once(spark):
     rng = random.Random(4)
-    texts = [None, "", " \n", "Hello World", "it's ΑΣ ΑΣΑ", "a　b\x1cc\x85d", "x<|endoftext|>y", "é é", "word " * 900, "z" * 3000] + [
+    texts = [None, "", " \n", "Hello World", "it's ΑΣ ΑΣΑ", "a　b\x1cc\x85d", "x<|endoftext|>y", "é é", "<|ENDOFTEXT|> A", "É, É. ñ., s. x's, Ab.c, ,. A1. ß, ÀÉ,", "word " * 900, "z" * 3000] + [
         " ".join(rng.choice(["foo", "Bar!", "日本", "12", "don't"]) for _ in range(rng.randrange(80))) for _ in range(100)
     ]
     rows = [(i, t, 1) for i, t in enumerate(texts)] + [(5, texts[5], 1), (None, "abc", 1)]
