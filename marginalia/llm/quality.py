@@ -163,9 +163,9 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> Machin
     return model
 
 
-def _inputs(docs: DataFrame, doc_id: str, text: str, *more: str) -> DataFrame:
+def _inputs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     told = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), told.alias("n_chars"), *more)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), told.alias("n_chars"))
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Machine:
@@ -189,9 +189,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return fit(rows)
 
 
-def score(docs: DataFrame, model: Machine, doc_id: str = "doc_id", text: str = "text", *more: str) -> DataFrame:
-    """doc_id, score (0 to 1) and predicted of each row, with the columns ``more``."""
-    inputs = _inputs(docs, doc_id, text, *more)
+def score(docs: DataFrame, model: Machine, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, score (0 to 1) and predicted of each row."""
+    inputs = _inputs(docs, doc_id, text)
     kept = [f for f in inputs.schema.fields if f.name not in ("text", "n_chars")]
     schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
@@ -207,10 +207,13 @@ def score(docs: DataFrame, model: Machine, doc_id: str = "doc_id", text: str = "
 
 
 def keep(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the model accepts, with their columns.
+    """The rows of ``docs`` that the model accepts, with their columns: a filter of each batch, without a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, doc_id, text))  # a fixed number of weights
 
-    ``docs`` has to give the same rows in the same order each time it is read, as a table does.
-    """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    good = score(numbered, train(docs, labels, doc_id, text), doc_id, text, "_row").where("predicted = 1")
-    return numbered.join(good.select("_row"), "_row", "left_semi").drop("_row")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_blocks(batches, text, 1 << 20):
+            told = batch.column("n_chars") if "n_chars" in batch.schema.names else pa.nulls(batch.num_rows, pa.float64())
+            scores = sigmoid(shared.value.raw(*features(batch.column(text), told)).astype(np.float64))
+            yield batch.filter(pa.array(scores >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)

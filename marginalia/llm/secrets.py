@@ -69,14 +69,14 @@ def _telling(match: F.Column) -> F.Column:
     return F.regexp_like(match, F.lit("[0-9]")) & F.regexp_like(match, F.lit("[a-z]")) & F.regexp_like(match, F.lit("[A-Z]"))
 
 
+def _base(whole: F.Column) -> list[F.Column]:
+    return [found(whole, ASSIGN, 0, lambda m: F.regexp_like(m, F.lit(LONG_VALUE))), found(whole, ACCESS, 1), found(whole, HEX, 2)]
+
+
 def _parts(docs: DataFrame, doc_id: str, text: str, row: F.Column) -> DataFrame:
     """doc_id, row, base spans and weak candidates of each text. Candidates need an access identifier in the text."""
     whole = text_or_empty(text)
-    base = [
-        found(whole, ASSIGN, 0, lambda m: F.regexp_like(m, F.lit(LONG_VALUE))),
-        found(whole, ACCESS, 1),
-        found(whole, HEX, 2),
-    ]
+    base = _base(whole)
     weak = F.concat(found(whole, KEY, 3, _telling), found(whole, ENDPOINT, 4))
     weak = F.when(F.contains(whole, F.lit("AKIA")), weak).otherwise(F.array().cast(SPAN))
     return docs.select(F.col(doc_id).alias("doc_id"), row.alias("row"), F.array_sort(F.concat(*base)).alias("base"), weak.alias("weak"))
@@ -132,16 +132,8 @@ def spelled(spans: str) -> F.Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, mark: str = "[secret]", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with every span of its texts replaced by ``mark``; overlapping spans become one.
-
-    Texts without spans stay as they are, null included. ``docs`` has to give the same rows in
-    the same order each time it is read, as a table does.
-    """
-    row = "_row"
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    spans = _scanned(_parts(numbered, doc_id, text, F.col(row))).where(F.size("spans") > 0).select(F.col("row").alias(row), F.col("spans").alias("_spans"))
-    whole = F.col(text)
+def _blanked(whole: F.Column, spans: str | F.Column, mark: str) -> F.Column:
+    """``whole`` with its ``spans``, sorted by start, replaced; overlapping ones become one."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: F.Column, s: F.Column) -> F.Column:
@@ -149,6 +141,22 @@ def redact(docs: DataFrame, mark: str = "[secret]", doc_id: str = "doc_id", text
         out = F.when(fresh, F.concat(acc["out"], F.substring(whole, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.length(whole))))
-    joined = numbered.join(spans, row, "left")
-    return joined.select(*[F.when(F.col("_spans").isNull(), whole).otherwise(clean).alias(c) if c == text else F.col(c) for c in docs.columns])
+    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.length(whole))))
+
+
+def redact(docs: DataFrame, mark: str = "[secret]", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with every span of its texts replaced by ``mark``; overlapping spans become one.
+
+    Texts without spans stay as they are, null included. Only texts that hold an access identifier can have
+    linked spans, so only these are joined with them; all others are cleaned where they are read. ``docs`` has
+    to give the same rows in the same order each time it is read, as a table does.
+    """
+    row, whole = "_row", F.col(text)
+    joins = F.coalesce(F.contains(whole, F.lit("AKIA")), F.lit(False))
+    some = docs.where(joins).withColumn(row, F.monotonically_increasing_id())
+    spans = _scanned(_parts(some, doc_id, text, F.col(row))).where(F.size("spans") > 0).select(F.col("row").alias(row), F.col("spans").alias("_spans"))
+    linked = some.join(spans, row, "left")
+    alone = docs.where(~joins).withColumn("_spans", F.array_sort(F.concat(*_base(text_or_empty(text)))))
+    clean = F.when(F.coalesce(F.size("_spans"), F.lit(0)) > 0, _blanked(whole, "_spans", mark)).otherwise(whole)
+    put = lambda df: df.select(*[clean.alias(c) if c == text else F.col(c) for c in docs.columns])
+    return put(alone).union(put(linked))
