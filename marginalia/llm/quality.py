@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from .common import fold_column, text_blocks
 
 BUCKETS, STEPS, RANK = 1 << 14, 16, 8
-SAMPLE, EPOCHS, BATCH, RATE, DECAY = 6000, 6, 64, 0.03, 2e-5
+SAMPLE, EPOCHS, BATCH, RATE, DECAY = 6000, 6, 32, 0.1, 2e-5
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.7
 #: Character classes by byte of UTF-8: upper, lower, digit, space, line end, other ASCII, beyond ASCII.
 CLASSES = 7
@@ -67,6 +67,7 @@ def features(texts: pa.Array, n_chars: pa.Array) -> tuple[np.ndarray, np.ndarray
     row = np.repeat(np.arange(n), np.diff(bounds))
     row, codes = row[real[codes]], codes[real[codes]]
     tokens = np.bincount(row, minlength=n)
+    again = np.bincount(row[1:][(codes[1:] == codes[:-1]) & (row[1:] == row[:-1])], minlength=n)
     pairs, counts = np.unique(row * BUCKETS + bucket[codes], return_counts=True)
     at, which = np.divmod(pairs, BUCKETS)
     value = np.log1p(counts)
@@ -89,12 +90,12 @@ def features(texts: pa.Array, n_chars: pa.Array) -> tuple[np.ndarray, np.ndarray
         [
             *(count[:, k] / total for k in range(CLASSES)),  # 7
             count[:, 0] / letters,
-            np.log1p(size) / 12,
-            np.log1p(told) / 12,
+            np.minimum(told, length) / np.maximum(np.maximum(told, length), 1),
+            again / some,
             np.log1p(tokens) / 10,
             size / some / 20,
-            distinct / some,
-            most / some,
+            1 - distinct / some,
+            np.maximum(most - 1, 0) / some,
             count[:, 5] / some / 4,
             np.log1p(tokens / lines) / 8,
         ],
