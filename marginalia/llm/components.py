@@ -2,7 +2,8 @@
 
 Alternating large-star and small-star rounds (Kiveris et al., "Connected Components in
 MapReduce and Beyond"): each is a minimum per node, combined before the shuffle, and a join
-on the node, which AQE splits for hubs. Each round is written to the shared folder.
+on the node. Minima and rounds are written to the shared folder, so both sides of a join are
+scans with a shuffle each, and AQE can split a hub.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     mark = _mark(now)
     while True:
         both = now.select("u", "v").union(now.select(F.col("v"), F.col("u")))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("u", "low"))
+        low = stage(both.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("u", "low")), "links-low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
         large = stage(large, "links-large")
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
+        low = stage(large.groupBy("u").agg(F.min("v").alias("low")), "links-low")
         small = large.join(low, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
         now = stage(small.union(low.select("u", F.col("low").alias("v"))).distinct(), "links-small")
         last, mark = mark, _mark(now)

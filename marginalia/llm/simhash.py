@@ -144,7 +144,7 @@ def components(rows: DataFrame) -> DataFrame:
     linked = connected_components(links(distinct))
     joined = distinct.join(linked, distinct.fp == linked.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     joined = stage(joined, "simhash-components")
-    lowest = joined.groupBy("component").agg(F.min("low").alias("component_id"))
+    lowest = stage(joined.groupBy("component").agg(F.min("low").alias("component_id")), "simhash-lowest")
     by_fp = stage(joined.join(lowest, "component").select("fp", "component_id"), "simhash-classes")
     return rows.join(by_fp, "fp")
 
