@@ -92,6 +92,22 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(nodes, paths, path)
 
 
+OP7_SQL = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{NASTY}' UNION ALL SELECT -1, 1, 'assistant', '{NASTY}'
+), e AS (
+  SELECT *, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS said,
+         regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g') AS head FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('<|im_start|>' || head || chr(10) || said || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.label(table(spark, sf_dir, "documents"))
 
@@ -120,4 +136,4 @@ FROM s QUALIFY rank <= 10
 """
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_packing, op4_sharding, op5_secrets, op6_lm_score, op7_chat_format, op8_simhash, op9_quality, op10_topk)}
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op4_sharding": OP4_SQL, "op10_topk": OP10_SQL}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op4_sharding": OP4_SQL, "op7_chat_format": OP7_SQL, "op10_topk": OP10_SQL}

@@ -98,3 +98,18 @@ def test_query_against_brute_force(spark):
     rows = [(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"{d}/conversations.parquet").collect()]
     got = registry.op7_chat_format(spark, d).collect()
     assert plain(got) == brute([*rows, (-1, 0, "user", NASTY), (-1, 1, "assistant", NASTY)])
+
+
+def test_query_against_sql(spark, tmp_path):
+    import shutil
+
+    from .oracle import TABLES, same
+
+    assert same(spark, registry.op7_chat_format, registry.OP7_SQL, "/root/testdata/sf0.001") > 0
+    for t in TABLES:
+        if t != "conversations":
+            shutil.copy(f"/root/testdata/sf0.001/{t}.parquet", tmp_path)
+    spark.createDataFrame([(c, t, r, x) for c, t, r, x in rows_with_shared_turns() if c is not None and t is not None], "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "out"))
+    (part,) = (tmp_path / "out").glob("*.parquet")
+    part.rename(tmp_path / "conversations.parquet")
+    assert same(spark, registry.op7_chat_format, registry.OP7_SQL, str(tmp_path)) > 100
