@@ -76,6 +76,36 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _sql_spans(kind: int, pattern: str, good: str = "true") -> str:
+    """Rows (doc_id, kind, start, stop) of a pattern's matches, from what lies between them."""
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    return f"""
+    SELECT doc_id, {kind} AS kind, CAST(place AS BIGINT) AS start, CAST(place + length(hit) AS BIGINT) AS stop FROM (
+      SELECT doc_id, hit, coalesce(sum(length(hit)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + sum(length(gap)) OVER (PARTITION BY doc_id ORDER BY i) AS place
+      FROM (SELECT doc_id, unnest(regexp_extract_all(t, {quoted})) AS hit, unnest(list_slice(string_split_regex(t, {quoted}), 1, -2)) AS gap, unnest(range(0, len(regexp_extract_all(t, {quoted})))) AS i FROM d)
+    ) WHERE {good}"""
+
+
+_NEAR = "(SELECT 1 FROM parts p WHERE p.doc_id = w.doc_id AND abs(p.start - w.start) <= {} AND p.kind IN {})"
+_NAMES = "CASE kind " + " ".join(f"WHEN {n} THEN '{k}'" for n, k in enumerate(secrets.KINDS)) + " END || ':' || start || ':' || stop"
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({_sql_spans(0, secrets.ASSIGN, f"regexp_matches(hit, '{secrets.LONG_VALUE}')")} UNION ALL {_sql_spans(1, secrets.ACCESS)} UNION ALL {_sql_spans(2, secrets.HEX)}),
+weak AS (SELECT * FROM ({_sql_spans(3, secrets.KEY, "regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[A-Z]')")} UNION ALL {_sql_spans(4, secrets.ENDPOINT)})
+         WHERE doc_id IN (SELECT doc_id FROM d WHERE contains(t, 'AKIA'))),
+parts AS (SELECT * FROM base UNION ALL SELECT * FROM weak),
+bridge AS (SELECT * FROM weak w WHERE kind = 4 AND EXISTS {_NEAR.format(secrets.SCOPE, "(1)")}),
+linked AS (
+  SELECT * FROM weak w WHERE EXISTS {_NEAR.format(secrets.SCOPE, "(1)")} AND (kind = 3 OR EXISTS {_NEAR.format(secrets.SCOPE, "(0, 2, 3)")})
+  UNION SELECT * FROM weak w WHERE kind = 3 AND EXISTS (SELECT 1 FROM bridge b WHERE b.doc_id = w.doc_id AND abs(b.start - w.start) <= {secrets.SCOPE})
+),
+b AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg({_NAMES}, ',' ORDER BY start, kind) AS spelled FROM base GROUP BY doc_id),
+s AS (SELECT doc_id, string_agg({_NAMES}, ',' ORDER BY start, kind) AS spelled FROM (SELECT * FROM base UNION ALL SELECT * FROM linked) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b.spelled, '')) AS base_sha256, coalesce(s.spelled, '') AS spans
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -136,4 +166,4 @@ FROM s QUALIFY rank <= 10
 """
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_packing, op4_sharding, op5_secrets, op6_lm_score, op7_chat_format, op8_simhash, op9_quality, op10_topk)}
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op4_sharding": OP4_SQL, "op7_chat_format": OP7_SQL, "op10_topk": OP10_SQL}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op4_sharding": OP4_SQL, "op5_secrets": OP5_SQL, "op7_chat_format": OP7_SQL, "op10_topk": OP10_SQL}

@@ -5,7 +5,7 @@ identifiers, and long hex runs. A credential often has several parts, of which s
 evidence alone: a bare key-like token, or an endpoint. Such candidates are reported only when
 complementary parts lie within SCOPE code points of them in the same text:
 
-* ``key``: a token of 32 or more base64 characters that holds a digit, a lower-case and an
+* ``key``: a run of 32 or more base64 characters that holds a digit, a lower-case and an
   upper-case letter, near an access identifier or near an endpoint that itself is near one;
 * ``endpoint``: a URL or host of a known service form, near both an access identifier and
   a secret (an assignment, hex run or key candidate).
@@ -36,7 +36,7 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 LONG_VALUE = r"[A-Za-z0-9+/_.=-]{12}$"
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-KEY = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{32,}(?![A-Za-z0-9+/_-])"
+KEY = r"[A-Za-z0-9+/_-]{32,}"
 ENDPOINT = r"(?:https?://[A-Za-z0-9._~:/?#@!$&*+,;=%-]{4,}|[a-z0-9][a-z0-9.-]*\.(?:amazonaws\.com|cloud\.internal|storage\.example\.com))"
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
