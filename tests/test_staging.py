@@ -1,0 +1,12 @@
+import os
+
+from marginalia.plans import staging
+
+
+def test_stage_and_clear(spark):
+    df = staging.stage(spark.range(5), "t")
+    assert df.count() == 5 and df.columns == ["id"]
+    path = staging.new_path(spark, "u").removeprefix("file://")
+    spark.range(1).write.parquet(path)
+    staging.clear(spark)
+    assert not os.path.exists(path) and os.path.isdir(staging.shared_dir(spark).removeprefix("file://"))
