@@ -1,8 +1,8 @@
 """Filtered exact similarity search.
 
-One query is a projection and a top-k, all in the JVM. Query sets go in blocks of a fixed number
-against all rows: each batch of rows scores a block in one product and keeps its k best per
-query, so only these are shuffled.
+One query is a projection and a top-k, all in the JVM. Query sets go against all rows a
+fixed number at a time: each batch of rows scores them in blocks, a product each, and keeps its k
+best per query, so only these are shuffled.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries sent to each task at once, and digits to which scores are compared.
-BLOCK, DIGITS = 1024, 6
+#: Queries sent along with one scan, queries scored at once, and digits to which scores are compared.
+PASS, BLOCK, DIGITS = 16384, 256, 6
 
 
 def norm(v: Column) -> Column:
@@ -47,26 +47,34 @@ def search(rows: DataFrame, query: list[float], k: int, filters: dict[str, objec
 def search_all(rows: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str = "vector", qid: str = "qid", query_vector: str = "query_vector") -> DataFrame:
     """(qid, id, score, rank) of the ``k`` rows nearest to each query; ties go to the smaller id.
 
-    ``queries`` is a stated set; it is read in blocks of BLOCK, so a task never holds more.
+    ``queries`` is a stated set; PASS of them share a scan, so a task never holds more.
     """
     id_type = rows.schema[id_col].dataType.simpleString()
     q_type = queries.schema[qid].dataType.simpleString()
     schema = f"{qid} {q_type}, {id_col} {id_type}, score double"
     data = rows.select(id_col, F.col(vector).cast("array<double>").alias("_v"))
     found = None
-    for block in _blocks(queries.select(qid, F.col(query_vector).cast("array<double>").alias("_q"))):
+
+    def _best(ids: list, scores: np.ndarray, names: np.ndarray) -> pd.DataFrame:
+        owner, place = [], []
+        for n, s in enumerate(scores):
+            some = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]) if len(s) > k else np.arange(len(s))
+            best = some[np.lexsort((names[some], -s[some]))[:k]]
+            owner += [n] * len(best)
+            place += best.tolist()
+        return pd.DataFrame({qid: [ids[n] for n in owner], id_col: names[place], "score": scores[owner, place]})
+
+    wanted = queries if k > 0 else queries.limit(0)
+    for block in _blocks(wanted.select(qid, F.col(query_vector).cast("array<double>").alias("_q"))):
         ids = [r[qid] for r in block]
         shared = rows.sparkSession.sparkContext.broadcast(_unit(np.array([r["_q"] for r in block], float)))
 
         def run(frames: Iterator[pd.DataFrame], ids: list = ids, shared=shared) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 if len(frame):
-                    scores = np.round(shared.value @ _unit(np.stack(frame["_v"].to_numpy())).T, DIGITS)
-                    names = frame[id_col].to_numpy()
-                    for i, s in zip(ids, scores, strict=True):
-                        some = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]) if len(s) > k else np.arange(len(s))
-                        best = some[np.lexsort((names[some], -s[some]))[:k]]
-                        yield pd.DataFrame({qid: [i] * len(best), id_col: names[best], "score": s[best]})
+                    x, names = _unit(np.stack(frame["_v"].to_numpy())), frame[id_col].to_numpy()
+                    for lo in range(0, len(ids), BLOCK):
+                        yield _best(ids[lo : lo + BLOCK], np.round(shared.value[lo : lo + BLOCK] @ x.T, DIGITS), names)
 
         part = data.mapInPandas(run, schema)
         found = part if found is None else found.union(part)
@@ -80,7 +88,7 @@ def _blocks(queries: DataFrame) -> Iterator[list]:
     held = []
     for row in queries.toLocalIterator():
         held.append(row)
-        if len(held) == BLOCK:
+        if len(held) == PASS:
             yield held
             held = []
     if held:

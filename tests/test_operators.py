@@ -53,6 +53,7 @@ def test_filter_none_meets_missing(spark):
 
 def test_search_all_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(search, "BLOCK", 3)
+    monkeypatch.setattr(search, "PASS", 7)
     rng = np.random.default_rng(1)
     x = rng.integers(-2, 3, (60, 4)).astype(float)
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartition(4)
@@ -61,7 +62,7 @@ def test_search_all_in_blocks(spark, monkeypatch):
     s = np.round(u[:10] @ u.T, 6)
     want = {(q, r + 1, i) for q in range(10) for r, i in enumerate(sorted(range(60), key=lambda i: (-s[q, i], i))[:7])}
     assert {(r.qid, r["rank"], r.id) for r in search.search_all(rows, queries, 7, "id").collect()} == want
-    assert search.search_all(rows, queries.limit(0), 7, "id").count() == 0
+    assert search.search_all(rows, queries.limit(0), 7, "id").count() == search.search_all(rows, queries, 0, "id").count() == 0
 
 
 def brute_mmr(q, vs, k, lam):
