@@ -37,7 +37,7 @@ from .common import fold, text_blocks
 
 FOLDS, HELD_OUT = 5, 1
 ROUNDS, PRIOR, RANK_SHIFT = 2, 1000.0, 10.0
-BLOCK_BYTES, WORD_BATCH = 8 << 20, 8192
+BLOCK_BYTES, WORD_BATCH = 16 << 20, 8192
 MARK = "▁"
 LOG10 = np.log(10)
 
@@ -173,9 +173,19 @@ def marked(words: list[str]) -> list[str]:
     return [MARK + w for w in words]
 
 
+def planes(codes: np.ndarray) -> bytes:
+    """Whole numbers byte by byte, all lowest bytes first. Most are small, so the other planes compress to little."""
+    return np.ascontiguousarray(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 def blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Documents by block: their ids and folds, their words as numbers, and the block's word list with training counts."""
-    schema = "block string, ids array<long>, held array<boolean>, bounds array<int>, codes array<int>, words array<string>, trained array<long>"
+    """Documents by block: their ids and folds, their words as numbers (see planes), and the block's word list,
+    frequent words first, with training counts."""
+    schema = "block long, ids array<long>, held array<boolean>, bounds array<int>, codes binary, words array<string>, trained array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -188,12 +198,19 @@ def blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             bounds = before[offsets - offsets[0]]
             coded = flat.filter(real).dictionary_encode()
             codes = coded.indices.to_numpy(zero_copy_only=False)
+            common = np.argsort(-np.bincount(codes, minlength=len(coded.dictionary)), kind="stable")
+            place = np.empty_like(common)
+            place[common] = np.arange(len(common))
+            codes = place[codes]
             ids = batch.column("doc_id").to_pylist()
             held = np.array([fold(i, FOLDS) == HELD_OUT for i in ids])
-            trained = np.bincount(codes, np.repeat(~held, np.diff(bounds)), len(coded.dictionary)).astype(np.int64)
-            row = {"block": [f"{part}-{n}"], "ids": [ids], "held": [held], "bounds": [bounds.astype(np.int32)], "codes": [codes.astype(np.int32)], "words": [coded.dictionary.to_pylist()], "trained": [trained]}
-            kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row.values(), kinds, strict=True)], names=list(row))
+            trained = np.bincount(codes, np.repeat(~held, np.diff(bounds)), len(common)).astype(np.int64)
+            offset = pa.array([0, len(common)], pa.int32())
+            columns = {
+                "block": pa.array([part << 32 | n], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())), "held": pa.array([held], pa.list_(pa.bool_())), "bounds": pa.array([bounds.astype(np.int32)]),
+                "codes": pa.array([planes(codes)], pa.binary()), "words": pa.ListArray.from_arrays(offset, coded.dictionary.take(pa.array(common))), "trained": pa.ListArray.from_arrays(offset, pa.array(trained)),
+            }
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -259,7 +276,7 @@ def score(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
         values = np.stack([np.log10(c + 0.5) - below, lp / LOG10, c > 0], axis=1)
         out = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
         for n in range(texts.num_rows):
-            bounds, codes = (texts[k][n].values.to_numpy() for k in ("bounds", "codes"))
+            bounds, codes = texts["bounds"][n].values.to_numpy(), from_planes(texts["codes"][n].as_py())
             sums = np.zeros((len(bounds) - 1, 3))
             some = np.flatnonzero(np.diff(bounds))
             if len(some):
