@@ -32,7 +32,7 @@ from marginalia.plans.staging import stage
 from .common import text_blocks
 
 GROUP_PIECES = 2048
-MEMO_WORDS = 1 << 20
+MEMO_WORDS = 1 << 19
 #: Letters of the first Unicode blocks and a stop, where the library's rules surely part the two.
 PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[,.]").fullmatch
 
