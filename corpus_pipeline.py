@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import packing, quality, secrets, simhash
+from marginalia.llm import near, packing, quality, secrets
 from marginalia.llm.common import table
 from marginalia.llm.dedup import DigestIndex
 from marginalia.plans.staging import stage
@@ -31,8 +31,8 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return simhash.keep(docs)
+    """Of near copies (close fingerprints, or five-word shingles that are 0.8 alike) the document with the smallest id stays."""
+    return near.keep(docs)
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,22 +42,28 @@ GOLAY = 0b110001110101
 VOTE_ROWS = 1 << 15
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of the word shingles, repeats included."""
+def shingle_hashes(text: str | None, shingle: int) -> list[int]:
+    """A hash of each word shingle in order, repeats included; of the whole sequence where it has fewer words."""
     words = (text or "").encode().lower().split()  # of bytes: A-Z only, and white space \x20 \x09-\x0D only
     if not words:
-        return 0
+        return []
     n = len(words) - shingle + 1
     if n <= 1:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
-    else:
-        whole, ends, at = b" ".join(words), [], -1
-        for w in words:
-            at += len(w) + 1
-            ends.append(at)
-        starts = [0, *(e + 1 for e in ends)]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(whole[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :])]
+        return [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
+    whole, ends, at = b" ".join(words), [], -1
+    for w in words:
+        at += len(w) + 1
+        ends.append(at)
+    starts = [0, *(e + 1 for e in ends)]
+    digest = xxhash.xxh64_intdigest
+    return [digest(whole[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :])]
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash of the word shingles, repeats included."""
+    hashes = shingle_hashes(text, shingle)
+    if not hashes:
+        return 0
     packed = np.array(hashes, dtype="<u8")
     votes = np.zeros(64, dtype=np.int64)
     for lo in range(0, len(packed), VOTE_ROWS):
@@ -155,12 +161,17 @@ def label(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def first_rows(numbered: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``_row`` of the row with the smallest id of each component of ``numbered``, a table with ``_row``."""
+    found = components(fingerprints(numbered, doc_id, text))
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("best"))
+    return first.select(F.col("best._row").alias("_row"))
+
+
 def keep(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with the smallest id of each component, one each, with their columns.
 
     ``docs`` has to give the same rows in the same order each time it is read, as a table does.
     """
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = components(fingerprints(numbered, doc_id, text))
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("best"))
-    return numbered.join(first.select(F.col("best._row").alias("_row")), "_row", "left_semi").drop("_row")
+    return numbered.join(first_rows(numbered, doc_id, text), "_row", "left_semi").drop("_row")
