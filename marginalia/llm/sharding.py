@@ -41,8 +41,13 @@ def prefix(bits: str, n: int | F.Column) -> F.Column:
 
 def assign(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, bytes, shard, depth (bits in use), shard_bytes, shard_rows."""
+    return _assign(docs, limit, key, text, F.monotonically_increasing_id()).drop("row").withColumnRenamed("key", key)
+
+
+def _assign(docs: DataFrame, limit: int, key: str, text: str, row: F.Column) -> DataFrame:
+    """See assign; the key is named ``key``, and ``row`` tells rows of one key apart."""
     size = F.octet_length(text_or_empty(text)).cast("long")
-    rows = stage(docs.select(F.col(key).alias("key"), size.alias("bytes"), bits_of(F.col(key)).alias("bits"), F.monotonically_increasing_id().alias("row")), "shard-rows")
+    rows = stage(docs.select(F.col(key).alias("key"), size.alias("bytes"), bits_of(F.col(key)).alias("bits"), row.alias("row")), "shard-rows")
     done, left, depth = [], rows.where(F.col("bytes") <= limit), 0
     while True:
         total = left.agg(F.sum("bytes")).first()[0]
@@ -53,7 +58,7 @@ def assign(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text")
         cells = left.groupBy(prefix("bits", to).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
         directory = stage(_directory(cells, depth, to, limit), "shard-directory")
         found = left.join(directory, prefix("bits", to) == F.col("cell"), "left")
-        done.append(found.where("shard IS NOT NULL").select("key", "bytes", "shard", "depth", "shard_bytes", "shard_rows"))
+        done.append(found.where("shard IS NOT NULL").select("row", "key", "bytes", "shard", "depth", "shard_bytes", "shard_rows"))
         if directory.where("shard IS NULL").isEmpty():
             break
         left = stage(found.where("shard IS NULL").select(*rows.columns), "shard-left")
@@ -62,8 +67,8 @@ def assign(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text")
             break
         depth = to
     solo = rows.where(F.col("bytes") > limit)
-    done.append(solo.select("key", "bytes", F.concat_ws("/", "bits", F.col("row").cast("string")).alias("shard"), F.lit(BITS).alias("depth"), F.col("bytes").alias("shard_bytes"), F.lit(1).cast("long").alias("shard_rows")))
-    return reduce(DataFrame.unionByName, done).withColumnRenamed("key", key)
+    done.append(solo.select("row", "key", "bytes", F.concat_ws("/", "bits", F.col("row").cast("string")).alias("shard"), F.lit(BITS).alias("depth"), F.col("bytes").alias("shard_bytes"), F.lit(1).cast("long").alias("shard_rows")))
+    return reduce(DataFrame.unionByName, done)
 
 
 def _directory(cells: DataFrame, above: int, to: int, limit: int) -> DataFrame:
@@ -87,12 +92,15 @@ def _pages(rows: DataFrame, limit: int) -> DataFrame:
     cut = rows.join(about, "bits").withColumn("slice", F.pmod(F.xxhash64("row"), slices))
     place = F.row_number().over(Window.partitionBy("bits", "slice").orderBy("row")) - 1
     page = F.floor(place / F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col("most"))))
-    paged = stage(cut.select("key", "bytes", F.concat_ws("/", "bits", "slice", page.cast("string")).alias("shard")), "shard-pages")
+    paged = stage(cut.select("row", "key", "bytes", F.concat_ws("/", "bits", "slice", page.cast("string")).alias("shard")), "shard-pages")
     sums = paged.groupBy("shard").agg(F.sum("bytes").alias("shard_bytes"), F.count("*").alias("shard_rows"))
-    return paged.join(sums, "shard").select("key", "bytes", "shard", F.lit(BITS).alias("depth"), "shard_bytes", "shard_rows")
+    return paged.join(sums, "shard").select("row", "key", "bytes", "shard", F.lit(BITS).alias("depth"), "shard_bytes", "shard_rows")
 
 
 def write(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> None:
-    """Write ``docs`` with a folder ``shard=...`` for each shard. Keys have to be distinct."""
-    placed = docs.join(assign(docs, limit, key, text).select(key, F.concat(F.lit("p"), F.regexp_replace("shard", "/", "_")).alias("shard")), key)
+    """Write ``docs`` with a folder ``shard=...`` for each shard: every row once, whatever its key."""
+    numbered = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "shard-numbered")
+    shards = _assign(numbered, limit, key, text, F.col("_row"))
+    shards = shards.select(F.col("row").alias("_row"), F.concat(F.lit("p"), F.regexp_replace("shard", "/", "_")).alias("shard"))
+    placed = numbered.join(shards, "_row").drop("_row")
     placed.repartition("shard").write.partitionBy("shard").parquet(path)

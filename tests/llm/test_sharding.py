@@ -60,6 +60,17 @@ def test_written_shards(spark, tmp_path):
     assert max(r.n for r in back.groupBy("shard").agg({"text": "count"}).withColumnRenamed("count(text)", "n").collect()) > 1
 
 
+def test_written_shards_of_null_and_repeated_keys(spark, tmp_path):
+    rows = [(None, "n" * 10)] * 3 + [(7, f"{i:010d}") for i in range(60)] + [(i, "y" * 10) for i in range(100, 140)] + [(99, "z" * 1000)] * 2 + [(5, None)]
+    sharding.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), str(tmp_path / "out"), 100)
+    back = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted([(r.doc_id, r.text) for r in back], key=str) == sorted(rows, key=str)
+    size = defaultdict(int)
+    for r in back:
+        size[r.shard] += len(r.text or "")
+    assert all(n <= 100 or n == 1000 for n in size.values())
+
+
 def test_query_against_sql(spark, monkeypatch):
     monkeypatch.setattr(registry, "SHARD_BYTES", 50_000)
     sql = registry.OP4_SQL.replace(str(64 << 20), "50000")
