@@ -15,6 +15,11 @@ place of each role), and each candidate meets its own cell and the two beside it
 own cell all is near enough, and of the neighbours only the nearest place counts, so
 existence is decided exactly without listing pairs, however many parts a text holds.
 
+``scan`` measures between the starts of parts, as the SQL of ``op5_secrets`` does. ``redact``
+measures the gap between their intervals, so a part longer than SCOPE does not hide its
+neighbours, and covers all that ``scan`` reports: a part is entered in each cell from its
+start to its end, cut to the cell, and asks in these cells and the two around them.
+
 All is DataFrame functions. Defined results: null text counts as empty and has no spans;
 repeated rows each have a row; spans are in code points with exclusive ends; other columns
 are ignored by ``scan`` and kept by ``redact``.
@@ -82,41 +87,47 @@ def _parts(docs: DataFrame, doc_id: str, text: str, row: F.Column) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), row.alias("row"), F.array_sort(F.concat(*base)).alias("base"), weak.alias("weak"))
 
 
-def _near(asking: DataFrame, parts: DataFrame, roles: dict[str, tuple[int, ...]]) -> DataFrame:
-    """``asking`` (row, start, kind, end) with a flag per role: a part of its kinds begins within SCOPE of its start."""
+def _near(asking: DataFrame, parts: DataFrame, roles: dict[str, tuple[int, ...]], gaps: bool = False) -> DataFrame:
+    """``asking`` (row, start, kind, end) with a flag per role: a part of its kinds lies within SCOPE of it.
+
+    Between starts, or with ``gaps`` between the nearest ends.
+    """
+
+    def cell(place: F.Column) -> F.Column:
+        return F.floor(place / SCOPE)
+
+    last = F.col("end") if gaps else F.col("start")  # a gap of SCOPE: start = other end + SCOPE
+    spread = parts.withColumn("cell", F.explode(F.sequence(cell(F.col("start")), cell(last))))
+    low = F.greatest(F.col("start").cast("long"), F.col("cell") * SCOPE)
+    high = F.least(last.cast("long"), F.col("cell") * SCOPE + SCOPE - 1)
     ends = []
     for role, kinds in roles.items():
-        place = F.when(F.col("kind").isin(*kinds), F.col("start"))
-        ends += [F.min(place).alias(f"{role}_first"), F.max(place).alias(f"{role}_last")]
-    cells = parts.groupBy("row", F.floor(F.col("start") / SCOPE).alias("cell")).agg(*ends)
-    own = F.floor(F.col("start") / SCOPE)
-    wide = asking.withColumn("cell", F.explode(F.array(own - 1, own, own + 1)))
+        ours = F.col("kind").isin(*kinds)
+        ends += [F.min(F.when(ours, low)).alias(f"{role}_first"), F.max(F.when(ours, high)).alias(f"{role}_last")]
+    cells = spread.groupBy("row", "cell").agg(*ends)
+    wide = asking.withColumn("cell", F.explode(F.sequence(cell(F.col("start")) - 1, cell(last) + 1)))
     met = wide.join(cells, ["row", "cell"])
-    flags = [
-        F.max(
-            F.coalesce(F.col(f"{role}_last").between(F.col("start") - SCOPE, F.col("start") + SCOPE) | F.col(f"{role}_first").between(F.col("start") - SCOPE, F.col("start") + SCOPE), F.lit(False))
-        ).alias(role)
-        for role in roles
-    ]
+    within = lambda place: F.col(place).between(F.col("start") - SCOPE, last + SCOPE)
+    flags = [F.max(F.coalesce(within(f"{role}_last") | within(f"{role}_first"), F.lit(False))).alias(role) for role in roles]
     return met.groupBy("row", "start", "kind", "end").agg(*flags)
 
 
-def _linked(rows: DataFrame) -> DataFrame:
+def _linked(rows: DataFrame, gaps: bool) -> DataFrame:
     """row and the weak spans that complementary parts confirm."""
     some = rows.where(F.size("weak") > 0)
     parts = stage(some.select("row", F.explode(F.concat("base", "weak")).alias("s")).select("row", "s.start", "s.kind", "s.end"), "secret-parts")
     weak = parts.where(F.col("kind") >= 3)
-    by = stage(_near(weak, parts, {"access": (1,), "secret": (0, 2, 3)}), "secret-near")
+    by = stage(_near(weak, parts, {"access": (1,), "secret": (0, 2, 3)}, gaps), "secret-near")
     bridges = by.where("kind = 4 AND access").select("row", "start", "kind", "end")
     keys = by.where("kind = 3").select("row", "start", "kind", "end")
-    bridged = _near(keys, bridges, {"endpoint": (4,)}).where("endpoint").select("row", "start", "kind", "end")
+    bridged = _near(keys, bridges, {"endpoint": (4,)}, gaps).where("endpoint").select("row", "start", "kind", "end")
     direct = by.where("access AND (kind = 3 OR secret)").select("row", "start", "kind", "end")
     return direct.union(bridged).distinct().groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("linked"))
 
 
-def _scanned(parts: DataFrame) -> DataFrame:
+def _scanned(parts: DataFrame, gaps: bool = False) -> DataFrame:
     rows = stage(parts, "secret-rows")
-    return rows.join(_linked(rows), "row", "left").select(
+    return rows.join(_linked(rows, gaps), "row", "left").select(
         "doc_id", "row", "base", F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast(SPAN)))).alias("spans")
     )
 
@@ -154,7 +165,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", doc_id: str = "doc_id", text
     row, whole = "_row", F.col(text)
     joins = F.coalesce(F.contains(whole, F.lit("AKIA")), F.lit(False))
     some = docs.where(joins).withColumn(row, F.monotonically_increasing_id())
-    spans = _scanned(_parts(some, doc_id, text, F.col(row))).where(F.size("spans") > 0).select(F.col("row").alias(row), F.col("spans").alias("_spans"))
+    spans = _scanned(_parts(some, doc_id, text, F.col(row)), gaps=True).where(F.size("spans") > 0).select(F.col("row").alias(row), F.col("spans").alias("_spans"))
     linked = some.join(spans, row, "left")
     alone = docs.where(~joins).withColumn("_spans", F.array_sort(F.concat(*_base(text_or_empty(text)))))
     clean = F.when(F.coalesce(F.size("_spans"), F.lit(0)) > 0, _blanked(whole, "_spans", mark)).otherwise(whole)

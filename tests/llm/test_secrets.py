@@ -79,6 +79,41 @@ def test_redact(spark, tmp_path):
         assert rows[i] == want + t[at:]
 
 
+def brute_gaps(t):
+    """All spans where parts are linked by the gap between their intervals."""
+    base = brute_base(t)
+    if "AKIA" not in t:
+        return base
+    weak = [(m.start(), 3, m.end()) for m in re.finditer(KEY, t) if all(re.search(c, m[0]) for c in ("[0-9]", "[a-z]", "[A-Z]"))]
+    weak += [(m.start(), 4, m.end()) for m in re.finditer(secrets.ENDPOINT, t)]
+
+    def near(s, kinds, parts):
+        return any(p[1] in kinds and p[0] <= s[2] + secrets.SCOPE and p[2] >= s[0] - secrets.SCOPE for p in parts)
+
+    both = base + weak
+    bridges = [w for w in weak if w[1] == 4 and near(w, (1,), both)]
+    linked = [w for w in weak if w[1] == 3 and (near(w, (1,), both) or near(w, (4,), bridges)) or w[1] == 4 and near(w, (1,), both) and near(w, (0, 2, 3), both)]
+    return sorted(base + linked)
+
+
+def test_redact_long_parts(spark, tmp_path):
+    rng = random.Random(12)
+    url, key = HOST + "/" + "q" * 570, "wJalrXUtn7" * 50
+    texts = [f"{url} {ACCESS} token=abcdefghijklmnop", f"{key} {ACCESS}", f"{ACCESS}{' ' * 400}{SECRET}", f"{ACCESS}{' ' * 401}{SECRET}", f"{SECRET}{' ' * 400}{ACCESS}", f"{SECRET}{' ' * 401}{ACCESS}"]
+    bits = [ACCESS, SECRET, HOST, url, key, "token = abcdefghijklmnop", "pad " * 30, " " * 399, " ", "\n", "é"]
+    texts += ["".join(rng.choice(bits) + " " for _ in range(rng.randrange(1, 12))) for _ in range(150)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    rows = {r.doc_id: r.text for r in secrets.redact(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    assert "https" not in rows[0] and rows[1] == "[secret] [secret]"
+    for i, t in enumerate(texts):
+        want, at = "", 0
+        for a, _, b in brute_gaps(t):
+            if a >= at:
+                want += t[at:a] + "[secret]"
+            at = max(at, b)
+        assert rows[i] == want + t[at:], t
+
+
 def test_empty_table(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
