@@ -9,7 +9,8 @@ into STEPS levels with a feature per level; and of the metadata n_chars, as leve
 languages, sources and labels are not features.
 
 The model is fitted on at most SAMPLE labelled rows, those with the lowest hash of their
-id (a documented bound, so what reaches the driver does not grow); scoring covers all rows.
+id (a documented bound, so what reaches the driver does not grow); of documents that share an
+id the one with the lowest hash of its text is learned from. Scoring covers all rows.
 
 Defined results: null text counts as empty, and empty texts get a score from their
 statistics; null metadata counts as the text's own length; repeated rows each have a score; a
@@ -174,7 +175,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     known = labels.where((fold_column(doc_id, FOLDS) != HELD_OUT) & F.col(label).isNotNull() & F.col(doc_id).isNotNull())
     known = known.groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).cast("int").alias("_label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    inputs = _inputs(docs, doc_id, text).join(F.broadcast(chosen), "doc_id")  # bounded by ``sample`` rows
+    joined = _inputs(docs, doc_id, text).join(F.broadcast(chosen), "doc_id")  # bounded by ``sample`` rows
+    # of rows that share an id one stays, so what the driver gets is bounded by ``sample`` as well
+    one = F.min(F.struct(F.xxhash64("text", "n_chars").alias("hash"), "text", "n_chars", "_label"))
+    inputs = joined.groupBy("doc_id").agg(one.alias("row")).select("doc_id", "row.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_blocks(batches, "text", 1 << 20):
@@ -184,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_label"), *made], names=["doc_id", "y", "which", "value"])
 
     got = inputs.select("doc_id", "_label", "text", "n_chars").mapInArrow(run, T.StructType([inputs.schema["doc_id"], *T.StructType.fromDDL("y int, which array<int>, value array<float>").fields])).toArrow()
-    got = got.sort_by("doc_id").slice(0, sample)  # ids that documents repeats could add rows
+    got = got.sort_by("doc_id")
     lists = [got[c].combine_chunks() for c in ("which", "value")]
     rows = [(y, lists[0][i].values.to_numpy(), lists[1][i].values.to_numpy()) for i, y in enumerate(got["y"].to_pylist())]
     return fit(rows)

@@ -58,3 +58,15 @@ def test_ids_and_names_are_no_inputs(spark):
     other = docs.select((F.col("doc_id") + 7).alias("doc_id"), "text", F.lit("q").alias("lang"), F.lit("w").alias("source"), "n_chars")
     a, b = ({r.doc_id: r.score for r in quality.score(x, model).collect()} for x in (docs, other))
     assert all(np.isclose(b[i + 7], s) for i, s in a.items())
+
+
+def test_a_repeated_id_is_one_sample(spark, monkeypatch):
+    got = []
+    monkeypatch.setattr(quality, "fit", lambda rows: got.append(sorted((y, w.tolist(), v.tolist()) for y, w, v in rows)))
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2][:8]
+    rows = [(ids[0], f"copy {i}", i) for i in range(30)] + [(i, f"text of {i}", 9) for i in ids]
+    labels = spark.createDataFrame([(i, int(n > 3)) for n, i in enumerate(ids)], "doc_id long, quality int")
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(parts)
+        quality.train(docs, labels, sample=8)
+    assert [y for y, *_ in got[0]] == [0] * 4 + [1] * 4 and got[0] == got[1]
