@@ -282,6 +282,20 @@ def heading_split(spark, d):
 ORACLES["heading_split"] += " WHERE NOT contains(text, '#')"
 
 
+@query()
+def tags_inline_whole(spark, d):
+    """Tags of the texts as they are; SQL has no such rule, so there is none."""
+    decorated = F.concat(F.lit("#"), "lang", F.lit(" x#no (#a/"), "source", F.lit(")\n"), "text", F.lit(" é#no #last"))
+    return table(spark, d, "documents").select("doc_id", md.inline_tags(decorated).alias("tags"))
+
+
+@query()
+def heading_split_whole(spark, d):
+    """Sections of all texts as they are, those with headings of their own too; without SQL."""
+    note = F.concat(F.lit("# Top\nlead\n\n## "), "source", F.lit("  \n"), "text", F.lit("\n### x"))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(md.sections(note)).alias("n", "s")).select("doc_id", "s.*", "n")
+
+
 @query(
     """SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR doc_id % 4 = 0 OR lang = 'en' THEN 'moc' ELSE 'note' END AS new, CASE WHEN doc_id % 3 = 0 THEN 'moc' ELSE 'note' END AS legacy FROM documents"""
 )
