@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import pyarrow as pa
 import pyarrow.compute
@@ -32,6 +33,12 @@ def text_or_empty(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns, one per name, that no column of ``df`` has in any case."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for n in (f"__{name}{i}" for i in count()) if n not in taken) for name in names]
+
+
 def with_fields(schema: T.StructType, **fields: T.DataType) -> T.StructType:
     """``schema`` with these fields at the end; fields of the same name (in any case) give way."""
     gone = {k.lower() for k in fields}

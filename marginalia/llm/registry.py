@@ -86,18 +86,25 @@ def _sql_spans(kind: int, pattern: str, good: str = "true") -> str:
     ) WHERE {good}"""
 
 
-_NEAR = "(SELECT 1 FROM parts p WHERE p.doc_id = w.doc_id AND abs(p.start - w.start) <= {} AND p.kind IN {})"
+_NEAR = "(SELECT 1 FROM {} p WHERE p.doc_id = w.doc_id AND p.start <= w.stop + {} AND p.stop >= w.start - {} AND p.kind IN {})"
+
+
+def _sql_near(kinds: str, among: str = "parts") -> str:
+    return "EXISTS " + _NEAR.format(among, secrets.SCOPE, secrets.SCOPE, kinds)
+
+
 _NAMES = "CASE kind " + " ".join(f"WHEN {n} THEN '{k}'" for n, k in enumerate(secrets.KINDS)) + " END || ':' || start || ':' || stop"
+_VALUE = "length(regexp_extract(hit, '{}', 2)) >= 12".format(secrets.ASSIGN.replace("'", "''"))
 OP5_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-base AS ({_sql_spans(0, secrets.ASSIGN, f"regexp_matches(hit, '{secrets.LONG_VALUE}')")} UNION ALL {_sql_spans(1, secrets.ACCESS)} UNION ALL {_sql_spans(2, secrets.HEX)}),
-weak AS (SELECT * FROM ({_sql_spans(3, secrets.KEY, "regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[A-Z]')")} UNION ALL {_sql_spans(4, secrets.ENDPOINT)})
-         WHERE doc_id IN (SELECT doc_id FROM d WHERE contains(t, 'AKIA'))),
+base AS ({_sql_spans(0, secrets.ASSIGN, _VALUE)} UNION ALL {_sql_spans(1, secrets.ACCESS)} UNION ALL {_sql_spans(2, secrets.HEX)}),
+weak AS ({_sql_spans(3, secrets.KEY, "regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[A-Z]')")} UNION ALL {_sql_spans(4, secrets.ENDPOINT)} UNION ALL {_sql_spans(5, secrets.IDENT)}),
 parts AS (SELECT * FROM base UNION ALL SELECT * FROM weak),
-bridge AS (SELECT * FROM weak w WHERE kind = 4 AND EXISTS {_NEAR.format(secrets.SCOPE, "(1)")}),
+bridge AS (SELECT * FROM weak w WHERE kind = 4 AND {_sql_near("(1, 5)")}),
 linked AS (
-  SELECT * FROM weak w WHERE EXISTS {_NEAR.format(secrets.SCOPE, "(1)")} AND (kind = 3 OR EXISTS {_NEAR.format(secrets.SCOPE, "(0, 2, 3)")})
-  UNION SELECT * FROM weak w WHERE kind = 3 AND EXISTS (SELECT 1 FROM bridge b WHERE b.doc_id = w.doc_id AND abs(b.start - w.start) <= {secrets.SCOPE})
+  SELECT * FROM weak w WHERE kind = 3 AND ({_sql_near("(1, 5)")} OR {_sql_near("(4)", "bridge")})
+  UNION SELECT * FROM weak w WHERE kind = 4 AND ({_sql_near("(0)")} OR {_sql_near("(1)")} AND {_sql_near("(2, 3)")} OR {_sql_near("(5)")} AND {_sql_near("(3)")})
+  UNION SELECT * FROM weak w WHERE kind = 5 AND {_sql_near("(0, 3)")}
 ),
 b AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg({_NAMES}, ',' ORDER BY start, kind) AS spelled FROM base GROUP BY doc_id),
 s AS (SELECT doc_id, string_agg({_NAMES}, ',' ORDER BY start, kind) AS spelled FROM (SELECT * FROM base UNION ALL SELECT * FROM linked) GROUP BY doc_id)
