@@ -3,18 +3,21 @@
 Two texts are near when the sets of their five-word shingles have a similarity of at least
 LEAST; texts of fewer words are one shingle, texts without words are near to none. Candidates
 share a band: ROWS minima of random permutations of the shingles, BANDS times independently. A
-pair at LEAST shares none with a chance of (1 - 0.8^4)^24, about 3 in a million. Every other
-decision is exact, on the sets.
-
-A bucket (the rows of one band value) is settled in rounds. In a round a fixed number of its
-rows, the smallest of each of LEADERS groups, meet all rows left in it; of each near pair the
-later row is dropped, everywhere. Leaders have met all others then and leave the bucket. A
-bucket is dealt to groups of about GROUP rows with the leaders beside them, so pairs are
-linear in a bucket's rows and no group grows with it.
+pair at LEAST shares none with a chance of (1 - 0.8^4)^24, about 3 in a million. One bit of each of
+the 96 minima makes a sketch; candidates whose sketches differ in more than MOST bits are left out,
+which happens to a pair at LEAST with a chance of about 2 in a million. What remains is compared
+exactly, text against text, so only texts that have a likely partner are shuffled.
+
+A bucket (the rows of one band value) is settled in rounds. In a round its leaders, the smallest row
+of each of a number of groups, meet all rows left in it; of each near pair the later row is
+dropped, everywhere. Leaders have met all others then and leave the bucket. One leader settles a
+group of near copies, in pairs linear in its rows; a bucket whose rows are not near takes eight times
+as many leaders in each further round, up to LEADERS. Meetings are a join on the bucket, so AQE can
+split one that holds many rows.
 
 Defined results: rows are ordered by id, nulls last, then by place. No two rows kept that
 share a band are near, and each row dropped has a chain of near pairs to an earlier one that is
-kept. All columns are kept.
+kept. All columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,12 +32,12 @@ from pyspark.sql import types as T
 
 from marginalia.plans.staging import stage
 
-from .common import text_blocks
-from .simhash import first_rows, shingle_hashes
+from .common import fresh, text_blocks
+from .simhash import later_rows, shingle_hashes
 
 SHINGLE, LEAST = 5, 0.8
-BANDS, ROWS = 24, 4
-LEADERS, GROUP = 32, 256
+BANDS, ROWS, MOST = 24, 4, 25
+LEADERS, GROWTH = 512, 8
 SLICE = 1 << 15
 _RNG = np.random.default_rng(42)
 XOR = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
@@ -47,83 +50,95 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, SHINGLE), dtype=np.uint64))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """The bucket of each band."""
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The smallest value of each permutation."""
     low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for lo in range(0, len(hashes), SLICE):
         low = np.minimum(low, ((hashes[lo : lo + SLICE, None] ^ XOR) * ODD).min(axis=0))
+    return low
+
+
+def bands(low: np.ndarray) -> np.ndarray:
+    """The bucket of each band."""
     return (low.reshape(BANDS, ROWS) * MIX).sum(axis=1, dtype=np.uint64)
 
 
-def _listed(docs: DataFrame, name: str, made) -> DataFrame:
-    """``docs`` (..., text) with a list of longs made of each text in place of it."""
-    schema = T.StructType([*[f for f in docs.schema.fields if f.name != "text"], T.StructField(name, T.ArrayType(T.LongType()))])
+def sketch(low: np.ndarray) -> tuple[int, int]:
+    """A high bit of each minimum, in two numbers."""
+    bits = np.packbits(low * MIX.ravel() >> np.uint64(63) == 1)
+    return tuple(np.frombuffer(bits.tobytes().ljust(16, b"\0"), "<i8").tolist())
+
+
+def _signed(texts: DataFrame) -> DataFrame:
+    """row, late and id of each of ``texts`` that has words, with its number of shingles, sketch and bands."""
+    fields = [f for f in texts.schema.fields if f.name != "text"]
+    schema = T.StructType([*fields, *T.StructType.fromDDL("n int, sketch_a long, sketch_b long, bands array<long>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_blocks(batches, "text"):
-            lists = [made(t) for t in batch.column("text").to_pylist()]
-            values = pa.array(np.concatenate(lists).view(np.int64))
-            column = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in schema.fields[:-1]), column], names=schema.names)
-
-    return docs.mapInArrow(run, schema)
-
-
-def _banded(text: str | None) -> np.ndarray:
-    found = shingles(text)
-    return bands(found) if len(found) else found
-
-
-def _later(table: pa.Table) -> pa.Table:
-    """The later row of each near pair of a leader and a row of the group."""
-    rows = list(zip(*(table.column(c).to_pylist() for c in ("late", "id", "_row"))))
-    leads = table.column("lead").to_pylist()
-    sets = [frozenset(s) for s in table.column("shingles").to_pylist()]
-    lost = set()
-    for i in (i for i, lead in enumerate(leads) if lead):
-        a = sets[i]
-        for j, b in enumerate(sets):
-            if rows[i][2] == rows[j][2] or min(len(a), len(b)) < LEAST * max(len(a), len(b)):
-                continue
-            both = len(a & b)
-            if both >= LEAST * (len(a) + len(b) - both):
-                lost.add(max(rows[i], rows[j])[2])
-    return pa.table({"_row": pa.array(sorted(lost), pa.int64())})
-
-
-def dropped(numbered: DataFrame, chosen: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``_row`` of the rows among ``chosen`` (_row) that are near an earlier one."""
-    texts = numbered.select("_row", F.col(doc_id).isNull().alias("late"), F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    signed = stage(_listed(texts.select("_row", "text"), "bands", _banded), "near-bands")
-    placed = signed.join(chosen, "_row", "left_semi").select("_row", F.posexplode("bands").alias("band", "value"))
-    placed = stage(placed, "near-placed")
-    shared = stage(placed.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1"), "near-shared")
-    left = stage(placed.join(shared, ["band", "value"]).select("_row", "band", "value"), "near-left")
-    sets = stage(_listed(texts.join(left.select("_row").distinct(), "_row", "left_semi"), "shingles", lambda t: shingles(t)), "near-sets")
-    lost, turn = [], 0
+            found = [shingles(t) for t in batch.column("text").to_pylist()]
+            some = [i for i, s in enumerate(found) if len(s)]
+            lows = [minima(found[i]) for i in some]
+            halves = np.array([sketch(low) for low in lows], np.int64).reshape(-1, 2)
+            values = np.concatenate([bands(low) for low in lows]).view(np.int64) if some else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * BANDS, pa.int32()), pa.array(values))
+            kept = [batch.column(f.name).take(pa.array(some, pa.int64())) for f in fields]
+            made = [pa.array([len(found[i]) for i in some], pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), lists]
+            yield pa.RecordBatch.from_arrays([*kept, *made], names=schema.names)
+
+    return texts.mapInArrow(run, schema)
+
+
+def _near(pairs: DataFrame) -> DataFrame:
+    """``later`` of the ``pairs`` (later, text_a, text_b) whose texts are near."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in text_blocks([batch], "text_b"):
+                good = []
+                for later, a, b in zip(*(block.column(c).to_pylist() for c in ("later", "text_a", "text_b")), strict=True):
+                    a, b = shingles(a), shingles(b)
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    if both >= LEAST * (len(a) + len(b) - both):
+                        good.append(later)
+                yield pa.RecordBatch.from_arrays([pa.array(good, pa.int64())], names=["later"])
+
+    return pairs.mapInArrow(run, "later long")
+
+
+def dropped(texts: DataFrame) -> DataFrame:
+    """``row`` of the ``texts`` (row, late, id, text) that are near an earlier one; rows are ordered by (late, id, row)."""
+    signed = stage(_signed(texts), "near-signed")
+    about = signed.drop("bands")
+    placed = signed.select("row", F.explode("bands").alias("bucket"))
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1").select("bucket")
+    left = stage(placed.join(stage(shared, "near-shared"), "bucket").join(about, "row"), "near-left")
+    lost, turn, leaders = [], 0, 1
+    whole = F.struct(*about.columns)
     while not left.isEmpty():
-        ordered = left.join(sets.select("_row", "late", "id"), "_row")
-        first = F.min(F.struct("late", "id", "_row"))["_row"].alias("_row")
-        leaders = ordered.groupBy("band", "value", F.pmod(F.xxhash64("_row", F.lit(turn)), F.lit(LEADERS)).alias("salt")).agg(first)
-        leaders = stage(leaders.select("_row", "band", "value"), "near-leaders")
-        size = left.groupBy("band", "value").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
-        size = stage(size, "near-sizes")
-        beside = leaders.join(size, ["band", "value"]).select("_row", "band", "value", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(True).alias("lead"))
-        rest = stage(left.join(leaders, ["_row", "band", "value"], "left_anti"), "near-rest")
-        others = rest.join(size, ["band", "value"]).select("_row", "band", "value", F.pmod(F.xxhash64("_row"), F.col("groups")).cast("int").alias("part"), F.lit(False).alias("lead"))
-        met = beside.union(others).join(sets, "_row")
-        gone = stage(met.groupBy("band", "value", "part").applyInArrow(_later, "_row long").distinct(), "near-gone")
+        first = left.groupBy("bucket", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(leaders)).alias("salt")).agg(F.min_by(whole, F.struct("late", "id", "row")).alias("a"))
+        first = stage(first.select("bucket", "a"), "near-leaders")
+        met = first.join(left.select("bucket", whole.alias("b")), "bucket")
+        apart = F.bit_count(F.col("a.sketch_a").bitwiseXOR(F.col("b.sketch_a"))) + F.bit_count(F.col("a.sketch_b").bitwiseXOR(F.col("b.sketch_b")))
+        fit = F.least("a.n", "b.n") >= LEAST * F.greatest("a.n", "b.n")
+        ordered = F.struct(*(f"a.{c}" for c in ("late", "id", "row"))) < F.struct(*(f"b.{c}" for c in ("late", "id", "row")))
+        likely = met.where((F.col("a.row") != F.col("b.row")) & (apart <= MOST) & fit)
+        pairs = likely.select(F.when(ordered, F.col("a.row")).otherwise(F.col("b.row")).alias("early"), F.when(ordered, F.col("b.row")).otherwise(F.col("a.row")).alias("later")).distinct()
+        pairs = stage(pairs, "near-pairs")
+        named = pairs.select(F.col("early").alias("row")).union(pairs.select(F.col("later").alias("row"))).distinct()
+        some = stage(texts.select("row", "text").join(named, "row", "left_semi"), "near-texts")
+        sides = [some.select(F.col("row").alias(side), F.col("text").alias(f"text_{c}")) for side, c in (("early", "a"), ("later", "b"))]
+        gone = stage(_near(pairs.join(sides[0], "early").join(sides[1], "later").select("later", "text_a", "text_b")).distinct().withColumnRenamed("later", "row"), "near-gone")
         lost.append(gone)
-        rest = stage(rest.join(gone, "_row", "left_anti"), "near-rest")
-        several = rest.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
-        left = stage(rest.join(stage(several, "near-shared"), ["band", "value"]).select("_row", "band", "value"), "near-left")
-        turn += 1
-    if not lost:
-        return chosen.limit(0)
-    all_lost = lost[0]
-    for more in lost[1:]:
-        all_lost = all_lost.union(more)
-    return all_lost.distinct()
+        rest = left.join(first.select("bucket", F.col("a.row").alias("row")), ["bucket", "row"], "left_anti").join(gone, "row", "left_anti")
+        rest = stage(rest, "near-rest")
+        several = rest.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1").select("bucket")
+        left = stage(rest.join(stage(several, "near-shared"), "bucket", "left_semi"), "near-left")
+        turn, leaders = turn + 1, min(LEADERS, leaders * GROWTH)
+    none = texts.sparkSession.createDataFrame([], "row long")
+    for more in lost:
+        none = none.union(more)
+    return none.distinct()
 
 
 def keep(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -131,7 +146,9 @@ def keep(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
     ``docs`` has to give the same rows in the same order each time it is read, as a table does.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    chosen = stage(first_rows(numbered, doc_id, text), "near-chosen")
-    kept = stage(chosen.join(dropped(numbered, chosen, doc_id, text), "_row", "left_anti"), "near-kept")
-    return numbered.join(kept, "_row", "left_semi").drop("_row")
+    (row,) = fresh(docs, "row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    later = later_rows(numbered, row, doc_id, text)
+    texts = numbered.select(F.col(row).alias("row"), F.col(doc_id).isNull().alias("late"), F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
+    gone = later.union(dropped(texts.join(later, "row", "left_anti")))
+    return numbered.join(stage(gone, "near-gone").withColumnRenamed("row", row), row, "left_anti").drop(row)

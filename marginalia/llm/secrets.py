@@ -41,8 +41,8 @@ HEX = r"[0-9a-f]{16,}"
 KEY = r"[A-Za-z0-9+/_-]{32,}"
 ENDPOINT = r"(?:[a-z][a-z0-9+]{1,15}://[A-Za-z0-9._~:/?#@!$&*+,;=%-]{4,}|[a-z0-9][a-z0-9.-]*\.(?:amazonaws\.com|googleapis\.com|core\.windows\.net|cloud\.internal|storage\.example\.com))"
 IDENT = r"""(?i:access_key_id|client_id|account_id|account|user_?name|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+_.@-]{4,}"""
-#: Every linked span needs one of these in its text.
-LINKABLE = "|".join((ASSIGN, ACCESS, IDENT))
+#: How the names of ASSIGN and IDENT end, with what follows: quick to look for.
+NAMED = r"""[DdEeNnRrTtYy]["']?\x20*[:=]"""
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 #: Items of a text's array that are folded together; see running.
 CHUNK = 128
@@ -71,11 +71,22 @@ def bound(value: F.Column, body) -> F.Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def found(text: F.Column, pattern: str, kind: int, good=None, group: int = 0) -> F.Column:
+def _named(text: F.Column) -> F.Column:
+    """Whether ASSIGN or IDENT may match; most texts end the search at the first, cheapest step."""
+    return (F.contains(text, F.lit(":")) | F.contains(text, F.lit("="))) & F.regexp_like(text, F.lit(NAMED))
+
+
+def linkable(text: F.Column) -> F.Column:
+    """Whether a text holds an assignment or identifier, which every linked span needs."""
+    return F.contains(text, F.lit("AKIA")) | _named(text) & F.regexp_like(text, F.lit(f"{ASSIGN}|{IDENT}"))
+
+
+def found(text: F.Column, pattern: str, kind: int, good=None, group: int = 0, may: F.Column | None = None) -> F.Column:
     """Spans of the leftmost non-overlapping matches of ``pattern`` whose ``group`` is ``good``.
 
     Splitting by the pattern gives what lies between the matches; running sums of both
-    lengths are the places. Texts without a match, nearly all, are not split.
+    lengths are the places. Texts without a match, nearly all, are not split; where ``may`` is
+    false there is none, which spares the search.
     """
     gaps = F.split(text, pattern, -1)
     judged = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
@@ -96,7 +107,8 @@ def found(text: F.Column, pattern: str, kind: int, good=None, group: int = 0) ->
         return F.aggregate(chunk, start, step, lambda acc: acc["spans"])
 
     listed = bound(measured, lambda items: running(items, F.lit(0), lambda at, x: at + x["gap"] + x["n"], spans))
-    return F.when(F.regexp_like(text, F.lit(pattern)), listed).otherwise(F.array().cast(SPAN))
+    has = F.regexp_like(text, F.lit(pattern))
+    return F.when(has if may is None else may & has, listed).otherwise(F.array().cast(SPAN))
 
 
 def _telling(match: F.Column) -> F.Column:
@@ -104,14 +116,14 @@ def _telling(match: F.Column) -> F.Column:
 
 
 def _base(whole: F.Column) -> list[F.Column]:
-    return [found(whole, ASSIGN, 0, lambda value: F.length(value) >= VALUE, 2), found(whole, ACCESS, 1), found(whole, HEX, 2)]
+    return [found(whole, ASSIGN, 0, lambda value: F.length(value) >= VALUE, 2, _named(whole)), found(whole, ACCESS, 1, may=F.contains(whole, F.lit("AKIA"))), found(whole, HEX, 2)]
 
 
 def _parts(docs: DataFrame, doc_id: str, text: str, row: F.Column) -> DataFrame:
-    """doc_id, row, base spans and weak candidates of each text. Only LINKABLE texts have candidates to ask for."""
+    """doc_id, row, base spans and weak candidates of each text. Only linkable texts have candidates to ask for."""
     whole = text_or_empty(text)
     weak = F.concat(found(whole, KEY, 3, _telling), found(whole, ENDPOINT, 4), found(whole, IDENT, 5))
-    weak = F.when(F.regexp_like(whole, F.lit(LINKABLE)), weak).otherwise(F.array().cast(SPAN))
+    weak = F.when(linkable(whole), weak).otherwise(F.array().cast(SPAN))
     return docs.select(F.col(doc_id).alias("doc_id"), row.alias("row"), F.array_sort(F.concat(*_base(whole))).alias("base"), weak.alias("weak"))
 
 
@@ -194,13 +206,13 @@ def _blanked(whole: F.Column, spans: F.Column, mark: str) -> F.Column:
 def redact(docs: DataFrame, mark: str = "[secret]", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every span of its texts replaced by ``mark``; overlapping spans become one.
 
-    Texts without spans stay as they are, null included. Only LINKABLE texts can have linked spans, so only
+    Texts without spans stay as they are, null included. Only linkable texts can have linked spans, so only
     these are joined with them; all others are cleaned where they are read. ``docs`` has to give the same rows
     in the same order each time it is read, as a table does.
     """
     row, spans = fresh(docs, "row", "spans")
     whole = F.col(text)
-    joins = F.coalesce(F.regexp_like(whole, F.lit(LINKABLE)), F.lit(False))
+    joins = F.coalesce(linkable(whole), F.lit(False))
     some = docs.where(joins).withColumn(row, F.monotonically_increasing_id())
     linked = _scanned(_parts(some, doc_id, text, F.col(row))).where(F.size("spans") > 0).select(F.col("row").alias(row), F.col("spans").alias(spans))
     alone = docs.where(~joins).withColumn(spans, F.array_sort(F.concat(*_base(text_or_empty(text)))))

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from marginalia.plans.staging import stage
 
-from .common import text_blocks
+from .common import fresh, text_blocks
 from .components import connected_components
 
 SEED, SHINGLE, THRESHOLD = 42, 3, 2
@@ -73,9 +73,9 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a long) of each row; row numbers them where asked for."""
-    extra = [c for c in docs.columns if c == "_row"]
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """doc_id and fp (the fingerprint's 64 bits as a long) of each row; and ``row``, where the column that numbers the rows is named."""
+    extra = [F.col(row).alias("row")] if row else []
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *extra)
     schema = T.StructType([f for f in chosen.schema.fields if f.name != "text"] + [T.StructField("fp", T.LongType())])
 
@@ -144,14 +144,14 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def components(rows: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, fp, ...), written once, with component_id: the smallest id reachable."""
+    """``rows`` (doc_id, fp, ...), written once, with component (its smallest fingerprint) and component_id (the smallest id reachable)."""
     rows = stage(rows, "simhash-rows")
     distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
     linked = connected_components(links(distinct))
     joined = distinct.join(linked, distinct.fp == linked.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     joined = stage(joined, "simhash-components")
     lowest = stage(joined.groupBy("component").agg(F.min("low").alias("component_id")), "simhash-lowest")
-    by_fp = stage(joined.join(lowest, "component").select("fp", "component_id"), "simhash-classes")
+    by_fp = stage(joined.join(lowest, "component").select("fp", "component", "component_id"), "simhash-classes")
     return rows.join(by_fp, "fp")
 
 
@@ -161,11 +161,12 @@ def label(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_rows(numbered: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``_row`` of the row with the smallest id of each component of ``numbered``, a table with ``_row``."""
-    found = components(fingerprints(numbered, doc_id, text))
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("best"))
-    return first.select(F.col("best._row").alias("_row"))
+def later_rows(numbered: DataFrame, row: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``row`` of all rows but the first of each component: the smallest id, nulls last, then the smallest ``row``."""
+    found = stage(components(fingerprints(numbered, doc_id, text, row)).select("doc_id", "row", "component"), "simhash-found")
+    # by component and not by its id: ids may repeat or be null
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row"))
+    return stage(found.select("row").join(first, "row", "left_anti"), "simhash-later")
 
 
 def keep(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -173,5 +174,6 @@ def keep(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
     ``docs`` has to give the same rows in the same order each time it is read, as a table does.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    return numbered.join(first_rows(numbered, doc_id, text), "_row", "left_semi").drop("_row")
+    (row,) = fresh(docs, "row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    return numbered.join(later_rows(numbered, row, doc_id, text).withColumnRenamed("row", row), row, "left_anti").drop(row)

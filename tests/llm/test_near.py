@@ -48,7 +48,7 @@ def test_near_copies_beyond_two_bits_go(spark, tmp_path):
 
 def test_a_large_group_takes_several_rounds(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(near, "LEADERS", 2)
-    monkeypatch.setattr(near, "GROUP", 8)
+    monkeypatch.setattr(near, "GROWTH", 2)
     rng = random.Random(4)
     base = [f"w{i}" for i in range(60)]
     rows = []
@@ -72,4 +72,14 @@ def test_few_rows(spark, tmp_path, n):
 
 def test_bands_of_long_texts():
     hashes = np.unique(np.random.default_rng(1).integers(0, 1 << 64, near.SLICE + 9, dtype=np.uint64))
-    assert len(near.bands(hashes)) == near.BANDS
+    low = near.minima(hashes)
+    assert len(near.bands(low)) == near.BANDS and low.tolist() == [min((int(h) ^ int(x)) * int(o) % (1 << 64) for h in hashes) for x, o in zip(near.XOR, near.ODD)]
+
+
+def test_sketches_of_near_texts():
+    """No pair at the least similarity is left out: the sketches of 500 such pairs stay below the bound."""
+    rng = np.random.default_rng(2)
+    for _ in range(500):
+        pool = rng.integers(0, 1 << 64, 200, dtype=np.uint64)
+        a, b = (np.array(near.sketch(near.minima(x))) for x in (pool[:180], pool[20:]))  # 160 of 200
+        assert sum(int(x).bit_count() for x in (a ^ b).astype(np.uint64)) <= near.MOST
