@@ -27,7 +27,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for white space one stays."""
-    return DigestIndex(spark).keep(docs)
+    index = DigestIndex(spark)
+    kept = index.keep(docs)
+    index.close()
+    return kept
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,11 +6,15 @@ shuffle), anti-joined with the index by sort-merge, and what is new is appended;
 keeps its layout, so only the batch's digests are shuffled. Everything is DataFrame
 operations; texts never leave the scan, only ids, lengths and digests do.
 
+A batch has an id that its rows in the index carry. A batch that is given again under its id, as a job
+does that failed after the append, gets the same answer: rows of the same batch are its own.
+
 Defined results: null text counts as empty, and empty texts are equal to one another.
 Of equal texts the row with the most code points stays, then the smallest id (null ids
 last), then the first of repeated rows. Texts that an earlier batch brought are all
-dropped in favour of the indexed id. An empty batch appends nothing. Columns beside the id
-and text are ignored by ``label`` and kept by ``keep``.
+dropped in favour of the indexed id. An empty batch appends nothing. Ids may be of any type that
+text can hold and give back. Columns beside the id and text are ignored by ``label`` and kept by
+``keep``, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,11 +24,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.plans.staging import new_path, stage
+from marginalia.plans.staging import exists, new_path, stage
 
-from .common import SPACE, text_or_empty
+from .common import SPACE, fresh, text_or_empty
 
-INDEX_SCHEMA = "digest string, batch string, keep_row long, keep_id long, group_size long"
+INDEX_SCHEMA = "digest string, batch string, keep_id string, group_size long"
+BUCKETS = 64
 
 
 def squeezed(text: F.Column) -> F.Column:
@@ -38,46 +43,64 @@ class DigestIndex:
     """The digests of all texts kept so far, at ``path`` in ``buckets`` buckets.
 
     A new path makes an empty index; an existing one is opened again, with the bucket count
-    it was made with.
+    it was made with (another one is refused). The folder is known to the session's catalog by a
+    name of its own until ``close``.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path or new_path(spark, "digest-index"), buckets
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        self.spark, self.path = spark, (path or new_path(spark, "digest-index")).rstrip("/")
+        self.buckets = self._buckets(buckets)
         self.name = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self.name} ({INDEX_SCHEMA}) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
 
+    def _buckets(self, wanted: int | None) -> int:
+        """The bucket count, kept beside the index."""
+        about = f"{self.path}.about"
+        if exists(self.spark, about):
+            made = self.spark.read.schema("buckets int").json(about).first()["buckets"]
+            if wanted not in (None, made):
+                raise ValueError(f"the index at {self.path} has {made} buckets, not {wanted}")
+            return made
+        self.spark.createDataFrame([(wanted or BUCKETS,)], "buckets int").coalesce(1).write.json(about)
+        return wanted or BUCKETS
+
+    def close(self) -> None:
+        """Take the name out of the catalog; the folder stays."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def rows(self) -> DataFrame:
         """The index with its buckets, for joins on digest."""
         return self.spark.table(self.name)
 
     def append(self, rows: DataFrame) -> None:
         (
-            rows.select("digest", "batch", "keep_row", "keep_id", "group_size")
+            rows.select("digest", "batch", "keep_id", "group_size")
             .write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.name)
         )
         self.spark.catalog.refreshTable(self.name)
 
-    def label(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    def label(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch: str | None = None) -> DataFrame:
         """Deduplicate a batch and add it to the index.
 
         One row per row of ``docs``: row long (its place in the batch), doc_id, keep_id,
         group_size (rows of the batch with this text), kept, text_sha256.
         """
-        return self._decided(stage(self._digests(docs, doc_id, text), "dedup-rows"))
+        return self._decided(stage(self._digests(docs, doc_id, text), "dedup-rows"), batch)
 
-    def keep(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    def keep(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch: str | None = None) -> DataFrame:
         """The rows of ``docs`` that stay, with their columns, after adding it to the index.
 
         ``docs`` has to give the same rows in the same order each time it is read, as a
         table does.
         """
-        row = "_row_of_batch"
+        (row,) = fresh(docs, "row")
         numbered = docs.withColumn(row, F.monotonically_increasing_id())
-        labels = self._decided(stage(self._digests(numbered, doc_id, text, F.col(row)), "dedup-rows"))
-        return numbered.join(labels.where("kept").select(F.col("row").alias(row)), row, "left_semi").drop(row)
+        labels = self._decided(stage(self._digests(numbered, doc_id, text, F.col(row)), "dedup-rows"), batch)
+        gone = stage(labels.where(~F.col("kept")).select(F.col("row").alias(row)), "dedup-gone")
+        return numbered.join(gone, row, "left_anti").drop(row)
 
     @staticmethod
     def _digests(docs: DataFrame, doc_id: str, text: str, row: F.Column | None = None) -> DataFrame:
@@ -89,24 +112,23 @@ class DigestIndex:
             F.sha2(squeezed(whole), 256).alias("digest"),
         )
 
-    def _decided(self, rows: DataFrame) -> DataFrame:
-        batch = uuid.uuid4().hex
+    def _decided(self, rows: DataFrame, batch: str | None) -> DataFrame:
+        batch = batch or uuid.uuid4().hex
         best = F.min(F.struct(-F.col("code_points"), F.col("doc_id").isNull(), "doc_id", "row")).alias("best")
         groups = stage(
             rows.groupBy("digest").agg(best, F.count("*").alias("group_size")).select(
-                "digest", F.lit(batch).alias("batch"), F.col("best.row").alias("keep_row"), F.col("best.doc_id").alias("keep_id"), "group_size"
+                "digest", F.lit(batch).alias("batch"), F.col("best.row").alias("keep_row"), F.col("best.doc_id").alias("best_id"), F.col("best.doc_id").cast("string").alias("keep_id"), "group_size"
             ),
             "dedup-groups",
         )
         self.append(groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti"))
-        known = self.rows().select("digest", F.col("batch").alias("in_batch"), "keep_row", "keep_id").hint("merge")
-        decided = stage(groups.select("digest", "group_size").join(known, "digest"), "dedup-decided")
+        known = self.rows().select("digest", F.col("batch").alias("in_batch"), F.col("keep_id").alias("known_id")).hint("merge")
+        ours = F.col("in_batch") == batch
+        decided = groups.select("digest", "group_size", "keep_row", "best_id").join(known, "digest").select(
+            "digest", "group_size", F.when(ours, F.col("keep_row")).alias("keep_row"), F.when(ours, F.col("best_id")).otherwise(F.col("known_id").cast(rows.schema["doc_id"].dataType)).alias("keep_id")
+        )
+        decided = stage(decided, "dedup-decided")
         # both sides are scans with a shuffle each, so that AQE can split a digest that many rows share
         return rows.join(decided, "digest").select(
-            "row",
-            "doc_id",
-            "keep_id",
-            "group_size",
-            ((F.col("in_batch") == batch) & (F.col("row") == F.col("keep_row"))).alias("kept"),
-            F.col("digest").alias("text_sha256"),
+            "row", "doc_id", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"), F.col("digest").alias("text_sha256")
         )

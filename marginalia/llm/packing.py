@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from marginalia.plans.staging import stage
 
-from .common import text_blocks
+from .common import fresh, text_blocks, with_fields
 
 GROUP_PIECES = 2048
 MEMO_WORDS = 1 << 19
@@ -160,18 +160,20 @@ def pack(pieces: DataFrame, limit: int = 4096, group_pieces: int = GROUP_PIECES)
     """
     staged = stage(pieces, "pieces")
     groups = max(1, -(-staged.count() // group_pieces))
-    group = F.pmod(F.xxhash64("start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).alias("_group")
-    schema = T.StructType([*staged.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    (name,) = fresh(staged, "group")
+    group = F.pmod(F.xxhash64("start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).alias(name)
+    kept = [f.name for f in staged.schema.fields if f.name.lower() not in ("sequence_id", "offset")]
+    schema = with_fields(staged.schema, sequence_id=T.LongType(), offset=T.LongType())
 
     def run(key: tuple, found: pa.Table) -> pa.Table:
-        found = found.drop_columns(["_group"])
+        found = found.select(kept)
         order = [(c, "ascending") for c in ("doc_id", "start", "ids_crc32")]
         found = found.take(pc.sort_indices(found, sort_keys=[("length", "descending"), *order]))
         bins, offsets = first_fit(found["length"].to_numpy(), limit)
         first = key[0].as_py() << 32
         return found.append_column("sequence_id", pa.array([first + b for b in bins], pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
-    return staged.select("*", group).groupBy("_group").applyInArrow(run, schema)
+    return staged.select("*", group).groupBy(name).applyInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, path: str, limit: int = 4096, end_id: int = 2, with_ids: bool = True, **columns: str) -> DataFrame:

@@ -24,7 +24,9 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = DigestIndex(spark).label(table(spark, sf_dir, "documents"))
+    index = DigestIndex(spark)
+    labels = index.label(table(spark, sf_dir, "documents"))
+    index.close()
     return labels.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
@@ -43,7 +45,8 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-SHARD_BYTES = 64 << 20
+#: The byte limit of a shard: small, so that tables of any size here are split; the directory is a DataFrame and may grow.
+SHARD_BYTES = 1 << 20
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

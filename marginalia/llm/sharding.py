@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from marginalia.plans.staging import stage
 
-from .common import text_or_empty
+from .common import fresh, text_or_empty
 
 BITS, LEVELS = 60, 8
 #: Rows numbered together when repeated keys are dealt to pages.
@@ -98,9 +98,14 @@ def _pages(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def write(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> None:
-    """Write ``docs`` with a folder ``shard=...`` for each shard: every row once, whatever its key."""
-    numbered = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "shard-numbered")
-    shards = _assign(numbered, limit, key, text, F.col("_row"))
-    shards = shards.select(F.col("row").alias("_row"), F.concat(F.lit("p"), F.regexp_replace("shard", "/", "_")).alias("shard"))
-    placed = numbered.join(shards, "_row").drop("_row")
-    placed.repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write ``docs`` with a folder ``shard=...`` for each shard: every row once, whatever its key.
+
+    Where ``docs`` has a column shard itself, the folders are named by the first free of shard1, shard2, ...
+    """
+    row = fresh(docs, "row")[0]
+    taken = {c.lower() for c in docs.columns}
+    folder = next(n for n in ("shard", *(f"shard{i}" for i in range(1, len(taken) + 2))) if n not in taken)
+    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "shard-numbered")
+    shards = _assign(numbered, limit, key, text, F.col(row))
+    shards = shards.select(F.col("row").alias(row), F.concat(F.lit("p"), F.regexp_replace("shard", "/", "_")).alias(folder))
+    numbered.join(shards, row).drop(row).repartition(folder).write.partitionBy(folder).parquet(path)

@@ -16,9 +16,11 @@ _made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; one of our own only where none is set (tests)."""
+    """The shared folder that the session names. Where it names none, one of our own on a single machine; a cluster has to name it."""
     path = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(CHECKPOINT_DIR, path)
     return path.rstrip("/")
@@ -37,9 +39,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, found = _file_system(spark, path)
+    return system.exists(found)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete what this session has staged; call it when results that read it are written."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     while _made:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(conf).delete(path, True)
+        system, found = _file_system(spark, _made.pop())
+        system.delete(found, True)

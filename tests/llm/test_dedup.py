@@ -1,6 +1,9 @@
 import hashlib
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from marginalia.llm import registry
 from marginalia.llm.dedup import DigestIndex
 
@@ -44,8 +47,42 @@ def test_later_batches_and_reopening(spark):
     assert again.rows().count() == size + 1
 
 
+def test_a_batch_given_again(spark, tmp_path):
+    """The same batch id gets the same answer, another one finds all texts known."""
+    index = DigestIndex(spark, buckets=4)
+    spark.createDataFrame(ROWS, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    answers = [sorted(map(str, index.keep(docs, batch="one").collect())) for _ in range(2)]
+    assert answers[0] == answers[1] and len(answers[0]) == brute(ROWS)[1] == index.rows().count()
+    assert sorted(map(str, index.label(docs, batch="one").collect())) == sorted(map(str, DigestIndex(spark, buckets=4).label(docs).collect()))
+    assert index.keep(docs, batch="two").count() == 0
+
+
+def test_bucket_count_is_kept(spark):
+    first = DigestIndex(spark, buckets=8)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string")
+    first.label(docs)
+    first.close()
+    with pytest.raises(ValueError, match="8 buckets"):
+        DigestIndex(spark, first.path, buckets=4)
+    again = DigestIndex(spark, first.path)
+    assert again.buckets == 8 and again.keep(docs).count() == 0
+    again.close()
+    assert not spark.catalog.tableExists(again.name)
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "date"])
+def test_other_ids(spark, kind):
+    docs = spark.createDataFrame([(f"2020-01-0{i}" if kind == "date" else str(i), t) for i, t in ((1, "a"), (2, "a "), (3, "b"))], "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    index = DigestIndex(spark, buckets=2)
+    index.label(docs)
+    ids = {str(r.doc_id): (str(r.keep_id), r.kept) for r in index.label(docs).collect()}
+    a, b, c = sorted(ids)
+    assert ids == {a: (b, False), b: (b, False), c: (c, False)} and index.label(docs).schema["keep_id"].dataType == docs.schema["doc_id"].dataType
+
+
 def test_keep_and_clashing_columns(spark, tmp_path):
-    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(ROWS)], "doc_id long, text string, row long")
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(ROWS)], "doc_id long, text string, __ROW0 long")
     docs.write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
     kept = DigestIndex(spark, buckets=4).keep(docs)

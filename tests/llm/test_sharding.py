@@ -72,6 +72,6 @@ def test_written_shards_of_null_and_repeated_keys(spark, tmp_path):
 
 
 def test_query_against_sql(spark, monkeypatch):
+    sql = registry.OP4_SQL.replace(str(registry.SHARD_BYTES), "50000")
     monkeypatch.setattr(registry, "SHARD_BYTES", 50_000)
-    sql = registry.OP4_SQL.replace(str(64 << 20), "50000")
     assert same(spark, registry.op4_sharding, sql, "/root/testdata/sf0.001") > 0
