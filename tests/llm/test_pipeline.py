@@ -7,11 +7,12 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from marginalia.llm import quality, simhash
+from marginalia.llm import near, quality, simhash
 from marginalia.plans.staging import stage
 
+from .test_near import alike, brute_set
 from .test_secrets import brute as brute_secrets
-from .test_simhash import brute_components, brute_fingerprint
+from .test_simhash import brute_fingerprint
 
 D = "/root/testdata/sf0.01"
 
@@ -43,12 +44,18 @@ def test_exact_stage(outputs):
 
 
 def test_near_stage(outputs):
+    """Five-word shingles, similarity 0.8: no near pair stays, and what goes is near, or two bits from, an earlier document."""
     rows = sorted(outputs[2], key=lambda r: r.doc_id)
-    comp = brute_components([brute_fingerprint(r.text) for r in rows])
-    low = {}
-    for r, c in zip(rows, comp):
-        low.setdefault(c, r.doc_id)
-    assert {r.doc_id for r in outputs[3]} == set(low.values())
+    sets, prints = [brute_set(r.text) for r in rows], [brute_fingerprint(r.text) for r in rows]
+    stays = {r.doc_id for r in outputs[3]}
+    linked = set()
+    for j in range(len(rows)):
+        for i in range(j):
+            near = min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j])) and alike(sets[i], sets[j])
+            assert not (near and rows[i].doc_id in stays and rows[j].doc_id in stays)
+            if near or (prints[i] ^ prints[j]).bit_count() <= 2:
+                linked.add(rows[j].doc_id)
+    assert 0 < len(rows) - len(stays) <= len(linked) and {r.doc_id for r in rows} - stays <= linked
 
 
 def test_secret_stage(outputs):
@@ -76,6 +83,10 @@ def test_rows_of_a_null_id(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
     assert simhash.keep(docs).count() == 2
+    apart = [(i, f"{w} " * 3 + " ".join(f"{w}{n}" for n in range(40)), "en", "s", 0) for i, w in ((None, "a"), (None, "b"), (None, "c"), (5, "d"), (5, "e"))]
+    spark.createDataFrame(apart + apart[:2] + apart[4:], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "e"))
+    for keep in (simhash.keep, near.keep):
+        assert sorted(map(str, keep(spark.read.parquet(str(tmp_path / "e"))).collect())) == sorted(map(str, spark.createDataFrame(apart, docs.schema).collect()))
     for _, function in corpus_pipeline.STAGES:
         for input_ in (docs, docs.limit(0)):
             function(spark, input_, D).collect()
