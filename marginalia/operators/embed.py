@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 from marginalia.functions.text import _col, cache_key
 
 DIM = 128
+DIGEST = 32
 
 
 def digest_vector(text: Column | str, dim: int = DIM) -> Column:
     """The bytes of the text's sha256, over and over up to ``dim``, each spread over -1 to 1. Not semantic."""
-    digest = F.sha2(_col(text), 256)
-    byte = lambda i: F.conv(F.substring(digest, F.pmod(i, F.lit(32)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: byte(i) / F.lit(127.5) - F.lit(1.0))
+    byte = lambda digest, i: F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    # the text is hashed once: a lambda's variable holds the digest, and its values are repeated
+    once = F.transform(F.array(F.sha2(_col(text), 256)), lambda d: F.transform(F.sequence(F.lit(0), F.lit(min(dim, DIGEST) - 1)), lambda i: byte(d, i) / F.lit(127.5) - F.lit(1.0)))
+    return F.slice(F.flatten(F.array_repeat(F.get(once, F.lit(0)), -(-dim // DIGEST))), 1, dim)
 
 
 def dummy(rows: DataFrame, text: str = "text", dim: int = DIM) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .search import cosine
+from .search import DIGITS, _unit
 
 MMR_CHARS, PREVIEW_CHARS = 2000, 700
 
@@ -29,31 +31,33 @@ def dedupe_by_source(rows: DataFrame, key: str = "source_path", qid: str = "qid"
 def mmr(rows: DataFrame, k: int, lam: float = 0.7, qid: str = "qid", node_id: str = "node_id", vector: str = "vector", query_vector: str = "query_vector") -> DataFrame:
     """(qid, node_id, mmr_rank): repeatedly the best of lam * cos(query) - (1 - lam) * most cos(selected).
 
-    Candidates per query are few (a retrieved set, its size the search's k). Ties go to the smaller id.
+    Candidates per query are few (a retrieved set, its size the search's k). Ties go to the smaller id; values
+    are compared to DIGITS digits. Each candidate keeps its most likeness to what is selected, so a turn costs one
+    product of the candidates with the last choice.
     """
+    q_type, id_type = (rows.schema[c].dataType.simpleString() for c in (qid, node_id))
+    schema = f"{qid} {q_type}, {node_id} {id_type}, mmr_rank int"
     if k <= 0:
-        return rows.select(qid, node_id, F.lit(1).alias("mmr_rank")).limit(0)
-    one = F.struct(F.col(node_id).alias("id"), F.col(query_vector).cast("array<double>").alias("q"), F.col(vector).cast("array<double>").alias("v"))
-    grouped = rows.groupBy(qid).agg(F.array_sort(F.collect_list(one)).alias("c"))
-    sims = grouped.select(
-        qid,
-        F.col("c.id").alias("ids"),
-        F.transform("c", lambda a: cosine(a["q"], a["v"])).alias("rel"),
-        F.transform("c", lambda a: F.transform("c", lambda b: cosine(a["v"], b["v"]))).alias("sim"),
-    )
-
-    def step(picked, _):
-        def value(i):
-            most = F.array_max(F.transform(picked, lambda j: F.get(F.get("sim", i), j)))
-            return F.lit(lam) * F.get("rel", i) - F.lit(1 - lam) * F.coalesce(most, F.lit(0.0))
-
-        left = F.filter(F.sequence(F.lit(0), F.size("ids") - 1), lambda i: ~F.array_contains(picked, i))
-        best = F.array_max(F.transform(left, lambda i: F.struct(value(i).alias("s"), (-i).alias("i"))))
-        return F.concat(picked, F.array(-best["i"]))
-
-    turns = F.sequence(F.lit(1), F.least(F.lit(k), F.size("ids")))
-    picked = sims.withColumn("p", F.aggregate(turns, F.array().cast("array<int>"), step))
-    return picked.select(qid, "ids", F.posexplode("p").alias("n", "i")).select(qid, F.get("ids", F.col("i")).alias(node_id), (F.col("n") + 1).alias("mmr_rank"))
+        return rows.sparkSession.createDataFrame([], schema)
+
+    def run(found: pa.Table) -> pa.Table:
+        found = found.sort_by("id")
+        v = _unit(np.stack(found["v"].to_numpy()))
+        worth = lam * (v @ _unit(np.stack(found["q"].slice(0, 1).to_numpy()))[0])
+        most, left, order = np.zeros(len(v)), np.ones(len(v), bool), []
+        for turn in range(min(k, len(v))):
+            value = np.where(left, np.round(worth - (1 - lam) * most, DIGITS), -np.inf)
+            best = int(np.argmax(value))
+            order.append(best)
+            left[best] = False
+            like = v @ v[best]
+            most = like if turn == 0 else np.maximum(most, like)
+        columns = [found["qid"].slice(0, 1).take(pa.array([0] * len(order))), found["id"].take(pa.array(order)), pa.array(range(1, len(order) + 1), pa.int32())]
+        return pa.table(columns, names=[qid, node_id, "mmr_rank"])
+
+    real = rows.where(F.col(vector).isNotNull() & F.col(query_vector).isNotNull())
+    one = real.select(F.col(qid).alias("qid"), F.col(node_id).alias("id"), F.col(query_vector).cast("array<double>").alias("q"), F.col(vector).cast("array<double>").alias("v"))
+    return one.groupBy("qid").applyInArrow(run, schema)
 
 
 def rerank_order(reply: str | None, candidates: int, keep: int) -> list[int]:

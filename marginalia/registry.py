@@ -14,6 +14,7 @@ from marginalia.functions import text as tx
 from marginalia.operators import chunk, context, embed, evaluate, search, select
 from marginalia.plans import rag
 from marginalia.plans.config import load_profile
+from marginalia.plans.staging import stage
 from marginalia.sources import files, notes, store
 
 QUERIES, ORACLES = {}, {}
@@ -130,7 +131,24 @@ def dedupe_source(spark, d):
     return select.dedupe_by_source(found, node_id="vec_id", ties=("vec_id",)).select("qid", "vec_id", "source_path", "score")
 
 
-@query()
+def mmr_sql(candidates: str, k: int, lam: float) -> str:
+    """CTEs from ``candidates`` (qid, vec_id, score, e of the query as q, e): ``mmr`` (qid, vec_id, mmr_rank)."""
+    return f"""c AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY vec_id) AS o FROM ({candidates})),
+    m AS (SELECT a.qid, a.o, any_value(a.vec_id) AS vec_id, any_value(list_cosine_similarity(a.q, a.e)) AS rel, list(list_cosine_similarity(a.e, b.e) ORDER BY b.o) AS likes FROM c a JOIN c b USING (qid) GROUP BY a.qid, a.o),
+    picks AS (
+      SELECT qid, 0 AS n, CAST([] AS BIGINT[]) AS picked FROM m GROUP BY qid
+      UNION ALL
+      SELECT p.qid, p.n + 1, list_append(p.picked, first(m.o ORDER BY round({lam} * rel - {round(1 - lam, 9)} * coalesce(list_max(list_transform(p.picked, lambda i: likes[i])), 0), 6) DESC, m.o))
+      FROM picks p JOIN m ON m.qid = p.qid AND NOT list_contains(p.picked, m.o) WHERE p.n < {k} GROUP BY p.qid, p.n, p.picked
+    ),
+    longest AS (SELECT qid, arg_max(picked, n) AS picked FROM picks GROUP BY qid),
+    mmr AS (SELECT l.qid, m.vec_id, CAST(list_position(l.picked, m.o) AS INT) AS mmr_rank FROM longest l JOIN m ON m.qid = l.qid AND list_contains(l.picked, m.o))"""
+
+
+@query(
+    f"""WITH RECURSIVE {ALL_SCORES_SQL}, {mmr_sql("SELECT s.qid, s.vec_id, q.e AS q, s.e FROM s JOIN v q ON q.vec_id = s.qid QUALIFY row_number() OVER (PARTITION BY s.qid ORDER BY score DESC, s.vec_id) <= 20", 10, 0.65)}
+    SELECT qid, vec_id, mmr_rank FROM mmr"""
+)
 def mmr(spark, d):
     rows = nodes(spark, d)
     found = batch(spark, d, 20).join(rows.select("vec_id", "vector"), "vec_id").join(asked(rows), "qid")
@@ -158,7 +176,12 @@ def profile_code(spark, d):
     return final.select("qid", "vec_id", "score", "ord")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {ALL_SCORES_SQL}, t AS (SELECT * FROM s WHERE classification = 'note' QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) <= 60),
+    u AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY qid, source_path ORDER BY score DESC, vec_id) = 1),
+    {mmr_sql("SELECT u.qid, u.vec_id, q.e AS q, u.e FROM u JOIN v q ON q.vec_id = u.qid", 60, 0.65)}
+    SELECT qid, vec_id, score, mmr_rank AS ord FROM mmr JOIN u USING (qid, vec_id) WHERE mmr_rank <= 6"""
+)
 def profile_reflection(spark, d):
     rows = nodes(spark, d)
     _, final = rag.by_profile(rows, asked(rows), load_profile("reflection"), node_id="vec_id")
@@ -203,10 +226,28 @@ def render_context(spark, d):
     return context.render(packed(spark, d))
 
 
-@query()
+def _digest_sql(text: str) -> str:
+    return f"list_transform(range(0, 128), lambda i: CAST('0x' || substr(sha256({text}), CAST(i % 32 * 2 + 1 AS BIGINT), 2) AS INT) / 127.5 - 1.0)"
+
+
+@query(
+    f"""WITH {CHUNKS_SQL}, x AS (SELECT {CHUNK_ID_SQL} AS chunk_id, text, {_digest_sql("text")} AS e FROM chunks),
+    q AS (SELECT item_id AS qid, text AS query, {_digest_sql("text")} AS e FROM benchmark),
+    s AS (SELECT qid, chunk_id, x.text, round(list_cosine_similarity(q.e, x.e), 6) AS score FROM q, x QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) <= 10),
+    u AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY qid, {SIGNATURE_SQL} ORDER BY score DESC, chunk_id) = 1),
+    r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM u),
+    k AS (SELECT *, greatest(1, length('[' || rank || ']' || chr(10)) // 4) + greatest(1, length(text) // 4) + 1 AS cost FROM r),
+    p AS (SELECT *, 2 + sum(cost) OVER (PARTITION BY qid ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM k QUALIFY used <= 1800 AND rank <= 10),
+    body AS (SELECT qid, trim(chr(10) || string_agg('[' || rank || ']' || chr(10) || trim(text, {SQL_WS}) || chr(10), chr(10) ORDER BY rank), {SQL_WS}) || chr(10) AS t FROM p GROUP BY qid),
+    told AS (SELECT qid, query, list_distinct(regexp_extract_all(lower(query), '[a-z0-9]+')) AS wanted, regexp_replace(coalesce(t, ''), '([.!?]){RE_WS}+', '\\1' || chr(1), 'g') AS t FROM q LEFT JOIN body USING (qid)),
+    cut AS (SELECT qid, query, wanted, unnest(string_split(t, chr(1))) AS one, generate_subscripts(string_split(t, chr(1)), 1) AS n FROM told),
+    best AS (SELECT *, len(list_intersect(list_distinct(regexp_extract_all(lower(one), '[a-z0-9]+')), wanted)) AS hits FROM cut QUALIFY row_number() OVER (PARTITION BY qid ORDER BY hits DESC, n) = 1),
+    a AS (SELECT qid, query, CASE WHEN hits > 0 THEN trim(one, {SQL_WS}) ELSE 'I don''t know.' END AS answer FROM best)
+    SELECT qid, query, answer, {" OR ".join(f"contains(lower(answer), '{p.replace(chr(39), chr(39) * 2)}')" for p in tx.ABSTENTIONS)} AS abstained FROM a"""
+)
 def rag_answers(spark, d):
     questions = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    return rag.rag_answer(rag.index(table(spark, d, "documents")), questions)
+    return rag.rag_answer(stage(rag.index(table(spark, d, "documents")), "index"), questions)
 
 
 @query(
@@ -250,10 +291,16 @@ def front_matter(spark, d):
     return docs.select("doc_id", "f.source", "f.body", md.normalize_tags(F.get_json_object(parsed, "$.tags")).alias("tags"))
 
 
-@query("SELECT doc_id, list_sort(list_distinct([lang, 'a/' || source, 'last'])) AS tags FROM documents")
+TAGGED_SQL = "'#' || lang || ' x#no (#a/' || source || ')' || chr(10) || text || ' é#no #last'"
+
+
+@query(
+    rf"""WITH t AS (SELECT doc_id, regexp_replace({TAGGED_SQL}, '([/-])#', '\1 #', 'g') AS t FROM documents)
+    SELECT doc_id, list_sort(list_distinct(regexp_extract_all(t, '(?:^|[^\pL\pM\p{{Nd}}\p{{Nl}}\p{{Pc}}])#([A-Za-z0-9/_-]+)', 1))) AS tags FROM t"""
+)
 def tags_inline(spark, d):
-    plain = F.regexp_replace("text", "#", "")
-    decorated = F.concat(F.lit("#"), "lang", F.lit(" x#no (#a/"), "source", F.lit(")\n"), plain, F.lit(" é#no #last"))
+    """Tags of the texts as they are. The SQL parts a tag that ends in / or - from a tag right after it, as its patterns cannot look back."""
+    decorated = F.concat(F.lit("#"), "lang", F.lit(" x#no (#a/"), "source", F.lit(")\n"), "text", F.lit(" é#no #last"))
     return table(spark, d, "documents").select("doc_id", md.inline_tags(decorated).alias("tags"))
 
 
@@ -272,26 +319,13 @@ def fence_split(spark, d):
 
 
 @query(
-    f"""SELECT doc_id, unnest([NULL, '## ' || source, '### x']) AS heading, unnest(['# Top' || chr(10) || 'lead', trim(text, {SQL_WS}), '']) AS body, unnest([0, 1, 2]) AS n FROM documents"""
+    rf"""WITH t AS (SELECT doc_id, regexp_replace('# Top' || chr(10) || 'lead' || chr(10) || chr(10) || '## ' || source || '  ' || chr(10) || text || chr(10) || '### x', '\r\n|\r', chr(10), 'g') AS t FROM documents),
+    m AS (SELECT doc_id, string_split(replace(regexp_replace(t, '(?m)^(?:(#{{2,6}}{RE_WS}+.+?){RE_WS}*$|(#{RE_WS}+.+?{RE_WS}*$))', chr(1) || '\1' || chr(2) || '\2', 'g'), chr(1) || chr(2), ''), chr(1)) AS parts FROM t),
+    p AS (SELECT doc_id, parts, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM m)
+    SELECT doc_id, CASE WHEN i > 1 THEN trim(string_split(part, chr(2))[1], {SQL_WS}) END AS heading, trim(string_split(part, chr(2))[-1], {SQL_WS}) AS body, CAST(i - 1 AS INT) AS n FROM p"""
 )
 def heading_split(spark, d):
-    note = F.concat(F.lit("# Top\nlead\n\n## "), "source", F.lit("  \n"), F.regexp_replace("text", "#", ""), F.lit("\n### x"))
-    return table(spark, d, "documents").where(F.instr("text", "#") == 0).select("doc_id", F.posexplode(md.sections(note)).alias("n", "s")).select("doc_id", "s.*", "n")
-
-
-ORACLES["heading_split"] += " WHERE NOT contains(text, '#')"
-
-
-@query()
-def tags_inline_whole(spark, d):
-    """Tags of the texts as they are; SQL has no such rule, so there is none."""
-    decorated = F.concat(F.lit("#"), "lang", F.lit(" x#no (#a/"), "source", F.lit(")\n"), "text", F.lit(" é#no #last"))
-    return table(spark, d, "documents").select("doc_id", md.inline_tags(decorated).alias("tags"))
-
-
-@query()
-def heading_split_whole(spark, d):
-    """Sections of all texts as they are, those with headings of their own too; without SQL."""
+    """Sections of all texts as they are, those with headings of their own too."""
     note = F.concat(F.lit("# Top\nlead\n\n## "), "source", F.lit("  \n"), "text", F.lit("\n### x"))
     return table(spark, d, "documents").select("doc_id", F.posexplode(md.sections(note)).alias("n", "s")).select("doc_id", "s.*", "n")
 
@@ -342,14 +376,17 @@ def ingest_report(spark, d):
     return found.select("scanned", *files.OUTCOMES, *by)
 
 
-@query("SELECT doc_id, doc_id % 4 = 0 OR doc_id % 4 = 1 AS is_binary, CASE WHEN doc_id % 4 = 2 THEN 'é' ELSE text END AS decoded FROM documents WHERE doc_id >= 0")
+@query(
+    """SELECT doc_id, doc_id % 4 = 0 OR doc_id % 4 = 1 AS is_binary, CASE doc_id % 4 WHEN 0 THEN text || chr(0) WHEN 1 THEN repeat(chr(1), 200) || text
+    WHEN 2 THEN list_aggregate(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: chr(CAST('0x' || x AS INT))), 'string_agg', '') || 'é' ELSE text END AS decoded FROM documents"""
+)
 def binary_and_decoding(spark, d):
-    """NUL bytes at the end, over 2 % controls, bytes that are no UTF-8, or plain text."""
+    """A NUL byte at the end, over 2 % controls, bytes that are no UTF-8 (all read as latin-1), or plain text."""
     n, raw = F.col("doc_id"), F.col("text").cast("binary")
     controls = F.concat(F.repeat(F.lit("\x01"), 200).cast("binary"), raw)
-    content = F.when(n % 4 == 0, F.concat(raw, F.unhex(F.lit("00")))).when(n % 4 == 1, controls).when(n % 4 == 2, F.unhex(F.lit("E9"))).otherwise(raw)
-    rows = table(spark, d, "documents").select("doc_id", content.alias("c"), "text")
-    return rows.select("doc_id", files.looks_binary("c").alias("is_binary"), F.when(n % 4 <= 1, F.col("text")).otherwise(files.decoded("c")).alias("decoded"))
+    content = F.when(n % 4 == 0, F.concat(raw, F.unhex(F.lit("00")))).when(n % 4 == 1, controls).when(n % 4 == 2, F.concat(raw, F.unhex(F.lit("E9")))).otherwise(raw)
+    rows = table(spark, d, "documents").select("doc_id", content.alias("c"))
+    return rows.select("doc_id", files.looks_binary("c").alias("is_binary"), files.decoded("c").alias("decoded"))
 
 
 RELEVANT_SQL = "rel AS (SELECT q.vec_id AS qid, v.vec_id FROM v JOIN v q ON q.vec_id = (v.vec_id + 50) // 100 * 100 AND q.label = v.label)"

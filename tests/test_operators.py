@@ -51,17 +51,22 @@ def test_filter_none_meets_missing(spark):
     assert [r.n for r in rows.where(search.metadata_filter({"k": None})).collect()] == [1]
 
 
-def test_search_all_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("shared", [1 << 20, 128])
+def test_search_all_in_blocks(spark, monkeypatch, shared):
     monkeypatch.setattr(search, "BLOCK", 3)
-    monkeypatch.setattr(search, "PASS", 7)
+    monkeypatch.setattr(search, "SHARED", shared)
+    monkeypatch.setattr(search, "SLICE", 16)
     rng = np.random.default_rng(1)
     x = rng.integers(-2, 3, (60, 4)).astype(float)
-    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartition(4)
-    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:10])], "qid long, query_vector array<double>")
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "id long, vector array<double>").repartition(4)
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:10])] + [(99, None)], "qid long, query_vector array<double>")
     u = x / np.where(np.linalg.norm(x, axis=1, keepdims=True) == 0, 1, np.linalg.norm(x, axis=1, keepdims=True))
     s = np.round(u[:10] @ u.T, 6)
     want = {(q, r + 1, i) for q in range(10) for r, i in enumerate(sorted(range(60), key=lambda i: (-s[q, i], i))[:7])}
     assert {(r.qid, r["rank"], r.id) for r in search.search_all(rows, queries, 7, "id").collect()} == want
+    assert search.search(rows, [1.0, 0.0, 0.0, 0.0], 100, ties=("id",)).count() == 60
+    named = search.search_all(rows.withColumn("id", F.format_string("n%03d", "id")), queries, 7, "id")
+    assert {(r.qid, r["rank"], int(r.id[1:])) for r in named.collect()} == want
     assert search.search_all(rows, queries.limit(0), 7, "id").count() == search.search_all(rows, queries, 0, "id").count() == 0
 
 
