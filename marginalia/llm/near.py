@@ -32,13 +32,15 @@ from pyspark.sql import types as T
 
 from marginalia.plans.staging import stage
 
-from .common import fresh, text_blocks
+from .common import arrow_rows, fresh, text_blocks
 from .simhash import later_rows, shingle_hashes
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS, MOST = 24, 4, 25
 LEADERS, GROWTH = 512, 8
-SLICE = 1 << 15
+SLICE = 1 << 11
+#: Rows that a worker is handed at a time, of texts and of pairs of texts.
+TEXTS, PAIRS = 1024, 128
 _RNG = np.random.default_rng(42)
 XOR = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
 ODD = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -108,7 +110,9 @@ def _near(pairs: DataFrame) -> DataFrame:
 
 def dropped(texts: DataFrame) -> DataFrame:
     """``row`` of the ``texts`` (row, late, id, text) that are near an earlier one; rows are ordered by (late, id, row)."""
-    signed = stage(_signed(texts), "near-signed")
+    spark = texts.sparkSession
+    with arrow_rows(spark, TEXTS):
+        signed = stage(_signed(texts), "near-signed")
     about = signed.drop("bands")
     placed = signed.select("row", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1").select("bucket")
@@ -128,14 +132,15 @@ def dropped(texts: DataFrame) -> DataFrame:
         named = pairs.select(F.col("early").alias("row")).union(pairs.select(F.col("later").alias("row"))).distinct()
         some = stage(texts.select("row", "text").join(named, "row", "left_semi"), "near-texts")
         sides = [some.select(F.col("row").alias(side), F.col("text").alias(f"text_{c}")) for side, c in (("early", "a"), ("later", "b"))]
-        gone = stage(_near(pairs.join(sides[0], "early").join(sides[1], "later").select("later", "text_a", "text_b")).distinct().withColumnRenamed("later", "row"), "near-gone")
+        with arrow_rows(spark, PAIRS):
+            gone = stage(_near(pairs.join(sides[0], "early").join(sides[1], "later").select("later", "text_a", "text_b")).distinct().withColumnRenamed("later", "row"), "near-gone")
         lost.append(gone)
         rest = left.join(first.select("bucket", F.col("a.row").alias("row")), ["bucket", "row"], "left_anti").join(gone, "row", "left_anti")
         rest = stage(rest, "near-rest")
         several = rest.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1").select("bucket")
         left = stage(rest.join(stage(several, "near-shared"), "bucket", "left_semi"), "near-left")
         turn, leaders = turn + 1, min(LEADERS, leaders * GROWTH)
-    none = texts.sparkSession.createDataFrame([], "row long")
+    none = spark.createDataFrame([], "row long")
     for more in lost:
         none = none.union(more)
     return none.distinct()

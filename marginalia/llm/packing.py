@@ -29,9 +29,11 @@ from pyspark.sql import types as T
 
 from marginalia.plans.staging import stage
 
-from .common import fresh, text_blocks, with_fields
+from .common import arrow_rows, fresh, text_blocks, with_fields
 
 GROUP_PIECES = 2048
+#: Texts that a worker is handed at a time.
+TEXTS = 2048
 MEMO_WORDS = 1 << 19
 #: Letters of the first Unicode blocks and a stop, where the library's rules surely part the two.
 PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[,.]").fullmatch
@@ -158,7 +160,8 @@ def pack(pieces: DataFrame, limit: int = 4096, group_pieces: int = GROUP_PIECES)
     Sequences are gapless from offset 0. The pieces are written once, as their number
     decides how many groups there are.
     """
-    staged = stage(pieces, "pieces")
+    with arrow_rows(pieces.sparkSession, TEXTS):
+        staged = stage(pieces, "pieces")
     groups = max(1, -(-staged.count() // group_pieces))
     (name,) = fresh(staged, "group")
     group = F.pmod(F.xxhash64("start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).alias(name)

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from marginalia.plans.staging import stage
 
-from .common import fresh, text_blocks
+from .common import arrow_rows, fresh, text_blocks
 from .components import connected_components
 
 SEED, SHINGLE, THRESHOLD = 42, 3, 2
@@ -40,6 +40,8 @@ HALF = 23
 #: Fixed value: the generator polynomial of the binary Golay code.
 GOLAY = 0b110001110101
 VOTE_ROWS = 1 << 15
+#: Texts that a worker is handed at a time.
+TEXTS = 1024
 
 
 def shingle_hashes(text: str | None, shingle: int) -> list[int]:
@@ -145,7 +147,8 @@ def links(distinct: DataFrame) -> DataFrame:
 
 def components(rows: DataFrame) -> DataFrame:
     """``rows`` (doc_id, fp, ...), written once, with component (its smallest fingerprint) and component_id (the smallest id reachable)."""
-    rows = stage(rows, "simhash-rows")
+    with arrow_rows(rows.sparkSession, TEXTS):
+        rows = stage(rows, "simhash-rows")
     distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
     linked = connected_components(links(distinct))
     joined = distinct.join(linked, distinct.fp == linked.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
