@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder that the session names. Where it names none, one of our own on a single machine; a cluster has to name it."""
     path = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(CHECKPOINT_DIR, path)
@@ -49,8 +50,23 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(found)
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        system, found = _file_system(spark, path)
+        system.delete(found, True)
+
+
+def settle(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` makes, staged; the tables that it staged on the way are deleted."""
+    before = len(_made)
+    result = stage(build(), label)
+    passed = _made[before:-1]
+    del _made[before:-1]
+    _delete(spark, passed)
+    return result
+
+
 def clear(spark: SparkSession) -> None:
     """Delete what this session has staged; call it when results that read it are written."""
-    while _made:
-        system, found = _file_system(spark, _made.pop())
-        system.delete(found, True)
+    _delete(spark, _made)
+    _made.clear()

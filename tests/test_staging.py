@@ -10,3 +10,15 @@ def test_stage_and_clear(spark):
     spark.range(1).write.parquet(path)
     staging.clear(spark)
     assert not os.path.exists(path) and os.path.isdir(staging.shared_dir(spark).removeprefix("file://"))
+
+
+def test_settle_leaves_the_result_alone(spark):
+    passed = []
+
+    def build():
+        passed.append(staging.stage(spark.range(3), "way").inputFiles()[0].removeprefix("file://"))
+        return spark.range(4)
+
+    kept = staging.stage(spark.range(2), "before")
+    assert staging.settle(spark, "end", build).count() == 4 and kept.count() == 2
+    assert not os.path.exists(passed[0])
