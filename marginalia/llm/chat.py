@@ -9,11 +9,13 @@ is its place there, ``position`` the position id of its first token (ids go on f
 parent's last), and ``ancestors`` are the intervals of the tree's tokens that it may attend
 to beside its own earlier ones. Loss is on assistant texts.
 
-Depth-first order needs no tree in memory: a conversation's key is the chain of its shared
-nodes' digests and its first own one, nodes are sorted by the least key among their
-conversations and their depth, and offsets are running sums over that order by range, with the
-ranges' totals added. So a first turn that very many conversations share is no hot spot. A
-single conversation is read in order by one task, as a stream that holds one turn at a time.
+Depth-first order needs no tree in memory. Conversations are ranked by their turns, up to the first that
+no other shares: names of pairs of neighbouring turns, in order, make names of twice the length,
+round after round, each half the size of the one before (Karp, Miller and Rosenberg, "Rapid
+Identification of Repeated Patterns"). Nodes are sorted by the least rank among their conversations and
+their depth, and offsets are running sums over that order by range, with the ranges' totals added.
+So a first turn that very many conversations share is no hot spot, and long shared beginnings
+cost no more than their turns. A single conversation is read in order by one task, as a stream of digests.
 
 Defined results: null texts and roles count as empty; turns go by turn, then role, then text,
 nulls first, and repeated rows are turns of their own; null ids form one conversation; an
@@ -23,24 +25,27 @@ empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
-from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marginalia.plans.staging import stage
+from marginalia.plans.staging import settle, stage
 
 from .bpe import vocabulary
+from .common import small_batches, text_blocks
 
 START, END, ASSISTANT = "<|im_start|>", "<|im_end|>\n", "assistant"
 DIGEST = 32
-#: Rows handed to a worker's output at a time.
-ROWS = 512
+#: Bytes of text that are tokenised at a time, and roles that a task remembers.
+BLOCK_BYTES, ROLES = 1 << 20, 512
 
 
 def escape(text: str) -> str:
@@ -72,57 +77,28 @@ def read_turn(segment: str) -> tuple[str, str]:
     return read_head(first), unescape(rest)
 
 
-def _streamed(rows: DataFrame, step: Callable[[dict | None, dict], tuple[dict, dict | None]], close: Callable[[dict], dict | None], schema: str) -> DataFrame:
-    """Go through each conversation's ``rows`` in order of pos, keeping one state.
+@lru_cache(maxsize=2)
+def library(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
 
-    ``step`` takes the state (None at a conversation's first row) and a row and returns the new state
-    and a row to emit or None; ``close`` may emit one from the last state.
-    """
-    from pyspark.sql import types as T
-    from pyspark.sql.pandas.types import to_arrow_schema
+    found = Tokenizer.from_file(path)
+    found.no_truncation()
+    found.no_padding()
+    return found
 
-    shape = to_arrow_schema(T.StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, conv, out = None, None, []
-        for batch in batches:
-            for lo in range(0, batch.num_rows, ROWS):
-                for row in batch.slice(lo, ROWS).to_pylist():
-                    if state is not None and row["conv"] != conv:
-                        out.append(close(state))
-                        state = None
-                    conv = row["conv"]
-                    state, made = step(state, row)
-                    out.append(made)
-                yield pa.RecordBatch.from_pylist([r for r in out if r is not None], schema=shape)
-                out = []
-        if state is not None and (made := close(state)) is not None:
-            yield pa.RecordBatch.from_pylist([made], schema=shape)
-
-    return rows.mapInArrow(run, schema)
-
-
-def _chained(turns: DataFrame, path: str) -> DataFrame:
-    """Each turn as a step of its conversation: digest of all turns so far, tokens, loss interval, position."""
-
-    def step(state: dict | None, row: dict) -> tuple[dict, dict]:
-        known = vocabulary(path)
-        state = state or {"pos": 0, "node": "", "position": 0}
-        opening, text = head(row["role"]), escape(row["text"])
-        ids = array("i")
-        known.encode(opening, ids)
-        begin = len(ids)
-        known.encode(text, ids)
-        end = len(ids)
-        known.encode(END, ids)
-        loss = row["role"] == ASSISTANT
-        node = hashlib.sha256(f"{state['node']}{opening}{text}".encode()).hexdigest()[:DIGEST]
-        made = {
-            "conv": row["conv"], "conv_id": row["conv_id"], "pos": state["pos"], "node": node, "parent": state["node"], "position": state["position"],
-            "n_tokens": len(ids), "tokens": ids.tolist(), "loss_start": begin if loss else 0, "loss_end": end if loss else 0,
-        }
-        return {"pos": state["pos"] + 1, "node": node, "position": state["position"] + len(ids)}, made
+def encoded(texts: list[str], path: str) -> list[np.ndarray]:
+    return [np.array(e.ids, np.int32) for e in library(path).encode_batch_fast(texts, add_special_tokens=False)]
+
 
+def listed(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32), pa.int32()))
+
+
+def _turned(turns: DataFrame, path: str) -> DataFrame:
+    """Each turn with what it says in one digest, its tokens, and the interval of them under the loss."""
     inputs = turns.select(
         F.coalesce(F.col("conv_id").cast("string"), F.lit("none")).alias("conv"),
         F.col("conv_id").cast("long").alias("conv_id"),
@@ -130,13 +106,80 @@ def _chained(turns: DataFrame, path: str) -> DataFrame:
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    ordered = inputs.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
-    schema = "conv string, conv_id long, pos int, node string, parent string, position long, n_tokens int, tokens array<int>, loss_start int, loss_end int"
-    return _streamed(ordered, step, lambda state: None, schema)
+    schema = T.StructType([*inputs.schema.fields, *T.StructType.fromDDL("digest binary, n_tokens int, loss_start int, loss_end int, tokens array<int>").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (closing,) = encoded([END], path)
+        heads: dict[str, np.ndarray] = {}
+        for batch in text_blocks(batches, "text", BLOCK_BYTES):
+            roles, texts = batch.column("role").to_pylist(), list(map(escape, batch.column("text").to_pylist()))
+            if len(heads) > ROLES:
+                heads.clear()
+            new = list({r for r in roles if r not in heads})
+            heads.update(zip(new, encoded(list(map(head, new)), path), strict=True))
+            bodies = encoded(texts, path)
+            digests = [hashlib.sha256((head(r) + t).encode()).digest() for r, t in zip(roles, texts, strict=True)]
+            begin = np.array([len(heads[r]) for r in roles])
+            end = begin + np.array(list(map(len, bodies)))
+            loss = np.array([r == ASSISTANT for r in roles])
+            tokens = listed([part for r, body in zip(roles, bodies, strict=True) for part in (heads[r], body, closing)]).values
+            sizes = end + len(closing)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), tokens)
+            made = [pa.array(digests, pa.binary()), *(pa.array(x, pa.int32()) for x in (sizes, begin * loss, end * loss)), lists]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
+
+    return inputs.mapInArrow(run, schema)
+
+
+def _chained(turned: DataFrame) -> DataFrame:
+    """Each turn as a step of its conversation: pos, node (digest of all turns so far), parent, tree (the first node) and position."""
+    ordered = turned.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
+    ordered = ordered.select("conv", "conv_id", "n_tokens", "loss_start", "loss_end", "tokens", "digest")
+    kept = ordered.columns[:-1]
+    schema = T.StructType([*ordered.schema.fields[:-1], *T.StructType.fromDDL("pos int, node string, parent string, tree string, position long").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, pos, node, tree, position = None, 0, "", "", 0
+        for batch in batches:
+            made: list[tuple] = []
+            for c, digest, n in zip(*(batch.column(k).to_pylist() for k in ("conv", "digest", "n_tokens")), strict=True):
+                if c != conv:
+                    conv, pos, node, position = c, 0, "", 0
+                parent, node = node, hashlib.sha256(node.encode() + digest).hexdigest()[:DIGEST]
+                tree = tree if pos else node
+                made.append((pos, node, parent, tree, position))
+                pos, position = pos + 1, position + n
+            kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64())
+            columns = [pa.array(x, kind) for x, kind in zip(zip(*made, strict=True), kinds, strict=True)] if made else [pa.array([], kind) for kind in kinds]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *columns], names=schema.names)
+
+    return ordered.mapInArrow(run, schema)
+
+
+def _ranked(steps: DataFrame) -> DataFrame:
+    """conv and rank: the order of the conversations by their turns, a beginning before what goes on from it."""
+    spark = steps.sparkSession
+    uses = stage(steps.groupBy("node").agg(F.count("*").alias("uses")), "chat-uses")
+    on_path = stage(steps.select("conv", "pos", "node").join(uses, "node"), "chat-on-path")
+    own = on_path.where("uses = 1").groupBy("conv").agg(F.min(F.struct("pos", "node")).alias("x")).select("conv", "x.pos", "x.node")
+    told = on_path.where("uses > 1").select("conv", "pos", "node").union(own)
+    now = stage(told.select("conv", F.col("pos").alias("i"), F.col("node").alias("name")), "chat-names")
+    for _ in range((now.agg(F.max("i")).first()[0] or 0).bit_length()):
+        now = settle(spark, "chat-names", lambda now=now: _doubled(now))
+    return now.repartitionByRange("name", "conv").sortWithinPartitions("name", "conv").select("conv", F.monotonically_increasing_id().alias("rank"))
+
+
+def _doubled(now: DataFrame) -> DataFrame:
+    """``now`` (conv, i, name) with one name for each pair of neighbours, in the order of the pairs."""
+    even = F.col("i") % 2 == 0
+    pairs = stage(now.groupBy("conv", F.expr("cast(i div 2 as int)").alias("i")).agg(F.max(F.when(even, F.col("name"))).alias("a"), F.max(F.when(~even, F.col("name"))).alias("b")), "chat-pairs")
+    names = pairs.select("a", "b").distinct().repartitionByRange("a", "b").sortWithinPartitions("a", "b")
+    names = stage(names.select(F.col("a").alias("x"), F.col("b").alias("y"), F.monotonically_increasing_id().alias("name")), "chat-named")
+    return pairs.join(names, (F.col("a") == F.col("x")) & F.col("b").eqNullSafe(F.col("y"))).select("conv", "i", "name")
 
 
 def _running(ordered: DataFrame) -> DataFrame:
-    """node, tree, conv, part and ``within``: tokens before the node in its range."""
+    """node, tree, conv, part, and tokens before and up to the node in its range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, total = TaskContext.get().partitionId(), 0
@@ -153,40 +196,42 @@ def _running(ordered: DataFrame) -> DataFrame:
 
 def _layout(steps: DataFrame) -> DataFrame:
     """node, owner (the conversation that emits it), tree (its root) and offset in the tree."""
-    from pyspark.sql import Window
-
-    uses = stage(steps.groupBy("node").agg(F.count("*").alias("uses")), "chat-uses")
-    on_path = steps.select("conv", "pos", "node").join(uses, "node")
-    at = F.struct("pos", "node")
-    shared = F.array_sort(F.collect_list(F.when(F.col("uses") > 1, at)))
-    keys = on_path.groupBy("conv").agg(F.concat(F.array_join(F.transform(shared, lambda x: x["node"]), ""), F.coalesce(F.min(F.when(F.col("uses") == 1, at))["node"], F.lit(""))).alias("key"))
-    keys = stage(keys, "chat-keys")
-    owned = steps.select("conv", "pos", "node", "n_tokens").join(keys, "conv").groupBy("node").agg(F.min(F.struct("key", "conv")).alias("first"), F.first("pos").alias("pos"), F.first("n_tokens").alias("n_tokens"))
-    nodes = stage(owned.select("node", F.col("first.key").alias("key"), F.col("first.conv").alias("conv"), F.substring("first.key", 1, DIGEST).alias("tree"), "pos", "n_tokens"), "chat-nodes")
-    placed = stage(_running(nodes.repartitionByRange("key", "conv", "pos").sortWithinPartitions("key", "conv", "pos")), "chat-running")
+    ranked = settle(steps.sparkSession, "chat-ranked", lambda: _ranked(steps))
+    owned = steps.select("conv", "pos", "node", "tree", "n_tokens").join(ranked, "conv").groupBy("node").agg(F.min(F.struct("rank", "conv")).alias("first"), *(F.first(c).alias(c) for c in ("tree", "pos", "n_tokens")))
+    nodes = stage(owned.select("node", "tree", "first.conv", "first.rank", "pos", "n_tokens"), "chat-nodes")
+    placed = stage(_running(nodes.repartitionByRange("rank", "pos").sortWithinPartitions("rank", "pos")), "chat-running")
     parts = placed.groupBy("part").agg(F.max("until").alias("tokens"))
     base = F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     overall = stage(placed.join(F.broadcast(parts.select("part", base.alias("base"))), "part").select("node", "tree", "conv", (F.col("base") + F.col("within")).alias("place")), "chat-overall")  # a row per range
-    roots = overall.groupBy("tree").agg(F.min("place").alias("root"))
-    return overall.join(stage(roots, "chat-roots"), "tree").select("node", F.col("conv").alias("owner"), "tree", (F.col("place") - F.col("root")).alias("offset"))
+    roots = stage(overall.where("node = tree").select("tree", F.col("place").alias("root")), "chat-roots")
+    return overall.join(roots, "tree").select("node", F.col("conv").alias("owner"), "tree", (F.col("place") - F.col("root")).alias("offset"))
 
 
 def _ancestry(steps: DataFrame, layout: DataFrame) -> DataFrame:
-    """conv, conv_id, pos, node, owned, tree, offset and ancestors (merged intervals) of every step."""
-
-    def step(state: dict | None, row: dict) -> tuple[dict, dict]:
-        ahead = state["spans"] if state else []
-        made = {k: row[k] for k in ("conv", "conv_id", "pos", "node", "tree", "offset")} | {"owned": row["owner"] == row["conv"], "ancestors": [{"start": a, "end": b} for a, b in ahead]}
-        span = (row["offset"], row["offset"] + row["n_tokens"])
-        if ahead and ahead[-1][1] == span[0]:
-            spans = [*ahead[:-1], (ahead[-1][0], span[1])]
-        else:
-            spans = [*ahead, span]
-        return {"spans": spans}, made
+    """conv, pos, tree, offset and ancestors (merged intervals) of each node, at the step that emits it."""
+    joined = steps.select("conv", "pos", "node", "n_tokens").join(layout, "node").repartition("conv").sortWithinPartitions("conv", "pos")
 
-    joined = steps.select("conv", "conv_id", "pos", "node", "n_tokens").join(layout, "node").repartition("conv").sortWithinPartitions("conv", "pos")
-    schema = "conv string, conv_id long, pos int, node string, tree string, offset long, owned boolean, ancestors array<struct<start:long,end:long>>"
-    return _streamed(joined, step, lambda state: None, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, spans = None, []
+        for batch in batches:
+            at, low, high, bounds = [], [], [], [0]
+            for i, (c, owner, offset, n) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("conv", "owner", "offset", "n_tokens")), strict=True)):
+                if c != conv:
+                    conv, spans = c, []
+                if owner == c:
+                    at.append(i)
+                    low += [a for a, _ in spans]
+                    high += [b for _, b in spans]
+                    bounds.append(len(low))
+                if spans and spans[-1][1] == offset:
+                    spans[-1] = (spans[-1][0], offset + n)
+                else:
+                    spans.append((offset, offset + n))
+            pairs = pa.StructArray.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["start", "end"])
+            taken = [batch.column(k).take(pa.array(at, pa.int64())) for k in ("conv", "pos", "tree", "offset")]
+            yield pa.RecordBatch.from_arrays([*taken, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pairs)], names=["conv", "pos", "tree", "offset", "ancestors"])
+
+    return joined.mapInArrow(run, "conv string, pos int, tree string, offset long, ancestors array<struct<start:long,end:long>>")
 
 
 def format_conversations(turns: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
@@ -196,32 +241,63 @@ def format_conversations(turns: DataFrame, path: str) -> tuple[DataFrame, DataFr
     loss_end (the interval of ``tokens`` under the loss), ancestors. Paths: conv, conv_id, pos, node,
     from a conversation's first turn to its last.
     """
-    steps = stage(_chained(turns, path), "chat-steps")
-    layout = stage(_layout(steps), "chat-layout")
-    placed = stage(_ancestry(steps, layout), "chat-placed")
-    own = placed.where("owned").select("conv", "pos", "tree", "offset", "ancestors")
-    nodes = steps.join(own, ["conv", "pos"]).select("node", "parent", "tree", "offset", "position", "n_tokens", "tokens", "loss_start", "loss_end", "ancestors")
-    return stage(nodes, "chat-formatted"), placed.select("conv", "conv_id", "pos", "node")
+    spark = turns.sparkSession
+    small_batches(spark)
+    steps = stage(_chained(_turned(turns, path)), "chat-steps")
+
+    def nodes() -> DataFrame:
+        own = stage(_ancestry(steps, stage(_layout(steps), "chat-layout")), "chat-placed")
+        return steps.drop("tree").join(own, ["conv", "pos"]).select("node", "parent", "tree", "offset", "position", "n_tokens", "tokens", "loss_start", "loss_end", "ancestors")
+
+    return settle(spark, "chat-formatted", nodes), steps.select("conv", "conv_id", "pos", "node")
+
+
+def _read(nodes: DataFrame, path: str) -> DataFrame:
+    """node, said (role, line end, text, line end), learned (the text under the loss) and formatted (code points) of each node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelled = vocabulary(path).bytes_of.__getitem__
+        for batch in batches:
+            said, learned, formatted = [], [], []
+            tokens = batch.column("tokens")
+            for i, (a, b) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("loss_start", "loss_end")), strict=True)):
+                ids = tokens[i].values.to_numpy(zero_copy_only=False).tolist()
+                front, middle, back = (b"".join(map(spelled, x)) for x in (ids[:a], ids[a:b], ids[b:]))
+                segment = (front + middle + back).decode("utf-8", "replace")
+                said.append("{}\n{}\n".format(*read_turn(segment)))
+                learned.append(unescape(middle.decode("utf-8", "replace")))
+                formatted.append(len(segment))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(said, pa.string()), pa.array(learned, pa.string()), pa.array(formatted, pa.int64())], names=["node", "said", "learned", "formatted"])
+
+    return nodes.select("node", "tokens", "loss_start", "loss_end").mapInArrow(run, "node string, said string, learned string, formatted long")
 
 
 def read_back(nodes: DataFrame, paths: DataFrame, path: str) -> DataFrame:
     """What the formatted conversations say: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    ordered = paths.join(_read(nodes, path), "node").repartition("conv").sortWithinPartitions("conv", "pos").drop("node")
 
-    def step(state: dict | None, row: dict) -> tuple[dict, None]:
-        known = vocabulary(path)
-        state = state or {"conv_id": row["conv_id"], "n": 0, "turns": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "formatted": 0}
-        segment = known.decode(row["tokens"])
-        role, text = read_turn(segment)
-        state["turns"].update(f"{role}\n{text}\n".encode())
-        learned = unescape(known.decode(row["tokens"][row["loss_start"] : row["loss_end"]]))
-        state["loss"].update(learned.encode())
-        return state | {"n": state["n"] + 1, "chars": state["chars"] + len(learned), "formatted": state["formatted"] + len(segment)}, None
-
-    def close(state: dict) -> dict:
-        return {
-            "conv_id": state["conv_id"], "n_turns": state["n"], "turns_sha256": state["turns"].hexdigest(),
-            "loss_chars": state["chars"], "loss_sha256": state["loss"].hexdigest(), "formatted_chars": state["formatted"],
-        }
-
-    joined = paths.join(nodes.select("node", "tokens", "loss_start", "loss_end"), "node").repartition("conv").sortWithinPartitions("conv", "pos")
-    return _streamed(joined, step, close, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    def row(conv_id: int | None, n: int, turns, chars: int, loss, formatted: int) -> dict:
+        return {"conv_id": conv_id, "n_turns": n, "turns_sha256": turns.hexdigest(), "loss_chars": chars, "loss_sha256": loss.hexdigest(), "formatted_chars": formatted}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, state = None, None
+        for batch in batches:
+            done = []
+            for c, conv_id, said, learned, n in zip(*(batch.column(k).to_pylist() for k in ("conv", "conv_id", "said", "learned", "formatted")), strict=True):
+                if c != conv:
+                    if state:
+                        done.append(row(*state))
+                    conv, state = c, [conv_id, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                state[1] += 1
+                state[2].update(said.encode())
+                state[3] += len(learned)
+                state[4].update(learned.encode())
+                state[5] += n
+            yield pa.RecordBatch.from_pylist(done, schema=TOLD)
+        if state:
+            yield pa.RecordBatch.from_pylist([row(*state)], schema=TOLD)
+
+    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+TOLD = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])

@@ -83,6 +83,32 @@ def test_tree(spark):
             open_.append(n.node)
 
 
+def test_long_shared_beginnings(spark):
+    """Conversations that are equal, go on from each other, or part late: the order is that of their turns."""
+    from marginalia.plans.staging import stage
+
+    rng = random.Random(16)
+    turns = [rng.choice("abc") for _ in range(700)]
+    convs = {1: turns, 2: turns, 3: turns[:500], 4: [*turns[:499], "z"], 5: turns[:256], 6: [*turns, "end"], 7: ["other"]}
+    df = spark.createDataFrame([(c, n, "user", x) for c, xs in convs.items() for n, x in enumerate(xs)], "conv_id long, turn long, role string, text string")
+    steps = stage(chat._chained(chat._turned(df, PATH)), "test")
+    chains = defaultdict(list)
+    for s in steps.orderBy("conv", "pos").collect():
+        chains[s.conv].append(s.node)
+    ranks = {r.conv: r["rank"] for r in chat._ranked(steps).collect()}
+    cut = {c: tuple(n for n in x) for c, x in chains.items()}
+    assert sorted(ranks, key=ranks.get) == sorted(cut, key=lambda c: (cut[c], c))
+    nodes, paths = chat.format_conversations(df, PATH)
+    assert nodes.count() == 700 + 1 + 1 + 1
+    assert plain(chat.read_back(nodes, paths, PATH).collect()) == brute([(c, n, "user", x) for c, xs in convs.items() for n, x in enumerate(xs)])
+    by_tree = defaultdict(list)
+    for n in nodes.select("tree", "offset", "n_tokens").collect():
+        by_tree[n.tree].append((n.offset, n.n_tokens))
+    for spans in by_tree.values():
+        spans.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and spans[0][0] == 0
+
+
 def test_empty_table(spark):
     nodes, paths = chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), PATH)
     assert nodes.count() == paths.count() == chat.read_back(nodes, paths, PATH).count() == 0
