@@ -1,16 +1,21 @@
 """Exact top-k by inner product, as a Voronoi kNN join.
 
-All vectors are assigned to the nearest of a bounded, fixed number of pivots. Summaries per
-cell (the pivot, the largest distance of its queries, and the k + 1 smallest distances of
-its data) give bounds. With q = p + a and x = p' + b,
+All vectors are assigned to the nearest of some pivots: sampled rows, the square root of all in number, at
+most PIVOTS. Summaries per cell (the pivot, the largest distance of its queries, and the k + 1
+smallest distances of its data) give bounds. With q = p + a and x = p' + b,
 
     q.x >= p.p' - |p||b| - |p'||a| - |a||b|,
 
 so the k + 1 best such values over all summarised data are a score that every query of a
-cell can reach whichever row is its own. A row x is sent to a cell only if p.x + |a||x|, the
-most that it can score there, reaches this. Cells are solved in tiles of bounded numbers of
-queries and rows, and the tiles' winners merged; a cell or vector that holds a large share
-of all rows is thus spread over many tasks.
+cell can reach whichever row is its own. A second, tighter one comes from the cell itself: its queries meet
+about OWN of its rows, picked by hash, and the least k-th score found is reached by all. A row x is
+of use to a cell only if p.x + |a||x|, the most that it can score there, reaches the higher of the two.
+
+Cells that lie together form groups of about TILE_QUERIES queries; a row is sent once to each group
+that has a cell of use for it, so there are at most as many copies as groups. The rows sent to a group
+are counted first and cut into slices of about TILE_ROWS, and its queries go to these slices only. Tiles of
+bounded numbers of queries and rows are solved locally and their winners merged; a cell
+or vector that holds a large share of all rows is thus spread over many tasks.
 
 Defined results: components are floor(scale * x); vectors that are null or hold null or
 non-finite components take no part; shorter vectors count as ended by zeros. A query's own
@@ -21,6 +26,8 @@ fewer candidates than k all are returned; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +37,8 @@ from pyspark.sql import types as T
 
 from marginalia.plans.staging import stage
 
-PIVOTS, TILE_QUERIES, TILE_ROWS, BLOCK = 16, 4096, 16384, 512
+PIVOTS, TILE_QUERIES, TILE_ROWS, OWN, BLOCK = 1024, 4096, 16384, 2048, 128
+LEAST_ROWS, LEAST_TILES = 512, 64
 LAST = np.iinfo(np.int64).max
 
 
@@ -68,14 +76,15 @@ class Cells:
         self.queries = np.zeros(len(pivots), np.int64)
         self.radius = np.zeros(len(pivots))
         self.reached = np.full(len(pivots), -np.inf)
+        self.group, self.order, self.starts, self.parts = np.full(len(pivots), -1), [], np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def place(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest pivot of each row and the distance to it."""
         x = v.astype(np.float64)
-        best, least = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
-        for i, p in enumerate(self.pivots):
-            d = np.sqrt(((x - p) ** 2).sum(axis=1))
-            best, least = np.where(d < least, i, best), np.minimum(d, least)
-        return best, least
+        best = np.zeros(len(x), np.int64)
+        for lo in range(0, len(x), BLOCK):
+            best[lo : lo + BLOCK] = np.argmax(x[lo : lo + BLOCK] @ self.pivots.T - self.norms**2 / 2, axis=1)
+        return best, np.linalg.norm(x - self.pivots[best], axis=1)
 
     def bound(self, near: list[list[float]]) -> None:
         """Set the score that each cell's queries reach at least; ``near``: smallest distances by cell."""
@@ -94,12 +103,44 @@ class Cells:
         slack = 1e-9 * (1 + lengths[:, None] * (self.norms + self.radius))
         return (most + slack >= self.reached) & (self.queries > 0)
 
-
-def top_k(df: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, vec_id: str = "vec_id", embedding: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
+    def grouped(self, most: int) -> None:
+        """Form groups of cells with about ``most`` queries, each cell followed by the nearest one that is left."""
+        left = np.flatnonzero(self.queries)
+        self.group, self.order, number, held = np.full(len(self.norms), -1), [], 0, 0
+        at = left[np.argmax(self.norms[left])] if len(left) else None
+        while len(left):
+            if held and held + self.queries[at] > most:
+                number, held = number + 1, 0
+            self.group[at], held = number, held + self.queries[at]
+            self.order.append(at)
+            left = left[left != at]
+            if len(left):
+                at = left[np.argmin(((self.pivots[left] - self.pivots[at]) ** 2).sum(axis=1))]
+        self.starts = np.flatnonzero(np.diff(self.group[self.order], prepend=-1))
+        self.parts = -(-np.bincount(self.group[self.order], self.queries[self.order], len(self.starts)).astype(np.int64) // most)
+
+    def sent(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each row and group that it is sent to."""
+        found = [np.zeros((0, 2), np.int64)]
+        for lo in range(0, len(v) if len(self.starts) else 0, BLOCK):
+            some = np.logical_or.reduceat(self.wanted(v[lo : lo + BLOCK])[:, self.order], self.starts, axis=1)
+            found.append(np.argwhere(some) + (lo, 0))
+        return tuple(np.concatenate(found).T)
+
+
+def best_scores(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th highest of each row, minus infinity where there are fewer."""
+    if scores.shape[1] < k:
+        return np.full(len(scores), -np.inf)
+    return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k].astype(np.float64)
+
+
+def top_k(df: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, vec_id: str = "vec_id", embedding: str = "embedding", pivots: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best of all rows for each row whose id ``every`` divides."""
     vectors = stage(scaled(df, vec_id, embedding, scale), "topk-vectors")
-    width = vectors.agg(F.max(F.size("v"))).first()[0] or 0
-    sample = vectors.orderBy(F.xxhash64("row"), "row").limit(pivots).select("v").toArrow()  # a fixed number of rows
+    width, rows_all = vectors.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.count("*")).first()
+    pivots = min(pivots or max(1, isqrt(rows_all)), PIVOTS)
+    sample = vectors.orderBy(F.xxhash64("row"), "row").limit(pivots).select("v").toArrow()  # PIVOTS rows at most
     cells = Cells(matrix(sample["v"], width), k)
     ids = vectors.schema["vec_id"]
 
@@ -108,7 +149,8 @@ def top_k(df: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, vec_i
             cell, distance = cells.place(matrix(b.column("v"), width))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(distance)], names=[*b.schema.names, "cell", "distance"])
 
-    placed = stage(vectors.mapInArrow(assign, T.StructType([*vectors.schema.fields, *T.StructType.fromDDL("cell int, distance double").fields])), "topk-placed")
+    numbered = vectors.withColumn("salt", F.xxhash64("row"))
+    placed = stage(numbered.mapInArrow(assign, T.StructType([*numbered.schema.fields, *T.StructType.fromDDL("cell int, distance double").fields])), "topk-placed")
     asks = F.col("vec_id") % every == 0
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,39 +158,75 @@ def top_k(df: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, vec_i
         rows = {}
         for b in batches:
             cell, d, q = (b.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "distance", "asks"))
-            for c in np.unique(cell):
-                n, m, r, best = rows.get(c, (0, 0, 0.0, np.zeros(0)))
-                own, mine = cell == c, (cell == c) & q.astype(bool)
-                rows[c] = (n + int(own.sum()), m + int(mine.sum()), max(r, d[mine].max(initial=0)), np.sort(np.concatenate([best, d[own]]))[: k + 1])
+            order = np.argsort(cell, kind="stable")
+            cell, d, q = cell[order], d[order], q[order].astype(bool)
+            for lo, hi in pairwise([*np.flatnonzero(np.diff(cell, prepend=-1)), len(cell)]):
+                n, m, r, best = rows.get(cell[lo], (0, 0, 0.0, np.zeros(0)))
+                mine = d[lo:hi][q[lo:hi]]
+                rows[cell[lo]] = (n + hi - lo, m + len(mine), max(r, mine.max(initial=0)), np.sort(np.concatenate([best, d[lo:hi]]))[: k + 1])
         for c, (n, m, r, best) in rows.items():
-            yield pa.RecordBatch.from_pylist([{"cell": int(c), "n": n, "m": m, "radius": float(r), "best": best.tolist()}], schema=SUMMARY)
+            yield pa.RecordBatch.from_pylist([{"cell": int(c), "n": int(n), "m": m, "radius": float(r), "best": best.tolist()}], schema=SUMMARY)
 
     by_task = placed.select("cell", "distance", F.coalesce(asks, F.lit(False)).alias("asks")).mapInArrow(nearest, "cell int, n long, m long, radius double, best array<double>")
     best = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k + 1).alias("best")
     summary = by_task.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.max("radius").alias("radius"), best).collect()  # a row per pivot
     near: list[list[float]] = [[] for _ in cells.norms]
+    held = np.zeros(len(near), np.int64)
     for s in summary:
-        cells.queries[s.cell], cells.radius[s.cell], near[s.cell] = s.m, s.radius, s.best
+        cells.queries[s.cell], cells.radius[s.cell], near[s.cell], held[s.cell] = s.m, s.radius, s.best, s.n
     cells.bound(near)
-    parts = -(-cells.queries // TILE_QUERIES)
-    slices = max(1, -(-sum(s.n for s in summary) // TILE_ROWS))
+
+    def looked_up(values: np.ndarray, at: str) -> F.Column:
+        """The number that ``values`` has at the column ``at``; there are no more values than pivots."""
+        return F.element_at(F.array(*map(F.lit, map(int, values if len(values) else [0]))), F.col(at) + 1)
+
+    pieces = -(-cells.queries // TILE_QUERIES)
+    some = F.pmod(F.xxhash64("salt"), looked_up(np.maximum(1, held // OWN), "cell")) == 0
+    of_cell = placed.where(some & (looked_up(pieces, "cell") > 0)).select("cell", F.explode(F.sequence(F.lit(0), looked_up(pieces, "cell") - 1)).alias("part"), "row", "v")
+    in_cell = placed.where(asks).select("cell", F.pmod("salt", looked_up(np.maximum(1, pieces), "cell")).cast("int").alias("part"), "row", "v")
+
+    def reach(left: pa.Table, right: pa.Table) -> pa.Table:
+        least = np.inf if left.num_rows else -np.inf
+        if left.num_rows:
+            q, x = matrix(left["v"], width), matrix(right["v"], width)
+            rows, own = right["row"].to_numpy(), left["row"].to_numpy()
+            for lo in range(0, len(q), BLOCK):
+                scores = products(q[lo : lo + BLOCK], x).astype(np.float64)
+                scores[own[lo : lo + BLOCK, None] == rows] = -np.inf
+                least = min(least, best_scores(scores, k).min())
+        return pa.table({"cell": pa.array([c.as_py() for c in left["cell"][:1]], pa.int32()), "least": pa.array([least] * min(1, left.num_rows), pa.float64())})
+
+    reached = in_cell.groupBy("cell", "part").cogroup(of_cell.groupBy("cell", "part")).applyInArrow(reach, "cell int, least double")
+    for s in reached.groupBy("cell").agg(F.min("least").alias("least")).collect():  # a row per pivot
+        cells.reached[s.cell] = max(cells.reached[s.cell], s.least)
+    cells.grouped(TILE_QUERIES)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(cells.starts), np.int64)
+        for b in batches:
+            total += np.bincount(cells.sent(matrix(b.column("v"), width))[1], minlength=len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["group", "n"])
+
+    counted = placed.select("v").mapInArrow(count, "group int, n long").groupBy("group").agg(F.sum("n").alias("n")).collect()  # a row per group, and there are no more of them than pivots
+    slices = np.ones(len(cells.starts), np.int64)
+    tile_rows = min(TILE_ROWS, max(LEAST_ROWS, rows_all // LEAST_TILES))  # small tables are spread as well
+    for s in counted:
+        slices[s.group] = max(1, -(-s.n // tile_rows))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, cell = np.nonzero(cells.wanted(matrix(b.column("v"), width)))
-            copies = parts[cell]
-            at, cell = np.repeat(at, copies), np.repeat(cell, copies)
-            part = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
-            piece = b.column("slice").take(pa.array(at))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cell, pa.int32()), pa.array(part, pa.int32()), piece, *(b.column(c).take(pa.array(at)) for c in ("row", "vec_id", "v"))], names=["cell", "part", "slice", "row", "vec_id", "v"]
-            )
-
-    tile = "cell int, part int, slice int"
-    shape = T.StructType([*T.StructType.fromDDL(tile + ", row long").fields, ids, T.StructField("v", T.ArrayType(T.LongType()))])
-    data = placed.select("row", "vec_id", "v", F.pmod(F.xxhash64("row"), F.lit(slices)).cast("int").alias("slice")).mapInArrow(send, shape)
-    part_of = F.element_at(F.array(*map(F.lit, [max(1, int(p)) for p in parts] or [1])), F.col("cell") + 1)
-    queries = placed.where(asks).select("cell", F.pmod(F.xxhash64("row"), part_of).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "row", "vec_id", "v")
+            at, group = cells.sent(matrix(b.column("v"), width))
+            piece = np.mod(b.column("salt").to_numpy()[at], slices[group])
+            copies = cells.parts[group]
+            part = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+            at, group, piece = (np.repeat(x, copies) for x in (at, group, piece))
+            tile = [pa.array(x, pa.int32()) for x in (group, part, piece)]
+            yield pa.RecordBatch.from_arrays([*tile, *(b.column(c).take(pa.array(at)) for c in ("row", "vec_id", "v"))], names=["group", "part", "slice", "row", "vec_id", "v"])
+
+    shape = T.StructType([*T.StructType.fromDDL("group int, part int, slice int, row long").fields, ids, T.StructField("v", T.ArrayType(T.LongType()))])
+    data = placed.select("row", "vec_id", "v", "salt").mapInArrow(send, shape)
+    queries = placed.where(asks).withColumn("group", looked_up(np.maximum(0, cells.group), "cell"))
+    queries = queries.select("group", F.pmod("salt", looked_up(cells.parts, "group")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), looked_up(slices, "group") - 1)).alias("slice"), "row", "vec_id", "v")
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {c: [] for c in ("row", "query_id", "vec_id", "score")}
@@ -170,7 +248,7 @@ def top_k(df: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, vec_i
                     out["score"] += s[some].tolist()
         return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
 
-    keys = ("cell", "part", "slice")
+    keys = ("group", "part", "slice")
     winners = queries.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(solve, "row long, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id")))
     return winners.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

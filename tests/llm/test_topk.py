@@ -46,6 +46,38 @@ def test_bounds_prune():
     assert cells.wanted(x).mean() < 0.6
 
 
+def test_copies():
+    """Rows far from all queries of a group stay away from it; no row has more copies than there are groups."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(8, 8)) * 1000
+    x = np.floor(np.concatenate([c + rng.normal(size=(200, 8)) for c in centres])).astype(np.int64)
+    cells = topk.Cells(centres, 5)
+    cell, d = cells.place(x)
+    for i in range(8):
+        cells.queries[i], cells.radius[i] = 10, d[cell == i].max()
+        own = x[cell == i]
+        cells.reached[i] = topk.best_scores(topk.products(own[:10], own), 6).min()
+    cells.grouped(20)
+    assert len(cells.starts) == 4 and cells.parts.tolist() == [1] * 4 and sorted(cells.order) == list(range(8))
+    at, group = cells.sent(x)
+    assert len(at) < 0.4 * 4 * len(x)
+    want = cells.wanted(x)
+    assert set(zip(at.tolist(), group.tolist())) == {(n, int(cells.group[c])) for n, c in zip(*np.nonzero(want))}
+    cells.queries[:] = [50, *[1] * 7]
+    cells.grouped(20)
+    assert cells.parts.max() == 3
+
+
+@pytest.mark.parametrize("pivots", [None, 3])
+def test_clusters_and_hot_cells(spark, monkeypatch, pivots):
+    monkeypatch.setattr(topk, "TILE_QUERIES", 5)
+    monkeypatch.setattr(topk, "TILE_ROWS", 60)
+    monkeypatch.setattr(topk, "OWN", 20)
+    rng = np.random.default_rng(13)
+    rows = [(i, (rng.normal(size=4) * 0.02 + (i % 3 == 0) * 3.0).tolist()) for i in range(300)] + [(1000 + i, [3.0, 3.0, 3.0, 3.0]) for i in range(150)]
+    assert run(spark, rows, k=4, every=5, pivots=pivots) == brute(rows, 4, 5)
+
+
 def test_edge_rows(spark):
     rng = random.Random(11)
     rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, None), (2, [None, 1.0]), (3, [math.nan, 1.0]), (4, [math.inf, 1.0]), (None, [3.0, 1.0]), (100, [0.5]), (200, [])]
