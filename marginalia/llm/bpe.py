@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import put_columns, text_blocks, with_fields
+from .common import put_columns, small_batches, text_blocks, with_fields
 
 #: Fixed value: the split pattern of this family of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -181,6 +181,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
     """
     fields = {ids: T.ArrayType(T.IntegerType(), False)} | ({decoded: T.StringType()} if decoded else {})
     schema = with_fields(docs.schema, **fields)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(path)

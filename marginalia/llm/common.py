@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
 from itertools import count
 
 import pyarrow as pa
@@ -15,6 +14,8 @@ from pyspark.sql import types as T
 
 #: The white space that the word-based operators know.
 SPACE = "\x20\t\n\x0b\x0c\r"
+#: Bytes of whole texts that a Python worker is handed at a time.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,16 +55,13 @@ def put_columns(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c for _, c in kept] + list(columns.values()), names=[n for n, _ in kept] + list(columns))
 
 
-@contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within it, Python workers are handed at most ``rows`` rows at a time, which bounds the memory that whole texts take."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """From now on the session hands Python workers about ``most`` bytes at a time, at least one row, which bounds the
+    memory that whole texts take. It holds for lazy results too, so it is not undone; a smaller bound of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if now <= 0 or now > most:
+        spark.conf.set(name, str(most))
 
 
 def text_blocks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

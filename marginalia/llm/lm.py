@@ -6,9 +6,11 @@ begin with a mark of their own, so no piece spans two words and the sum is a pro
 per distinct word: a forward recursion in log space over the word's lattice. Bytes spell
 what has no piece, so every text has a probability above 0.
 
-The vocabulary's scores give the prior (a piece's share falls with its rank); ROUNDS of
-expectation maximisation over all distinct words of the training texts, weighted by count,
-turn it into the model. Pieces are a fixed number, so only they reach the driver.
+The vocabulary's stored scores give the prior: of a unigram file the log probabilities themselves; a file made by
+merging stores whole numbers, a merge's place, of which e^score would leave the first few
+pieces alone, so there a share is 1 / (RANK_SHIFT - score). ROUNDS of expectation maximisation over
+all distinct words of the training texts, weighted by count and with the prior as PRIOR tokens, turn it
+into the model. Pieces are a fixed number, so only they reach the driver.
 
 Words are counted in blocks of documents: a block's texts become numbers into its own word
 list, the lists are summed up and joined on the cluster, and each block then looks its
@@ -33,11 +35,11 @@ from pyspark.sql import types as T
 
 from marginalia.plans.staging import stage
 
-from .common import fold, text_blocks
+from .common import fold, small_batches, text_blocks
 
 FOLDS, HELD_OUT = 5, 1
-ROUNDS, PRIOR, RANK_SHIFT = 2, 1000.0, 10.0
-BLOCK_BYTES, WORD_BATCH = 16 << 20, 8192
+ROUNDS, PRIOR, RANK_SHIFT = 4, 1000.0, 10.0
+BLOCK_BYTES, WORD_BATCH = 16 << 20, 4096
 MARK = "▁"
 LOG10 = np.log(10)
 
@@ -161,14 +163,19 @@ def vocabulary(path: str) -> tuple[Lattice, np.ndarray, int]:
     known = set(plain)
     pieces = [model.id_to_piece(i) if i in known else "" for i in range(size)]
     share = np.zeros(size)
-    order = sorted(plain, key=lambda i: -model.get_score(i))
-    share[order] = 1 / (RANK_SHIFT + np.arange(len(order)))
-    share[by_byte] = 1 / (RANK_SHIFT + size)
+    share[plain] = prior(np.array([model.get_score(i) for i in plain]))
+    share[by_byte] = share[plain].min()
     end = model.eos_id()
-    share[end] = 1 / RANK_SHIFT
+    share[end] = share.max()
     return Lattice(pieces, by_byte), share / share.sum(), end
 
 
+def prior(scores: np.ndarray) -> np.ndarray:
+    """The share of each piece, up to a factor, that the vocabulary's stored scores give."""
+    below = scores.max() - scores
+    return 1 / (RANK_SHIFT + below) if (below == np.round(below)).all() else np.exp(-below)
+
+
 def marked(words: list[str]) -> list[str]:
     return [MARK + w for w in words]
 
@@ -182,6 +189,19 @@ def from_planes(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least BLOCK_BYTES of text, but for the last: a block's word list is written once."""
+    held, size = [], 0
+    for batch in text_blocks(batches, "text"):
+        held.append(batch)
+        size += batch.column("text").nbytes
+        if size >= BLOCK_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Documents by block: their ids and folds, their words as numbers (see planes), and the block's word list,
     frequent words first, with training counts."""
@@ -189,7 +209,7 @@ def blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for n, batch in enumerate(text_blocks(batches, "text", BLOCK_BYTES)):
+        for n, batch in enumerate(gathered(batches)):
             lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column("text"), "")))
             flat = lists.flatten()
             real = pc.greater(pc.binary_length(flat), 0)
@@ -246,6 +266,7 @@ def score(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
     Learned from the texts outside the held-out fold: ``base_score`` is the log10 probability
     under smoothed word counts, ``score`` that under the lattice model.
     """
+    small_batches(docs.sparkSession)
     numbered = stage(blocks(docs, doc_id, text), "lm-blocks")
     ends = numbered.select(F.sum(F.size(F.filter("held", lambda h: ~h))).alias("n")).first()[0] or 0
     counted = numbered.select(F.explode(F.arrays_zip("words", "trained")).alias("x")).groupBy(F.col("x.words").alias("word")).agg(F.sum("x.trained").alias("c"))
@@ -273,14 +294,14 @@ def score(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
         c, lp = np.zeros(words.num_rows), np.zeros(words.num_rows)
         place = words["place"].to_numpy()
         c[place], lp[place] = words["c"].to_numpy(), words["logp"].to_numpy()
-        values = np.stack([np.log10(c + 0.5) - below, lp / LOG10, c > 0], axis=1)
+        values = (np.log10(c + 0.5) - below, lp / LOG10, (c > 0).astype(np.float64))
         out = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
         for n in range(texts.num_rows):
             bounds, codes = texts["bounds"][n].values.to_numpy(), from_planes(texts["codes"][n].as_py())
             sums = np.zeros((len(bounds) - 1, 3))
             some = np.flatnonzero(np.diff(bounds))
-            if len(some):
-                sums[some] = np.add.reduceat(values[codes], bounds[some], axis=0)
+            for k in range(3) if len(some) else ():
+                sums[some, k] = np.add.reduceat(values[k][codes], bounds[some])
             out["doc_id"] += texts["ids"][n].as_py()
             out["held_out"] += texts["held"][n].as_py()
             out["n_tokens"] += (np.diff(bounds) + 1).tolist()

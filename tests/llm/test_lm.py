@@ -49,6 +49,46 @@ def test_lattice_against_brute_force():
     assert np.allclose(uses, want_uses)
 
 
+def brute_forward(word, table, by_byte, logp):
+    """Log probability of a word by the plain recursion over its places."""
+    total = [0.0] + [-math.inf] * len(word)
+    for end in range(1, len(word) + 1):
+        ways = [total[end - 1] + sum(logp[by_byte[b]] for b in word[end - 1].encode())]
+        ways += [total[start] + logp[table[word[start:end]]] for start in range(end) if word[start:end] in table]
+        top = max(ways)
+        total[end] = top + math.log(sum(math.exp(w - top) for w in ways))
+    return total[-1]
+
+
+def test_query_scores_against_brute_force(spark, monkeypatch):
+    """The query's own scores: the fitted shares put into a plain recursion, word by word."""
+    import sentencepiece
+
+    kept = []
+    fitted = lm.train
+    monkeypatch.setattr(lm, "train", lambda *a: kept.append(fitted(*a)) or kept[-1])
+    d = "/root/testdata/sf0.001"
+    got = {r.doc_id: r.score for r in registry.op6_lm_score(spark, d).collect()}
+    (logp,) = kept
+    assert math.isclose(np.exp(logp).sum(), 1, rel_tol=1e-6)
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    by_byte = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+    table = {model.id_to_piece(i): i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+    known = {}
+    for r in spark.read.parquet(f"{d}/documents.parquet").collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in r.text or ""))
+        for w in words:
+            if w not in known:
+                known[w] = brute_forward("▁" + w, table, by_byte, logp)
+        want = (math.fsum(known[w] for w in words) + logp[model.eos_id()]) / math.log(10)
+        assert math.isclose(got[r.doc_id], want, rel_tol=1e-9, abs_tol=1e-6)
+
+
+def test_prior_follows_stored_scores():
+    assert np.allclose(lm.prior(np.array([0.0, -1, -5])) / lm.prior(np.array([0.0])), [1, lm.RANK_SHIFT / (lm.RANK_SHIFT + 1), lm.RANK_SHIFT / (lm.RANK_SHIFT + 5)])
+    assert np.allclose(lm.prior(np.log([0.5, 0.3, 0.2])), [1, 0.6, 0.4])
+
+
 def test_long_words_do_not_underflow():
     lattice, _, logp, _ = small_lattice()
     assert np.isfinite(lattice.log_likelihood(["abc" * 3000, "x"], logp)).all()
