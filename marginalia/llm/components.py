@@ -11,13 +11,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.plans.staging import stage
+from marginalia.plans.staging import settle, stage
 
 
 def _mark(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def _round(now: DataFrame) -> DataFrame:
+    both = now.select("u", "v").union(now.select(F.col("v"), F.col("u")))
+    low = stage(both.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("u", "low")), "links-low")
+    large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+    large = stage(large, "links-large")
+    low = stage(large.groupBy("u").agg(F.min("v").alias("low")), "links-low")
+    small = large.join(low, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+    return small.union(low.select("u", F.col("low").alias("v"))).distinct()
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """``node``, ``component`` (its smallest node) for every end of ``links`` (u, v: any ordered type).
 
@@ -26,13 +36,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     now = stage(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = _mark(now)
     while True:
-        both = now.select("u", "v").union(now.select(F.col("v"), F.col("u")))
-        low = stage(both.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("u", "low")), "links-low")
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        large = stage(large, "links-large")
-        low = stage(large.groupBy("u").agg(F.min("v").alias("low")), "links-low")
-        small = large.join(low, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        now = stage(small.union(low.select("u", F.col("low").alias("v"))).distinct(), "links-small")
+        now = settle(links.sparkSession, "links-round", lambda now=now: _round(now))
         last, mark = mark, _mark(now)
         if mark == last:
             break

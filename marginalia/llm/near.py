@@ -30,17 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.plans.staging import stage
+from marginalia.plans.staging import settle, stage
 
-from .common import arrow_rows, fresh, text_blocks
+from .common import fresh, small_batches, text_blocks
 from .simhash import later_rows, shingle_hashes
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS, MOST = 24, 4, 25
 LEADERS, GROWTH = 512, 8
 SLICE = 1 << 11
-#: Rows that a worker is handed at a time, of texts and of pairs of texts.
-TEXTS, PAIRS = 1024, 128
 _RNG = np.random.default_rng(42)
 XOR = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
 ODD = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -111,8 +109,8 @@ def _near(pairs: DataFrame) -> DataFrame:
 def dropped(texts: DataFrame) -> DataFrame:
     """``row`` of the ``texts`` (row, late, id, text) that are near an earlier one; rows are ordered by (late, id, row)."""
     spark = texts.sparkSession
-    with arrow_rows(spark, TEXTS):
-        signed = stage(_signed(texts), "near-signed")
+    small_batches(spark)
+    signed = stage(_signed(texts), "near-signed")
     about = signed.drop("bands")
     placed = signed.select("row", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1").select("bucket")
@@ -132,8 +130,7 @@ def dropped(texts: DataFrame) -> DataFrame:
         named = pairs.select(F.col("early").alias("row")).union(pairs.select(F.col("later").alias("row"))).distinct()
         some = stage(texts.select("row", "text").join(named, "row", "left_semi"), "near-texts")
         sides = [some.select(F.col("row").alias(side), F.col("text").alias(f"text_{c}")) for side, c in (("early", "a"), ("later", "b"))]
-        with arrow_rows(spark, PAIRS):
-            gone = stage(_near(pairs.join(sides[0], "early").join(sides[1], "later").select("later", "text_a", "text_b")).distinct().withColumnRenamed("later", "row"), "near-gone")
+        gone = stage(_near(pairs.join(sides[0], "early").join(sides[1], "later").select("later", "text_a", "text_b")).distinct().withColumnRenamed("later", "row"), "near-gone")
         lost.append(gone)
         rest = left.join(first.select("bucket", F.col("a.row").alias("row")), ["bucket", "row"], "left_anti").join(gone, "row", "left_anti")
         rest = stage(rest, "near-rest")
@@ -153,7 +150,10 @@ def keep(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """
     (row,) = fresh(docs, "row")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    later = later_rows(numbered, row, doc_id, text)
     texts = numbered.select(F.col(row).alias("row"), F.col(doc_id).isNull().alias("late"), F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    gone = later.union(dropped(texts.join(later, "row", "left_anti")))
-    return numbered.join(stage(gone, "near-gone").withColumnRenamed("row", row), row, "left_anti").drop(row)
+
+    def gone() -> DataFrame:
+        later = later_rows(numbered, row, doc_id, text)
+        return later.union(dropped(texts.join(later, "row", "left_anti"))).withColumnRenamed("row", row)
+
+    return numbered.join(settle(docs.sparkSession, "near-gone", gone), row, "left_anti").drop(row)

@@ -29,12 +29,11 @@ from pyspark.sql import types as T
 
 from marginalia.plans.staging import stage
 
-from .common import arrow_rows, fresh, text_blocks, with_fields
+from .common import fresh, small_batches, text_blocks, with_fields
 
 GROUP_PIECES = 2048
-#: Texts that a worker is handed at a time.
-TEXTS = 2048
-MEMO_WORDS = 1 << 19
+BLOCK_BYTES = 2 << 20
+MEMO_WORDS = 1 << 17
 #: Letters of the first Unicode blocks and a stop, where the library's rules surely part the two.
 PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[,.]").fullmatch
 
@@ -110,7 +109,7 @@ def token_pieces(docs: DataFrame, path: str, limit: int = 4096, end_id: int = 2,
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *T.StructType.fromDDL(fields).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_blocks(batches, "text", 8 << 20):
+        for batch in text_blocks(batches, "text", BLOCK_BYTES):
             ids, bounds = tokenise(batch.column("text"), path)
             row, out, held = [], [], []
             for i in range(batch.num_rows):
@@ -160,8 +159,8 @@ def pack(pieces: DataFrame, limit: int = 4096, group_pieces: int = GROUP_PIECES)
     Sequences are gapless from offset 0. The pieces are written once, as their number
     decides how many groups there are.
     """
-    with arrow_rows(pieces.sparkSession, TEXTS):
-        staged = stage(pieces, "pieces")
+    small_batches(pieces.sparkSession)
+    staged = stage(pieces, "pieces")
     groups = max(1, -(-staged.count() // group_pieces))
     (name,) = fresh(staged, "group")
     group = F.pmod(F.xxhash64("start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).alias(name)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_column, text_blocks
+from .common import fold_column, small_batches, text_blocks
 
 BUCKETS, STEPS, RANK = 1 << 14, 16, 8
 SAMPLE, EPOCHS, BATCH, RATE, DECAY = 6000, 6, 32, 0.1, 2e-5
@@ -172,6 +172,7 @@ def _inputs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Machine:
     """Fit on at most ``sample`` labelled rows outside the held-out fold."""
+    small_batches(docs.sparkSession)
     known = labels.where((fold_column(doc_id, FOLDS) != HELD_OUT) & F.col(label).isNotNull() & F.col(doc_id).isNotNull())
     known = known.groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).cast("int").alias("_label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -196,6 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def score(docs: DataFrame, model: Machine, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score (0 to 1) and predicted of each row."""
+    small_batches(docs.sparkSession)
     inputs = _inputs(docs, doc_id, text)
     kept = [f for f in inputs.schema.fields if f.name not in ("text", "n_chars")]
     schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])

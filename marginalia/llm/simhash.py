@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.plans.staging import stage
+from marginalia.plans.staging import settle, stage
 
-from .common import arrow_rows, fresh, text_blocks
+from .common import fresh, small_batches, text_blocks
 from .components import connected_components
 
 SEED, SHINGLE, THRESHOLD = 42, 3, 2
@@ -40,8 +40,6 @@ HALF = 23
 #: Fixed value: the generator polynomial of the binary Golay code.
 GOLAY = 0b110001110101
 VOTE_ROWS = 1 << 15
-#: Texts that a worker is handed at a time.
-TEXTS = 1024
 
 
 def shingle_hashes(text: str | None, shingle: int) -> list[int]:
@@ -147,15 +145,19 @@ def links(distinct: DataFrame) -> DataFrame:
 
 def components(rows: DataFrame) -> DataFrame:
     """``rows`` (doc_id, fp, ...), written once, with component (its smallest fingerprint) and component_id (the smallest id reachable)."""
-    with arrow_rows(rows.sparkSession, TEXTS):
-        rows = stage(rows, "simhash-rows")
-    distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
-    linked = connected_components(links(distinct))
-    joined = distinct.join(linked, distinct.fp == linked.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
-    joined = stage(joined, "simhash-components")
-    lowest = stage(joined.groupBy("component").agg(F.min("low").alias("component_id")), "simhash-lowest")
-    by_fp = stage(joined.join(lowest, "component").select("fp", "component", "component_id"), "simhash-classes")
-    return rows.join(by_fp, "fp")
+    spark = rows.sparkSession
+    small_batches(spark)
+    rows = stage(rows, "simhash-rows")
+
+    def by_fp() -> DataFrame:
+        distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
+        linked = connected_components(links(distinct))
+        joined = distinct.join(linked, distinct.fp == linked.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
+        joined = stage(joined, "simhash-components")
+        lowest = stage(joined.groupBy("component").agg(F.min("low").alias("component_id")), "simhash-lowest")
+        return joined.join(lowest, "component").select("fp", "component", "component_id")
+
+    return rows.join(settle(spark, "simhash-classes", by_fp), "fp")
 
 
 def label(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
