@@ -6,6 +6,8 @@ Two generations of rules exist; ``legacy`` picks the older one.
 from __future__ import annotations
 
 import json
+import re
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,6 +22,8 @@ FENCE = "```"
 #: An opened and closed link: its alias if that has more than white space, else its target.
 LINK = rf"\[\[(?!\]\])(?:{WS_CLASS}*([^\]|]*?){WS_CLASS}*\|{WS_CLASS}*|[^\]|]*\|{WS_CLASS}*([^\]]*?[^\]{WS_INSIDE}]){WS_CLASS}*|{WS_CLASS}*([^\]|]*?){WS_CLASS}*)\]\]"
 LINE_ENDS = r"\r\n|\r"
+#: Where a line ends: after every line end that Unicode knows.
+LINE_STARTS = r"(?<=[\n\x0b\x0c\x1c-\x1e\u0085\u2028\u2029])|(?<=\r)(?!\n)"
 
 
 def _fence_row(text: Column, open_row: Column) -> Column:
@@ -65,17 +69,15 @@ def parse_front_matter(source: str | None, legacy: bool = False) -> dict:
         return {} if legacy else _plain_pairs(source)
 
 
+#: A line of a front matter that is no YAML: a key, and a flat list or the rest of the line.
+PAIR = re.compile(r"\s*([^\s:](?:[^:]*[^\s:])?)\s*:\s*(?:\[(?P<items>.*)\]|(?P<value>.*?))\s*")
+
+
 def _plain_pairs(source: str) -> dict:
-    pairs = {}
-    for key, colon, value in (line.partition(":") for line in source.splitlines()):
-        key, value = key.strip(), value.strip()
-        if not colon or not key:
-            continue
-        if value[:1] == "[" and value[-1:] == "]":
-            pairs[key] = [x.strip().strip("'\"") for x in value[1:-1].split(",") if x.strip()]
-        else:
-            pairs[key] = value.strip("'\"")
-    return pairs
+    """The ``key: value`` lines; quotes around values and list items go, blank items too."""
+    found = filter(None, map(PAIR.fullmatch, source.splitlines()))
+    bare = lambda x: x.strip().strip("'\"")
+    return {m[1]: bare(m["value"]) if m["items"] is None else [bare(x) for x in re.findall(r"[^,]*[^,\s][^,]*", m["items"])] for m in found}
 
 
 def front_matter_json(source: Column | str, legacy: bool = False) -> Column:
@@ -111,7 +113,7 @@ def segments(text: Column | str) -> Column:
     A line that begins with a fence, white space aside, changes sides after itself: the opening line
     belongs to the text, the closing one to the code. Unclosed code reaches to the end.
     """
-    rows = F.filter(F.split(_col(text), r"(?<=\n)", -1), lambda r: r != "")
+    rows = F.filter(F.split(_col(text), LINE_STARTS, -1), lambda r: r != "")
     empty = F.array().cast("array<struct<text:string,is_code:boolean>>")
     start = F.struct(empty.alias("done"), F.lit("").alias("held"), F.lit(False).alias("code"))
 
@@ -197,8 +199,6 @@ def header_chunks(text: str, size: int = 1200, overlap: int = 200) -> Iterator[d
 
 
 def _by_header(text: str) -> Iterator[tuple[str | None, str]]:
-    import re
-
     heads: dict[int, str] = {}
     body: list[str] = []
     fenced = False
@@ -230,13 +230,15 @@ def _pieces(text: str, size: int, separators: tuple[str, ...]) -> Iterator[str]:
 
 
 def _merge(pieces: Iterator[str], size: int, overlap: int) -> Iterator[str]:
-    held: list[str] = []
+    held: deque[str] = deque()
+    total = 0
     for piece in pieces:
-        if held and sum(map(len, held)) + len(piece) > size:
+        if held and total + len(piece) > size:
             if done := "".join(held).strip():
                 yield done
-            while held and (sum(map(len, held)) > overlap or sum(map(len, held)) + len(piece) > size):
-                held.pop(0)
+            while held and (total > overlap or total + len(piece) > size):
+                total -= len(held.popleft())
         held.append(piece)
+        total += len(piece)
     if done := "".join(held).strip():
         yield done

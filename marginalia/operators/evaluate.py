@@ -31,6 +31,14 @@ def summary(metrics: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
     )
 
 
+def details(queries: DataFrame, results: DataFrame, top: int = 10, qid: str = "qid", item: str = "chunk_id", relevant: str = "relevant_chunk_ids") -> DataFrame:
+    """qid, query, relevant_count and retrieved_top10: the first ``top`` ids of each query in rank order, none where nothing was found."""
+    best = results.where(F.col("rank") <= top).groupBy(qid).agg(F.array_sort(F.collect_list(F.struct("rank", F.col(item).alias("id")))).alias("best"))
+    joined = queries.select(qid, "query", F.size(relevant).cast("long").alias("relevant_count")).join(best, qid, "left")
+    found = F.transform("best", lambda x: x["id"])
+    return joined.select(qid, "query", "relevant_count", F.coalesce(found, F.slice(F.array(F.lit(None).cast(results.schema[item].dataType)), 1, 0)).alias("retrieved_top10"))
+
+
 def by_file(queries: DataFrame, results: DataFrame, expected: DataFrame, k: int = 5, qid: str = "qid") -> DataFrame:
     """qid, hit (0 or 1), mrr and dupes of the file names within the first ``k``; missing names repeat too."""
     top = results.where(F.col("rank") <= k).join(expected.select(qid, "file_name").distinct().withColumn("rel", F.lit(1)), [qid, "file_name"], "left")

@@ -29,7 +29,11 @@ def retrieve(rows: DataFrame, queries: DataFrame, k: int, embedder: Callable[[Da
 
 def rag_answer(rows: DataFrame, queries: DataFrame, k: int = 10, budget: int = 1800, max_chunks: int = 10, embedder: Callable[[DataFrame], DataFrame] = embed.dummy, generate: Callable[[str, str], str] = context.extractive) -> DataFrame:
     """An answer per query: retrieved, packed, rendered, generated. A query without evidence gets an empty context."""
-    packed = context.pack(retrieve(rows, queries, k, embedder), budget, max_chunks)
+    return answered(context.pack(retrieve(rows, queries, k, embedder), budget, max_chunks), queries, generate)
+
+
+def answered(packed: DataFrame, queries: DataFrame, generate: Callable[[str, str], str] = context.extractive) -> DataFrame:
+    """An answer per query from its packed chunks."""
     rendered = queries.select("qid", "query").join(context.render(packed), "qid", "left")
     empty = "\n".join(context.RENDER_HEAD).strip() + "\n"
     return context.answer(rendered.withColumn("rendered_context", F.coalesce("rendered_context", F.lit(empty))), generate)

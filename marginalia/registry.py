@@ -420,6 +420,16 @@ def eval_by_file(spark, d):
     return evaluate.by_file(asked(rows), found, expected, 5)
 
 
+@query(
+    f"""WITH {ALL_SCORES_SQL}, t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10)
+    SELECT qid, CAST(qid AS VARCHAR) AS query, CAST(any_value(q.label) % 3 AS BIGINT) AS relevant_count, list(t.vec_id ORDER BY rank) AS retrieved_top10 FROM t JOIN v q ON q.vec_id = t.qid GROUP BY qid"""
+)
+def eval_details(spark, d):
+    rows = nodes(spark, d)
+    asks = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("vec_id").cast("string").alias("query"), F.array_repeat(F.lit("x"), F.col("label") % 3).alias("relevant_chunk_ids"))
+    return evaluate.details(asks, batch(spark, d, 10), item="vec_id")
+
+
 @query("SELECT doc_id AS node_id, source AS file_name, substr(text, 1, 600) AS text_preview, CAST(NULL AS VARCHAR) AS is_moc FROM documents")
 def retrieval_dump_rows(spark, d):
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("node_id"), F.col("source").alias("file_name"), "text")

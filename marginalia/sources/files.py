@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as tx
+from marginalia.plans.staging import stage
 
 EXTENSIONS = (".md", ".txt", ".py", ".json", ".yaml", ".yml")
 MAX_BYTES, SNIFF_BYTES, CONTROL_SHARE = 2_000_000, 4096, 0.02
@@ -149,12 +150,12 @@ def load_documents(spark: SparkSession, inputs: Iterable[str], extensions: Itera
 
     extensions = tuple(extensions)
     files = list_files(spark, inputs, recursive)
-    read = load_text(read_bytes(files))
+    read = stage(load_text(read_bytes(files)).drop("content"), "files")  # each file is read once
     plain = read.where(extension("path") != ".md").select("path", "size", "mtime", "error", F.col("raw").alias("text"))
-    vault = load_text(read_bytes(list_files(spark, [vault_root]))) if vault_root else read
+    vault = stage(load_text(read_bytes(list_files(spark, [vault_root]))).drop("content"), "vault") if vault_root else read
     notes = load_notes(read.where(extension("path") == ".md"), vault, vault_root)
     both = notes.unionByName(plain, allowMissingColumns=True)
-    judged = both.withColumn("outcome", outcome("text", extensions, failed=F.col("error").isNotNull()))
+    judged = stage(both.withColumn("outcome", outcome("text", extensions, failed=F.col("error").isNotNull())), "judged")
     hashed = judged.where("outcome = 'loaded'").withColumn("content_hash", tx.content_hash("text"))
     docs = hashed.select(
         tx.doc_id("path", "content_hash").alias("doc_id"), "text", F.lit("filesystem").alias("source"), F.col("path").alias("uri"), stem("path").alias("title"), extension("path").alias("ext"),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as tx
+from marginalia.plans.staging import exists
 
 CHUNK = "chunk_id string, doc_id string, text string, chunk_index int, start_char int, end_char int, section_heading string, section_path string, language string, metadata map<string,string>"
 JSONL = f"chunk struct<{CHUNK.replace(' string', ':string').replace(' int', ':int').replace(' map', ':map').replace(', ', ',')}>, vector array<double>"
@@ -46,10 +47,16 @@ class IndexTable:
 
 
 def read_index_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """An exported index, chunk fields as columns; a line that is not JSON fails the read, blank ones are left out."""
-    rows = spark.read.schema(JSONL).json(path, mode="FAILFAST")
+    """An exported index, chunk fields as columns. Without a file it is empty, blank lines are left out; lines that are no JSON
+    fail the read, with the file and the first 200 characters of the line (a line has no number where a file is cut)."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], f"{CHUNK}, vector array<double>")
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file")).where(~tx.is_blank("value"))
+    rows = lines.select("value", "file", F.from_json("value", f"{JSONL}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    told = F.raise_error(F.concat(F.lit("not a line of an index: "), "file", F.lit(": "), F.substring("value", 1, 200)))
+    good = rows.select(F.when(F.col("r._bad").isNotNull() | F.col("r.chunk").isNull(), told.cast("string")).alias("_told"), "r.chunk.*", "r.vector")
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    return rows.where("chunk IS NOT NULL").select("chunk.*", "vector").withColumn("metadata", F.coalesce("metadata", none))
+    return good.where("_told IS NULL").drop("_told").withColumn("metadata", F.coalesce("metadata", none))
 
 
 def write_index_jsonl(rows: DataFrame, path: str) -> None:
@@ -69,12 +76,7 @@ def read_legacy_eval(spark: SparkSession, path: str) -> DataFrame:
 
 def open_cache(spark: SparkSession, path: str) -> DataFrame:
     """The embedding cache at ``path``, empty where there is none yet."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.schema(CACHE).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], CACHE)
+    return spark.read.schema(CACHE).parquet(path) if exists(spark, path) else spark.createDataFrame([], CACHE)
 
 
 def sanitized(rows: DataFrame, sets: tuple[str, ...] = ()) -> DataFrame:
@@ -105,6 +107,12 @@ def dump_response(query: str, response: str, cited: DataFrame, folder: str) -> s
     return path
 
 
+def write_eval(summary: DataFrame, details: DataFrame, path: str) -> None:
+    """One JSON object ``{summary, per_query}``, as an eval set's results are read; its size is that of the eval set."""
+    every = details.agg(F.array_sort(F.collect_list(F.struct(*details.columns))).alias("per_query"))
+    summary.select(F.struct("*").alias("summary")).join(every, F.lit(True)).coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def append_traces(traces: DataFrame, path: str) -> None:
     """Query log: a row per answered query."""
     traces.withColumn("logged_at", F.current_timestamp()).write.mode("append").parquet(path)

@@ -128,8 +128,9 @@ def test_index_table_and_interchange(spark, tmp_path):
     same = ["chunk_id", "doc_id", "chunk_index", "start_char", "end_char", "text", "vector"]
     assert sorted(map(repr, back.select(same).collect())) == sorted(map(repr, index.rows().select(same).collect()))
     (tmp_path / "bad.jsonl").write_text('{"chunk": {"chunk_id": 1}, "vector": [1]}\n\nnot json\n')
-    with pytest.raises(Exception):
+    with pytest.raises(Exception, match="bad.jsonl: not json"):
         store.read_index_jsonl(spark, str(tmp_path / "bad.jsonl")).collect()
+    assert store.read_index_jsonl(spark, str(tmp_path / "none.jsonl")).count() == 0
 
 
 def test_eval_sets(spark, tmp_path):
