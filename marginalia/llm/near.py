@@ -3,10 +3,10 @@
 Two texts are near when the sets of their five-word shingles have a similarity of at least
 LEAST; texts of fewer words are one shingle, texts without words are near to none. Candidates
 share a band: ROWS minima of random permutations of the shingles, BANDS times independently. A
-pair at LEAST shares none with a chance of (1 - 0.8^4)^24, about 3 in a million. One bit of each of
-the 96 minima makes a sketch; candidates whose sketches differ in more than MOST bits are left out,
-which happens to a pair at LEAST with a chance of about 2 in a million. What remains is compared
-exactly, text against text, so only texts that have a likely partner are shuffled.
+pair at LEAST shares none with a chance of (1 - 0.8^4)^24, about 3 in a million. Two bits of each of
+WIDE minima, those of the bands and more, make a sketch; candidates whose sketches differ in more than
+MOST of them are left out, which happens to a pair at LEAST with a chance of about 2 in a million. What
+remains is compared exactly, text against text, so only texts that have a likely partner are shuffled.
 
 A bucket (the rows of one band value) is settled in rounds. In a round its leaders, the smallest row
 of each of a number of groups, meet all rows left in it; of each near pair the later row is
@@ -23,10 +23,12 @@ kept. All columns are kept, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,13 +38,14 @@ from .common import fresh, small_batches, text_blocks
 from .simhash import later_rows, shingle_hashes
 
 SHINGLE, LEAST = 5, 0.8
-BANDS, ROWS, MOST = 24, 4, 25
+BANDS, ROWS = 24, 4
+WIDE, MOST = 192, 54
+SKETCH = tuple(f"sketch_{i}" for i in range(2 * WIDE // 64))
 LEADERS, GROWTH = 512, 8
 SLICE = 1 << 11
 _RNG = np.random.default_rng(42)
-XOR = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
-ODD = _RNG.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-MIX = _RNG.integers(0, 1 << 64, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
+XOR = _RNG.integers(0, 1 << 64, WIDE, dtype=np.uint64)
+ODD, MIX = (_RNG.integers(0, 1 << 64, WIDE, dtype=np.uint64) | np.uint64(1) for _ in range(2))
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -52,7 +55,7 @@ def shingles(text: str | None) -> np.ndarray:
 
 def minima(hashes: np.ndarray) -> np.ndarray:
     """The smallest value of each permutation."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    low = np.full(WIDE, np.iinfo(np.uint64).max, np.uint64)
     for lo in range(0, len(hashes), SLICE):
         low = np.minimum(low, ((hashes[lo : lo + SLICE, None] ^ XOR) * ODD).min(axis=0))
     return low
@@ -60,30 +63,37 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 
 def bands(low: np.ndarray) -> np.ndarray:
     """The bucket of each band."""
-    return (low.reshape(BANDS, ROWS) * MIX).sum(axis=1, dtype=np.uint64)
+    return (low * MIX)[: BANDS * ROWS].reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64)
 
 
-def sketch(low: np.ndarray) -> tuple[int, int]:
-    """A high bit of each minimum, in two numbers."""
-    bits = np.packbits(low * MIX.ravel() >> np.uint64(63) == 1)
-    return tuple(np.frombuffer(bits.tobytes().ljust(16, b"\0"), "<i8").tolist())
+def sketch(low: np.ndarray) -> list[int]:
+    """The two high bits of each mixed minimum: the numbers of the first bits, then those of the second."""
+    high = (low * MIX >> np.uint64(62)).astype(np.uint8)
+    return np.packbits(np.concatenate([high >> 1, high & 1])).view("<i8").tolist()
+
+
+def _apart(a: str, b: str) -> Column:
+    """In how many minima the sketches of the structs ``a`` and ``b`` differ."""
+    half = len(SKETCH) // 2
+    changed = [F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) for c in SKETCH]
+    return reduce(add, (F.bit_count(changed[i].bitwiseOR(changed[i + half])) for i in range(half)))
 
 
 def _signed(texts: DataFrame) -> DataFrame:
     """row, late and id of each of ``texts`` that has words, with its number of shingles, sketch and bands."""
     fields = [f for f in texts.schema.fields if f.name != "text"]
-    schema = T.StructType([*fields, *T.StructType.fromDDL("n int, sketch_a long, sketch_b long, bands array<long>").fields])
+    schema = T.StructType([*fields, *T.StructType.fromDDL(f"n int, {' long, '.join(SKETCH)} long, bands array<long>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_blocks(batches, "text"):
             found = [shingles(t) for t in batch.column("text").to_pylist()]
             some = [i for i, s in enumerate(found) if len(s)]
             lows = [minima(found[i]) for i in some]
-            halves = np.array([sketch(low) for low in lows], np.int64).reshape(-1, 2)
+            sketches = np.array([sketch(low) for low in lows], np.int64).reshape(-1, len(SKETCH))
             values = np.concatenate([bands(low) for low in lows]).view(np.int64) if some else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * BANDS, pa.int32()), pa.array(values))
             kept = [batch.column(f.name).take(pa.array(some, pa.int64())) for f in fields]
-            made = [pa.array([len(found[i]) for i in some], pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), lists]
+            made = [pa.array([len(found[i]) for i in some], pa.int32()), *map(pa.array, sketches.T.copy()), lists]
             yield pa.RecordBatch.from_arrays([*kept, *made], names=schema.names)
 
     return texts.mapInArrow(run, schema)
@@ -121,10 +131,9 @@ def dropped(texts: DataFrame) -> DataFrame:
         first = left.groupBy("bucket", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(leaders)).alias("salt")).agg(F.min_by(whole, F.struct("late", "id", "row")).alias("a"))
         first = stage(first.select("bucket", "a"), "near-leaders")
         met = first.join(left.select("bucket", whole.alias("b")), "bucket")
-        apart = F.bit_count(F.col("a.sketch_a").bitwiseXOR(F.col("b.sketch_a"))) + F.bit_count(F.col("a.sketch_b").bitwiseXOR(F.col("b.sketch_b")))
         fit = F.least("a.n", "b.n") >= LEAST * F.greatest("a.n", "b.n")
         ordered = F.struct(*(f"a.{c}" for c in ("late", "id", "row"))) < F.struct(*(f"b.{c}" for c in ("late", "id", "row")))
-        likely = met.where((F.col("a.row") != F.col("b.row")) & (apart <= MOST) & fit)
+        likely = met.where((F.col("a.row") != F.col("b.row")) & (_apart("a", "b") <= MOST) & fit)
         pairs = likely.select(F.when(ordered, F.col("a.row")).otherwise(F.col("b.row")).alias("early"), F.when(ordered, F.col("b.row")).otherwise(F.col("a.row")).alias("later")).distinct()
         pairs = stage(pairs, "near-pairs")
         named = pairs.select(F.col("early").alias("row")).union(pairs.select(F.col("later").alias("row"))).distinct()

@@ -77,9 +77,13 @@ def test_bands_of_long_texts():
 
 
 def test_sketches_of_near_texts():
-    """No pair at the least similarity is left out: the sketches of 500 such pairs stay below the bound."""
+    """No pair at the least similarity is left out: the sketches of 500 such pairs stay within the bound, and apart agrees with the minima."""
     rng = np.random.default_rng(2)
     for _ in range(500):
         pool = rng.integers(0, 1 << 64, 200, dtype=np.uint64)
-        a, b = (np.array(near.sketch(near.minima(x))) for x in (pool[:180], pool[20:]))  # 160 of 200
-        assert sum(int(x).bit_count() for x in (a ^ b).astype(np.uint64)) <= near.MOST
+        lows = [near.minima(x) for x in (pool[:180], pool[20:])]  # 160 of 200
+        high = [low * near.MIX >> np.uint64(62) for low in lows]
+        a, b = (np.array(near.sketch(low)).astype(np.uint64) for low in lows)
+        half = len(near.SKETCH) // 2
+        apart = sum(int(x).bit_count() for x in (a ^ b)[:half] | (a ^ b)[half:])
+        assert apart == (high[0] != high[1]).sum() <= near.MOST
