@@ -14,7 +14,7 @@ from marginalia.functions import text as tx
 from marginalia.operators import chunk, context, embed, evaluate, search, select
 from marginalia.plans import rag
 from marginalia.plans.config import load_profile
-from marginalia.plans.staging import stage
+from marginalia.plans.staging import new_path, stage
 from marginalia.sources import files, notes, store
 
 QUERIES, ORACLES = {}, {}
@@ -389,6 +389,18 @@ def binary_and_decoding(spark, d):
     return rows.select("doc_id", files.looks_binary("c").alias("is_binary"), files.decoded("c").alias("decoded"))
 
 
+@query(
+    f"""SELECT doc_id, text || chr(10) AS text, '.txt' AS ext, 'filesystem' AS source, CAST(strlen(text) + 1 AS BIGINT) AS size_bytes, sha256(text || chr(10)) AS content_hash
+    FROM documents WHERE trim(text, {SQL_WS}) <> '' AND strlen(text) < {files.MAX_BYTES}"""
+)
+def ingest_files(spark, d):
+    """All documents written to a folder each, as text files, and loaded from there."""
+    folder = new_path(spark, "ingest-files")
+    table(spark, d, "documents").select("text", F.col("doc_id").alias("n")).write.partitionBy("n").text(folder)
+    docs, _ = files.load_documents(spark, [folder])
+    return docs.select(F.regexp_extract("uri", "/n=([0-9]+)/", 1).cast("long").alias("doc_id"), "text", "ext", "source", "size_bytes", "content_hash")
+
+
 RELEVANT_SQL = "rel AS (SELECT q.vec_id AS qid, v.vec_id FROM v JOIN v q ON q.vec_id = (v.vec_id + 50) // 100 * 100 AND q.label = v.label)"
 
 

@@ -113,23 +113,31 @@ def fenced(text: str) -> Iterator[tuple[str, bool]]:
 
 
 def expand_embeds(notes: DataFrame, vault: DataFrame, root: str | None = None, depth: int = DEPTH) -> DataFrame:
-    """(path, text): bodies of ``notes`` (path, body) with embeds written out from ``vault`` (path, body or null)."""
-    links = resolve(embeds(vault.where("body IS NOT NULL")), vault, root)
-    reach = notes.select(F.col("path").alias("root"), "path")
+    """(path, text): bodies of ``notes`` (path, body) with embeds written out from ``vault`` (path, body or null).
+
+    Paths are distinct on either side. A note may lie outside the vault; it can embed, but is not found by others.
+    Only notes with embeds are gathered, each in a group about as large as its text will be; the others pass as they are.
+    """
+    embedding = F.coalesce(F.contains("body", F.lit("![[")), F.lit(False))
+    plain = notes.where(~embedding).select("path", F.coalesce("body", F.lit("")).alias("text"))
+    outside = notes.select("path", "body").join(vault.select("path"), "path", "left_anti")
+    bodies = vault.select("path", "body").union(outside)
+    links = resolve(embeds(bodies.where(embedding)), vault, root)
+    reach = notes.where(embedding).select(F.col("path").alias("root"), "path")
     frontier = reach
     for _ in range(depth):
         frontier = frontier.join(links.select("path", "found"), "path").select("root", F.col("found").alias("path")).distinct()
         reach = reach.union(frontier)
     reach = reach.distinct()
     met = links.groupBy("path").agg(F.collect_list(F.struct("target", "found")).alias("links"))
-    rows = reach.join(vault.select("path", "body"), "path", "left").join(met, "path", "left")
+    rows = reach.join(bodies, "path", "left").join(met, "path", "left")
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         bodies = dict(zip(frame["path"], frame["body"], strict=True))
         found = {(p, x["target"]): x["found"] for p, some in zip(frame["path"], frame["links"], strict=True) if some is not None for x in some}
         return pd.DataFrame({"path": [key[0]], "text": [write_out(key[0], bodies, found, depth)]})
 
-    return rows.groupBy("root").applyInPandas(run, "path string, text string")
+    return rows.groupBy("root").applyInPandas(run, "path string, text string").union(plain)
 
 
 def load_notes(read: DataFrame, vault: DataFrame, root: str | None = None, depth: int = DEPTH) -> DataFrame:

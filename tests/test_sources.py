@@ -97,6 +97,15 @@ def test_documents_and_report(spark, vault):
     assert rows["up/beside.md"].text == wrap("near.md", "beside") + " " + wrap("plain.md", "plain text")
 
 
+def test_notes_outside_the_vault(spark, tmp_path):
+    for path, text in {"vault/a.md": "inside", "own/n.md": "one ![[a]] ![[m]] ![[o]] two", "own/m.md": "beside", "own/o.md": "other", "own/p.md": "no embeds"}.items():
+        (tmp_path / path).parent.mkdir(exist_ok=True)
+        (tmp_path / path).write_text(text)
+    docs, _ = files.load_documents(spark, [str(tmp_path / "own")], vault_root=str(tmp_path / "vault"))
+    got = {r.title: r.text for r in docs.collect()}
+    assert got == {"n": "one \n\n<!-- EMBED: a.md -->\ninside\n<!-- /EMBED -->\n\n   two", "m": "beside", "o": "other", "p": "no embeds"}
+
+
 def test_legacy_notes(spark, vault):
     rows = {r.file_name: r for r in notes.legacy_notes(spark, vault).collect()}
     assert rows["lat1.md"].text == "caf" and rows["n.md"].relative_dir == "AI/sub" and rows["n.md"].is_ai
