@@ -23,7 +23,10 @@ FENCE = "```"
 LINK = rf"\[\[(?!\]\])(?:{WS_CLASS}*([^\]|]*?){WS_CLASS}*\|{WS_CLASS}*|[^\]|]*\|{WS_CLASS}*([^\]]*?[^\]{WS_INSIDE}]){WS_CLASS}*|{WS_CLASS}*([^\]|]*?){WS_CLASS}*)\]\]"
 LINE_ENDS = r"\r\n|\r"
 #: Where a line ends: after every line end that Unicode knows.
-LINE_STARTS = r"(?<=[\n\x0b\x0c\x1c-\x1e\u0085\u2028\u2029])|(?<=\r)(?!\n)"
+ENDS = r"\n\x0b\x0c\x1c-\x1e\u0085\u2028\u2029"
+LINE_STARTS = rf"(?<=[{ENDS}])|(?<=\r)(?!\n)"
+#: Text up to a line that begins with a fence, that line too, or the rest. Loops over single characters only, so that long texts need no deep stack.
+SEGMENT = rf"[\s\S]*?(?:\A|{LINE_STARTS})[{WS_INSIDE}&&[^\r{ENDS}]]*+{FENCE}[^\r{ENDS}]*+(?:\r\n|[\r{ENDS}])?|[\s\S]+"
 
 
 def _fence_row(text: Column, open_row: Column) -> Column:
@@ -113,21 +116,8 @@ def segments(text: Column | str) -> Column:
     A line that begins with a fence, white space aside, changes sides after itself: the opening line
     belongs to the text, the closing one to the code. Unclosed code reaches to the end.
     """
-    rows = F.filter(F.split(_col(text), LINE_STARTS, -1), lambda r: r != "")
-    empty = F.array().cast("array<struct<text:string,is_code:boolean>>")
-    start = F.struct(empty.alias("done"), F.lit("").alias("held"), F.lit(False).alias("code"))
-
-    def step(acc: Column, row: Column) -> Column:
-        held = F.concat(acc["held"], row)
-        fence = F.startswith(F.ltrim(row, F.lit(WS)), F.lit(FENCE))
-        done = F.concat(acc["done"], F.array(F.struct(held.alias("text"), acc["code"].alias("is_code"))))
-        return F.struct(F.when(fence, done).otherwise(acc["done"]).alias("done"), F.when(fence, F.lit("")).otherwise(held).alias("held"), (acc["code"] != fence).alias("code"))
-
-    def close(acc: Column) -> Column:
-        rest = F.array(F.struct(acc["held"].alias("text"), acc["code"].alias("is_code")))
-        return F.when(acc["held"] == "", acc["done"]).otherwise(F.concat(acc["done"], rest))
-
-    return F.aggregate(rows, start, step, close)
+    parts = F.regexp_extract_all(_col(text), F.lit(SEGMENT), F.lit(0))
+    return F.transform(parts, lambda part, i: F.struct(part.alias("text"), (i % 2 == 1).alias("is_code")))
 
 
 def strip_links(text: Column | str) -> Column:
