@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lm, packing, quality, secrets, sharding, simhash, topk
+from . import bpe, chat, impact, jaccard, lm, mining, packing, quality, secrets, sharding, simhash, topk
 from .common import fold_column, table
 from .dedup import DigestIndex
 
@@ -175,5 +175,55 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY rank <= 10
 """
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_packing, op4_sharding, op5_secrets, op6_lm_score, op7_chat_format, op8_simhash, op9_quality, op10_topk)}
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op4_sharding": OP4_SQL, "op5_secrets": OP5_SQL, "op7_chat_format": OP7_SQL, "op10_topk": OP10_SQL}
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mining.hard_negatives(rows.withColumn("label", label), k=5, positives=5, every=100, scale=256, low=80, high=100)
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS n, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.n, a.vec_id AS anchor_id, d.vec_id, a.label = d.label AS same, CAST(list_dot_product(a.v, d.v) AS BIGINT) AS score
+  FROM v a JOIN v d ON a.n <> d.n WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT n, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS place FROM s WHERE same QUALIFY place <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.n, place ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.n = p.n AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score QUALIFY rank <= 5
+"""
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.label(table(spark, sf_dir, "documents"), shingle=3, least=(9, 10))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+s AS (SELECT count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS total FROM d WHERE len(t) > 0),
+p AS (SELECT r, doc_id, n, word, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS word FROM d) GROUP BY ALL),
+w AS (SELECT word, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, s GROUP BY word),
+i AS (SELECT row_number() OVER () AS item, item_id, unnest({_TERMS}) AS word FROM benchmark),
+m AS (
+  SELECT item, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id,
+         CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total)))) AS BIGINT) AS score
+  FROM i JOIN w USING (word) JOIN p USING (word), s GROUP BY item, r
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM m WHERE score > 0 QUALIFY rank <= 20
+"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_bpe, op2_exact_dedup, op3_packing, op4_sharding, op5_secrets, op6_lm_score, op7_chat_format, op8_simhash, op9_quality, op10_topk, op11_hard_negatives, op12_jaccard_join, op13_ranked_search)
+}
+ORACLES = {
+    "op2_exact_dedup": OP2_SQL, "op4_sharding": OP4_SQL, "op5_secrets": OP5_SQL, "op7_chat_format": OP7_SQL, "op10_topk": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op13_ranked_search": OP13_SQL,
+}

@@ -19,7 +19,7 @@ or vector that holds a large share of all rows is thus spread over many tasks.
 
 Defined results: components are floor(scale * x); vectors that are null or hold null or
 non-finite components take no part; shorter vectors count as ended by zeros. A query's own
-row is no candidate, but repeats of it are. Ties go to the smaller id, null ids last. With
+row is no candidate, but repeats of it are. Components so large that a score may not fit into 64 bits raise. Ties go to the smaller id, null ids last. With
 fewer candidates than k all are returned; an empty table gives no rows.
 """
 
@@ -42,11 +42,20 @@ LEAST_ROWS, LEAST_TILES = 512, 64
 LAST = np.iinfo(np.int64).max
 
 
-def scaled(df: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
-    """row, vec_id, v (whole numbers) of the vectors that take part."""
+def scaled(df: DataFrame, vec_id: str, embedding: str, scale: int, *more: F.Column) -> DataFrame:
+    """row, vec_id, v (whole numbers) and ``more`` of the vectors that take part."""
     real = F.forall(F.col(embedding), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     whole = F.transform(F.col(embedding), lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
-    return df.where(F.col(embedding).isNotNull() & real).select(F.monotonically_increasing_id().alias("row"), F.col(vec_id).alias("vec_id"), whole.alias("v"))
+    return df.where(F.col(embedding).isNotNull() & real).select(F.monotonically_increasing_id().alias("row"), F.col(vec_id).alias("vec_id"), whole.alias("v"), *more)
+
+
+def extent(vectors: DataFrame) -> tuple[int, int, int]:
+    """Width of the longest vector, number of rows, and the largest size of a component. Scores that 64 bits may not hold raise."""
+    width, rows, low, high = vectors.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.count("*"), F.min(F.array_min("v")), F.max(F.array_max("v"))).first()
+    most = max(-(low or 0), high or 0)
+    if width * most**2 >= 1 << 62:
+        raise ValueError(f"components of up to {most} over {width} places have inner products that 64 bits do not hold")
+    return width, rows, most
 
 
 def matrix(lists: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
@@ -138,7 +147,7 @@ def best_scores(scores: np.ndarray, k: int) -> np.ndarray:
 def top_k(df: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, vec_id: str = "vec_id", embedding: str = "embedding", pivots: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best of all rows for each row whose id ``every`` divides."""
     vectors = stage(scaled(df, vec_id, embedding, scale), "topk-vectors")
-    width, rows_all = vectors.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.count("*")).first()
+    width, rows_all, _ = extent(vectors)
     pivots = min(pivots or max(1, isqrt(rows_all)), PIVOTS)
     sample = vectors.orderBy(F.xxhash64("row"), "row").limit(pivots).select("v").toArrow()  # PIVOTS rows at most
     cells = Cells(matrix(sample["v"], width), k)
