@@ -1,168 +1,83 @@
-"""Near copies by the Jaccard similarity of word shingles, among the representatives of SimHash classes.
-
-Two texts are near when the sets of their five-word shingles have a similarity of at least
-LEAST; texts of fewer words are one shingle, texts without words are near to none. Candidates
-share a band: ROWS minima of random permutations of the shingles, BANDS times independently. A
-pair at LEAST shares none with a chance of (1 - 0.8^4)^24, about 3 in a million. Two bits of each of
-WIDE minima, those of the bands and more, make a sketch; candidates whose sketches differ in more than
-MOST of them are left out, which happens to a pair at LEAST with a chance of about 2 in a million. What
-remains is compared exactly, text against text, so only texts that have a likely partner are shuffled.
-
-A bucket (the rows of one band value) is settled in rounds. In a round its leaders, the smallest row
-of each of a number of groups, meet all rows left in it; of each near pair the later row is
-dropped, everywhere. Leaders have met all others then and leave the bucket. One leader settles a
-group of near copies, in pairs linear in its rows; a bucket whose rows are not near takes eight times
-as many leaders in each further round, up to LEADERS. Meetings are a join on the bucket, so AQE can
-split one that holds many rows.
-
-Defined results: rows are ordered by id, nulls last, then by place. No two rows kept that
-share a band are near, and each row dropped has a chain of near pairs to an earlier one that is
-kept. All columns are kept, whatever their names.
+"""Near copies: SimHash classes confirmed by the texts, then an exact Jaccard join of what is left.
+
+Two texts are near when the sets of their five-word shingles have a similarity of at least LEAST; texts
+of fewer words are one shingle, texts without words are near to none.
+
+Fingerprints of five-word shingles that differ in at most two bits are linked by anchor-point covering
+(``simhash``). Each row of such a class is compared with the class's first row, text against text: pairs are as
+many as rows, however large the class. A row that is near goes; one that only has a similar fingerprint does not.
+Among the rows left all near pairs are found by the blocked sparse product (``jaccard``), and of
+each component one row stays.
+
+Defined results: rows are ordered by id, nulls last, then by place; the first of a class or component stays. No two rows
+kept are near, and each row dropped has a chain of near pairs to one that is kept. All columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from marginalia.plans.staging import settle, stage
 
+from . import jaccard, simhash
 from .common import fresh, small_batches, text_blocks
-from .simhash import later_rows, shingle_hashes
-
-SHINGLE, LEAST = 5, 0.8
-BANDS, ROWS = 24, 4
-WIDE, MOST = 192, 54
-SKETCH = tuple(f"sketch_{i}" for i in range(2 * WIDE // 64))
-LEADERS, GROWTH = 512, 8
-SLICE = 1 << 11
-_RNG = np.random.default_rng(42)
-XOR = _RNG.integers(0, 1 << 64, WIDE, dtype=np.uint64)
-ODD, MIX = (_RNG.integers(0, 1 << 64, WIDE, dtype=np.uint64) | np.uint64(1) for _ in range(2))
-
-
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
-    return np.unique(np.array(shingle_hashes(text, SHINGLE), dtype=np.uint64))
-
-
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """The smallest value of each permutation."""
-    low = np.full(WIDE, np.iinfo(np.uint64).max, np.uint64)
-    for lo in range(0, len(hashes), SLICE):
-        low = np.minimum(low, ((hashes[lo : lo + SLICE, None] ^ XOR) * ODD).min(axis=0))
-    return low
-
-
-def bands(low: np.ndarray) -> np.ndarray:
-    """The bucket of each band."""
-    return (low * MIX)[: BANDS * ROWS].reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64)
 
+SHINGLE, LEAST = 5, (4, 5)
 
-def sketch(low: np.ndarray) -> list[int]:
-    """The two high bits of each mixed minimum: the numbers of the first bits, then those of the second."""
-    high = (low * MIX >> np.uint64(62)).astype(np.uint8)
-    return np.packbits(np.concatenate([high >> 1, high & 1])).view("<i8").tolist()
 
+def near(a: str | None, b: str | None) -> bool:
+    """Whether two texts are near."""
+    a, b = (jaccard.shingle_set(t, SHINGLE) for t in (a, b))
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and LEAST[1] * both >= LEAST[0] * (len(a) + len(b) - both)
 
-def _apart(a: str, b: str) -> Column:
-    """In how many minima the sketches of the structs ``a`` and ``b`` differ."""
-    half = len(SKETCH) // 2
-    changed = [F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) for c in SKETCH]
-    return reduce(add, (F.bit_count(changed[i].bitwiseOR(changed[i + half])) for i in range(half)))
 
-
-def _signed(texts: DataFrame) -> DataFrame:
-    """row, late and id of each of ``texts`` that has words, with its number of shingles, sketch and bands."""
-    fields = [f for f in texts.schema.fields if f.name != "text"]
-    schema = T.StructType([*fields, *T.StructType.fromDDL(f"n int, {' long, '.join(SKETCH)} long, bands array<long>").fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_blocks(batches, "text"):
-            found = [shingles(t) for t in batch.column("text").to_pylist()]
-            some = [i for i, s in enumerate(found) if len(s)]
-            lows = [minima(found[i]) for i in some]
-            sketches = np.array([sketch(low) for low in lows], np.int64).reshape(-1, len(SKETCH))
-            values = np.concatenate([bands(low) for low in lows]).view(np.int64) if some else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * BANDS, pa.int32()), pa.array(values))
-            kept = [batch.column(f.name).take(pa.array(some, pa.int64())) for f in fields]
-            made = [pa.array([len(found[i]) for i in some], pa.int32()), *map(pa.array, sketches.T.copy()), lists]
-            yield pa.RecordBatch.from_arrays([*kept, *made], names=schema.names)
-
-    return texts.mapInArrow(run, schema)
-
-
-def _near(pairs: DataFrame) -> DataFrame:
-    """``later`` of the ``pairs`` (later, text_a, text_b) whose texts are near."""
+def _confirmed(pairs: DataFrame) -> DataFrame:
+    """``row`` of the ``pairs`` (row, text_a, text_b) whose texts are near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in text_blocks([batch], "text_b"):
-                good = []
-                for later, a, b in zip(*(block.column(c).to_pylist() for c in ("later", "text_a", "text_b")), strict=True):
-                    a, b = shingles(a), shingles(b)
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    if both >= LEAST * (len(a) + len(b) - both):
-                        good.append(later)
-                yield pa.RecordBatch.from_arrays([pa.array(good, pa.int64())], names=["later"])
+                rows, a, b = (block.column(c).to_pylist() for c in ("row", "text_a", "text_b"))
+                good = [row for row, *both in zip(rows, a, b, strict=True) if near(*both)]
+                yield pa.RecordBatch.from_arrays([pa.array(good, pa.int64())], names=["row"])
+
+    return pairs.mapInArrow(run, "row long")
+
 
-    return pairs.mapInArrow(run, "later long")
+def _of_classes(texts: DataFrame) -> DataFrame:
+    """``row`` of the ``texts`` (row, id, text) that are near the first row of their SimHash class."""
+    found = simhash.components(simhash.fingerprints(texts, "id", "text", "row", SHINGLE))
+    found = stage(found.select("row", F.col("doc_id").alias("id"), "component"), "near-found")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("first"), F.count("*").alias("rows"))
+    pairs = stage(found.join(stage(first.where("rows > 1"), "near-first"), "component").where("row <> first").select("row", "first"), "near-pairs")
+    named = pairs.select("row").union(pairs.select("first").distinct())
+    some = stage(texts.select("row", "text").join(named, "row", "left_semi"), "near-texts")
+    a, b = some.select(F.col("row").alias("first"), F.col("text").alias("text_a")), some.select("row", F.col("text").alias("text_b"))
+    return _confirmed(pairs.join(a, "first").join(b, "row").select("row", "text_a", "text_b"))
 
 
 def dropped(texts: DataFrame) -> DataFrame:
-    """``row`` of the ``texts`` (row, late, id, text) that are near an earlier one; rows are ordered by (late, id, row)."""
-    spark = texts.sparkSession
-    small_batches(spark)
-    signed = stage(_signed(texts), "near-signed")
-    about = signed.drop("bands")
-    placed = signed.select("row", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1").select("bucket")
-    left = stage(placed.join(stage(shared, "near-shared"), "bucket").join(about, "row"), "near-left")
-    lost, turn, leaders = [], 0, 1
-    whole = F.struct(*about.columns)
-    while not left.isEmpty():
-        first = left.groupBy("bucket", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(leaders)).alias("salt")).agg(F.min_by(whole, F.struct("late", "id", "row")).alias("a"))
-        first = stage(first.select("bucket", "a"), "near-leaders")
-        met = first.join(left.select("bucket", whole.alias("b")), "bucket")
-        fit = F.least("a.n", "b.n") >= LEAST * F.greatest("a.n", "b.n")
-        ordered = F.struct(*(f"a.{c}" for c in ("late", "id", "row"))) < F.struct(*(f"b.{c}" for c in ("late", "id", "row")))
-        likely = met.where((F.col("a.row") != F.col("b.row")) & (_apart("a", "b") <= MOST) & fit)
-        pairs = likely.select(F.when(ordered, F.col("a.row")).otherwise(F.col("b.row")).alias("early"), F.when(ordered, F.col("b.row")).otherwise(F.col("a.row")).alias("later")).distinct()
-        pairs = stage(pairs, "near-pairs")
-        named = pairs.select(F.col("early").alias("row")).union(pairs.select(F.col("later").alias("row"))).distinct()
-        some = stage(texts.select("row", "text").join(named, "row", "left_semi"), "near-texts")
-        sides = [some.select(F.col("row").alias(side), F.col("text").alias(f"text_{c}")) for side, c in (("early", "a"), ("later", "b"))]
-        gone = stage(_near(pairs.join(sides[0], "early").join(sides[1], "later").select("later", "text_a", "text_b")).distinct().withColumnRenamed("later", "row"), "near-gone")
-        lost.append(gone)
-        rest = left.join(first.select("bucket", F.col("a.row").alias("row")), ["bucket", "row"], "left_anti").join(gone, "row", "left_anti")
-        rest = stage(rest, "near-rest")
-        several = rest.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1").select("bucket")
-        left = stage(rest.join(stage(several, "near-shared"), "bucket", "left_semi"), "near-left")
-        turn, leaders = turn + 1, min(LEADERS, leaders * GROWTH)
-    none = spark.createDataFrame([], "row long")
-    for more in lost:
-        none = none.union(more)
-    return none.distinct()
+    """``row`` of the ``texts`` (row, id, text) that go."""
+    small_batches(texts.sparkSession)
+    copies = stage(_of_classes(texts), "near-copies")
+    left = stage(jaccard.classes(texts.join(copies, "row", "left_anti"), SHINGLE, LEAST).where("class IS NOT NULL").select("row", "id", "class"), "near-left")
+    first = stage(left.groupBy("class").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("first")), "near-stay")
+    return copies.union(left.join(first, "class").where("row <> first").select("row"))
 
 
 def keep(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay when SimHash classes, and then near representatives, are one each.
+    """The rows of ``docs`` that stay when no two are near.
 
     ``docs`` has to give the same rows in the same order each time it is read, as a table does.
     """
     (row,) = fresh(docs, "row")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    texts = numbered.select(F.col(row).alias("row"), F.col(doc_id).isNull().alias("late"), F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-
-    def gone() -> DataFrame:
-        later = later_rows(numbered, row, doc_id, text)
-        return later.union(dropped(texts.join(later, "row", "left_anti"))).withColumnRenamed("row", row)
-
-    return numbered.join(settle(docs.sparkSession, "near-gone", gone), row, "left_anti").drop(row)
+    texts = numbered.select(F.col(row).alias("row"), F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
+    gone = settle(docs.sparkSession, "near-gone", lambda: dropped(texts)).withColumnRenamed("row", row)
+    return numbered.join(gone, row, "left_anti").drop(row)

@@ -73,7 +73,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the fingerprint's 64 bits as a long) of each row; and ``row``, where the column that numbers the rows is named."""
     extra = [F.col(row).alias("row")] if row else []
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *extra)
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ro
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_blocks(batches, "text"):
-            fps = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
             kept = [batch.column(f.name) for f in schema.fields[:-1]]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(fps)], names=[f.name for f in schema.fields])
 
