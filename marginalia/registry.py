@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import markdown as md
 from marginalia.functions import text as tx
-from marginalia.operators import chunk, context, embed, evaluate, search, select
-from marginalia.plans import rag
+from marginalia.operators import cells, chunk, context, embed, evaluate, search, select
+from marginalia.plans import explore, rag
 from marginalia.plans.config import load_profile
 from marginalia.plans.staging import new_path, stage
-from marginalia.sources import files, notes, store
+from marginalia.sources import files, listing, notes, store
+from marginalia.sources.versions import VersionedTable
+from marginalia.streaming import sync
 
 QUERIES, ORACLES = {}, {}
 SQL_WS = "(" + " || ".join(f"chr({c})" for c in map(ord, tx.WS)) + ")"
@@ -457,3 +459,82 @@ def embeds_expanded(spark, d):
     docs = table(spark, d, "documents").select(F.concat(F.lit("/v/n"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("top\n![[part#h|x]] "), "text")).otherwise(F.col("text")).alias("body"))
     part = spark.createDataFrame([("/v/sub/part.md", "part body")], "path string, body string")
     return notes.expand_embeds(docs, docs.union(part), "/v")
+
+
+@query(f"WITH {ALL_SCORES_SQL} SELECT qid, vec_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS INT) AS rank FROM s QUALIFY rank <= 10")
+def knn_cells(spark, d):
+    """The same as knn_batch, by a persistent index of cells."""
+    rows = nodes(spark, d)
+    index = cells.build(rows.select("vec_id", "vector"), new_path(spark, "cells"), "vec_id")
+    return index.search_all(asked(rows), 10)
+
+
+@query(
+    """SELECT doc_id, 'part.txt' AS name, CAST(strlen(text) + 1 AS BIGINT) AS size FROM documents UNION ALL SELECT NULL, '_SUCCESS', 0"""
+)
+def files_listed(spark, d):
+    """All documents written to a folder each and listed; the writer's own mark is a file without content and with a leading underscore."""
+    folder = new_path(spark, "files-listed")
+    table(spark, d, "documents").select("text", F.col("doc_id").alias("n")).write.partitionBy("n").text(folder)
+    name = F.regexp_replace(files.file_name("path"), "^part-.*[.]txt$", "part.txt")
+    shown = listing.list_files(spark, [folder]).where(~F.endswith("path", F.lit(".crc")))
+    return shown.select(F.expr("try_cast(regexp_extract(path, '/n=([0-9]+)/', 1) AS BIGINT)").alias("doc_id"), name.alias("name"), "size")
+
+
+CHANGED_SQL = "CASE WHEN doc_id % 5 = 0 THEN text || ' edited' ELSE text END"
+
+
+@query(
+    f"""WITH documents_now AS (SELECT doc_id, {CHANGED_SQL} AS text FROM documents WHERE doc_id % 7 <> 0),
+    {CHUNKS_SQL.replace("FROM documents", "FROM documents_now")} SELECT doc_id, chunk_index, start_char, end_char, text FROM chunks"""
+)
+def index_after_changes(spark, d):
+    """An index after two batches, one given twice, then edits and deletions: as one built anew."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("uri"), "text")
+    index = VersionedTable(spark, new_path(spark, "index-versions"))
+    none = spark.createDataFrame([], "uri string")
+    for n, some in enumerate((docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), docs.where("doc_id % 2 = 1"))):
+        sync.apply_documents(index, some, none, ("documents", min(n, 1)))
+    edited = docs.where("doc_id % 5 = 0 AND doc_id % 7 <> 0").withColumn("text", F.concat("text", F.lit(" edited")))
+    sync.apply_documents(index, edited, docs.where("doc_id % 7 = 0").select("uri"), ("documents", 2))
+    return index.read().select("doc_id", "chunk_index", "start_char", "end_char", "text")
+
+
+@query(
+    f"""WITH w AS (SELECT doc_id, text, string_split(regexp_replace(text, '([.!?]){RE_WS}+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM documents),
+    p AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM w),
+    c AS (SELECT doc_id, i, s, trim(substr(part, s + 1, 1200), {SQL_WS}) AS text FROM p, LATERAL (SELECT unnest(range(0, greatest(length(part), 1), 1200)) AS s)),
+    t AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, s) AS n, text FROM c WHERE text <> ''),
+    v AS (SELECT *, {_digest_sql("text")} AS e FROM t),
+    a AS (SELECT doc_id, n, text, round(1 - list_cosine_similarity(lag(e) OVER (PARTITION BY doc_id ORDER BY n), e), 6) AS apart FROM v),
+    m AS (SELECT doc_id, quantile_cont(apart, 0.95) AS most FROM a GROUP BY doc_id),
+    g AS (SELECT a.doc_id, n, text, sum(CASE WHEN apart > most THEN 1 ELSE 0 END) OVER (PARTITION BY a.doc_id ORDER BY n) AS segment FROM a JOIN m USING (doc_id)),
+    h AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY doc_id, segment ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 1200 AS part FROM g),
+    r AS (SELECT doc_id, min(n) AS n, string_agg(text, ' ' ORDER BY n) AS text, count(*) AS sentences FROM h GROUP BY doc_id, segment, part)
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INT) AS chunk_index, text, sentences FROM r"""
+)
+def chunk_semantic(spark, d):
+    return chunk.semantic(table(spark, d, "documents"))
+
+
+@query(
+    f"""WITH {ALL_SCORES_SQL}, t AS (SELECT qid // 300 * 300 AS whole, vec_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 20),
+    f AS (SELECT whole AS qid, vec_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM t GROUP BY whole, vec_id)
+    SELECT qid, vec_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS INT) AS rank FROM f QUALIFY rank <= 10"""
+)
+def fused_parts(spark, d):
+    """Questions of up to three parts, each a vector of its own."""
+    found = batch(spark, d, 20).withColumn("qid", F.expr("qid div 300 * 300"))
+    return explore.fuse(found, 10, "vec_id")
+
+
+@query(
+    f"""WITH RECURSIVE {VECTORS_SQL}, e AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM v a, v b QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.e, b.e), 6) DESC, b.vec_id) <= 3),
+    h AS (SELECT vec_id AS qid, vec_id, 0 AS hop FROM v WHERE vec_id % 100 = 0 UNION SELECT h.qid, e.dst, h.hop + 1 FROM h JOIN e ON e.src = h.vec_id WHERE h.hop < 3)
+    SELECT qid, vec_id, CAST(min(hop) AS INT) AS hop FROM h GROUP BY qid, vec_id"""
+)
+def multi_hop(spark, d):
+    """Rows reached from each question in three steps, each to the three nearest rows."""
+    rows = nodes(spark, d)
+    start = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "vec_id")
+    return explore.hops(start, explore.nearest(rows.select("vec_id", "vector"), 3, "vec_id"), 3, item="vec_id")

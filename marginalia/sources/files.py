@@ -1,14 +1,12 @@
 """Files as a DataFrame: listing, guarded loading, outcomes and the ingestion report.
 
 Spark's own file source leaves out empty files and names with a leading ``_`` or ``.``, all of which
-the report has to count. So the driver lists names (not contents) and tasks read the bytes, both
+the report has to count. So names are listed by a data source of our own (``listing``) and tasks read the bytes, both
 through Arrow's file systems: local paths and the stores that it knows.
 """
 
 from __future__ import annotations
 
-import glob
-import os
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -19,38 +17,11 @@ from pyspark.sql import functions as F
 from marginalia.functions import text as tx
 from marginalia.plans.staging import stage
 
+from .listing import list_files
+
 EXTENSIONS = (".md", ".txt", ".py", ".json", ".yaml", ".yml")
 MAX_BYTES, SNIFF_BYTES, CONTROL_SHARE = 2_000_000, 4096, 0.02
-FILES = "path string, size long, mtime timestamp"
 OUTCOMES = ("skipped_hidden", "skipped_extension", "skipped_empty", "skipped_too_large", "failed", "loaded")
-LIST_ROWS = 512
-
-
-def _found(inputs: Iterable[str], recursive: bool) -> Iterator[tuple[str, int, object]]:
-    for item in inputs:
-        item = os.path.expanduser(item)
-        remote = "://" in item
-        if not remote and not os.path.exists(item):
-            if not os.path.isabs(item):
-                yield from _found((os.path.abspath(m) for m in glob.glob(item, recursive=True, include_hidden=True)), recursive)
-            continue
-        system, path = afs.FileSystem.from_uri(item if remote else os.path.realpath(item))
-        about = system.get_file_info(path)
-        listed = [about] if about.type == afs.FileType.File else system.get_file_info(afs.FileSelector(path, recursive=recursive)) if about.type == afs.FileType.Directory else []
-        head = item[: item.index(path)] if remote and path in item else ""
-        for f in listed:
-            if f.type == afs.FileType.File:
-                yield head + (f.path if remote else os.path.realpath(f.path)), f.size, f.mtime
-
-
-def list_files(spark: SparkSession, inputs: Iterable[str], recursive: bool = True) -> DataFrame:
-    """path, size and mtime of every distinct file of ``inputs``: folders, files, or patterns relative to here.
-
-    Absolute paths that do not exist are left out.
-    """
-    rows = sorted({p: (p, n, t) for p, n, t in _found(inputs, recursive)}.values(), key=lambda r: r[0])
-    parts = max(1, min(len(rows) // LIST_ROWS, spark.sparkContext.defaultParallelism * 4))
-    return spark.createDataFrame(rows, FILES).repartition(parts) if parts > 1 else spark.createDataFrame(rows, FILES).coalesce(1)
 
 
 def read_bytes(files: DataFrame, most: int = MAX_BYTES) -> DataFrame:

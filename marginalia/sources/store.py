@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from marginalia.functions import text as tx
 from marginalia.plans.staging import exists
 
+from .versions import VersionedTable
+
 CHUNK = "chunk_id string, doc_id string, text string, chunk_index int, start_char int, end_char int, section_heading string, section_path string, language string, metadata map<string,string>"
 JSONL = f"chunk struct<{CHUNK.replace(' string', ':string').replace(' int', ':int').replace(' map', ':map').replace(', ', ',')}>, vector array<double>"
 EVAL = "qid string, query string, relevant_chunk_ids array<string>"
@@ -21,26 +23,30 @@ DUMPED = ("source_path", "file_name", "root_dir", "relative_dir", "is_ai", "is_m
 
 
 class IndexTable:
-    """Chunks with vectors as a Parquet table at ``path``."""
+    """Chunks with vectors at ``path``, written whole or not at all and read version by version; see ``versions``."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, key: str = "chunk_id"):
+        self.spark, self.path, self.table = spark, path, VersionedTable(spark, path, key)
 
-    def rows(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+    def rows(self, version: int | None = None) -> DataFrame:
+        return self.table.read(version)
 
     def save(self, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(self.path)
+        """``rows`` become the index; they may be read from it."""
+        self.table.replace(rows)
 
     def append(self, rows: DataFrame) -> None:
         """Add rows; nothing is replaced."""
-        rows.write.mode("append").parquet(self.path)
-
-    def upsert(self, rows: DataFrame, to: str, key: str = "chunk_id") -> IndexTable:
-        """A new table at ``to`` in which ``rows`` replace those of the same key."""
-        old = self.rows().join(rows.select(key), key, "left_anti")
-        old.unionByName(rows, allowMissingColumns=True).write.mode("overwrite").parquet(to)
-        return IndexTable(self.spark, to)
+        self.table.append(rows)
+
+    def upsert(self, rows: DataFrame, to: str | None = None) -> IndexTable:
+        """``rows`` replace those of the same key, here or in a new index at ``to``."""
+        if to is None:
+            self.table.upsert(rows)
+            return self
+        new, key = IndexTable(self.spark, to, self.table.key), self.table.key
+        new.save(self.rows().join(rows.select(key), key, "left_anti").unionByName(rows, allowMissingColumns=True))
+        return new
 
     def count(self) -> int:
         return self.rows().count()

@@ -1,0 +1,71 @@
+import random
+
+import pytest
+
+from marginalia.operators import chunk, embed
+from marginalia.plans import explore
+
+
+@pytest.mark.parametrize(
+    "question, parts",
+    [("What is a? and what is b", ["What is a? and what is b", "What is a", "what is b"]), (" one ", ["one"]), ("a, or b AND c; d", ["a, or b AND c; d", "a", "b", "c", "d"]), ("sand and band", ["sand and band", "sand", "band"]), ("a and a", ["a and a", "a"]), (" ", []), (None, []), ("?", ["?"])],
+)
+def test_parts(spark, question, parts):
+    df = spark.createDataFrame([(1, question)], "qid int, query string")
+    assert [r.query for r in explore.decompose(df).orderBy("part").collect()] == parts
+
+
+def test_fusion(spark):
+    rng = random.Random(1)
+    found = [(q, p, i, r) for q in range(3) for p in range(4) for r, i in enumerate(rng.sample(range(12), 6), 1)]
+    got = explore.fuse(spark.createDataFrame(found, "qid int, part int, id int, rank int"), 5, "id")
+    want = []
+    for q in range(3):
+        sums = {i: round(sum(1 / (60 + r) for a, _, b, r in found if (a, b) == (q, i)), 9) for i in {b for a, _, b, _ in found if a == q}}
+        want += [(q, i, s, n) for n, (s, i) in enumerate(sorted(((-s, i) for i, s in sums.items()))[:5], 1) for s in [-s]]
+    assert sorted((r.qid, r.id, r.score, r["rank"]) for r in got.collect()) == sorted(want)
+
+
+def test_search_of_parts(spark):
+    rows = embed.dummy(spark.createDataFrame([("a", "one"), ("b", "two"), ("c", "three")], "chunk_id string, text string"))
+    asked = spark.createDataFrame([("q", "one and two"), ("r", None), ("s", "three")], "qid string, query string")
+    got = {r.qid: [] for r in asked.collect()}
+    for r in explore.search_parts(rows, asked, 2, embed.dummy, deep=1).orderBy("qid", "rank").collect():
+        got[r.qid].append(r.chunk_id)
+    assert set(got["q"]) >= {"a", "b"} - {"c"} and got["s"] == ["c"] and got["r"] == []
+
+
+def test_hops(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(70)] + [(1, 1), (1, None)]
+    start = [("x", 0), ("x", 5), ("y", 7), ("z", None), ("x", 0)]
+
+    def reach(most):
+        out = {}
+        for q, i in start:
+            if i is not None:
+                out[q, i] = 0
+        for hop in range(1, most + 1):
+            for (q, i), h in list(out.items()):
+                if h == hop - 1:
+                    for a, b in edges:
+                        if a == i and b is not None:
+                            out.setdefault((q, b), hop)
+        return sorted((*k, h) for k, h in out.items())
+
+    links = spark.createDataFrame(edges, "path long, found long")
+    df = spark.createDataFrame(start, "qid string, item long")
+    for most in (0, 1, 3, 50):
+        assert sorted((r.qid, r.item, r.hop) for r in explore.hops(df, explore.linked(links), most).collect()) == reach(most)
+
+
+def test_semantic_chunks_are_bounded_and_whole(spark):
+    rng = random.Random(3)
+    said = lambda: " ".join("w" * rng.randrange(1, 9) for _ in range(rng.randrange(1, 30))) + rng.choice(".!?")
+    docs = [(i, " ".join(said() for _ in range(rng.randrange(1, 80)))) for i in range(6)] + [(7, None), (8, " "), (9, "v" * 1000 + "? b."), (0, "again. one.")]
+    got = chunk.semantic(spark.createDataFrame(docs, "doc_id int, text string"), size=200).orderBy("doc_id", "chunk_index").collect()
+    assert max(len(r.text) for r in got) < 2 * 200 + 60
+    for i in range(1, 6):
+        mine = [r for r in got if r.doc_id == str(i)]
+        assert " ".join(r.text for r in mine) == docs[i][1] and [r.chunk_index for r in mine] == list(range(len(mine)))
+    assert {r.doc_id for r in got} == {*map(str, range(6)), "9"} and "".join(r.text for r in got if r.doc_id == "9").replace(" ", "") == "v" * 1000 + "?b."
