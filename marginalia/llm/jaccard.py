@@ -92,15 +92,22 @@ def _reaches(overlap: Column, n: Column, least: tuple[int, int]) -> Column:
     return F.lit(least[1]) * overlap >= F.lit(least[0]) * n
 
 
-def links(texts: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
-    """Links (u, v) that join all of ``nodes`` (row, n, head: one row per set) as all pairs of a similarity of ``least`` do.
+def _left(rows: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """``row`` of the ``sets`` (digest, row, n) that the first block of columns leaves; ``rows`` (digest, head) are all rows, copies too.
 
-    ``texts`` (row, text) is read again for those nodes that are left after the first block of columns.
+    Only numbers are shuffled, never the lists of columns: a column is alone where the smallest and the largest of its sets, told apart by a
+    hash of their digests, are the same.
     """
-    met = nodes.select("row", F.explode("head").alias("column")).groupBy("column").agg(F.count("*").alias("rows"), F.min("row").alias("row"))
-    alone = met.where("rows = 1").groupBy("row").agg(F.count("*").alias("alone"))
-    left = nodes.join(alone, "row", "left").where(_reaches(F.col("n") - F.coalesce("alone", F.lit(0)), F.col("n"), least)).select("row")
-    full = stage(_columns(texts.join(stage(left, "jaccard-left"), "row", "left_semi"), shingle), "jaccard-columns")
+    key = F.xxhash64("digest")
+    met = rows.select(key.alias("key"), F.explode("head").alias("column")).groupBy("column").agg(F.min("key").alias("key"), F.max("key").alias("last"))
+    alone = met.where("key = last").groupBy("key").agg(F.count("*").alias("alone"))
+    bounded = sets.withColumn("key", key).join(alone, "key", "left").where(_reaches(F.col("n") - F.coalesce("alone", F.lit(0)), F.col("n"), least))
+    return bounded.select("row")
+
+
+def links(texts: DataFrame, left: DataFrame, shingle: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
+    """Links (u, v) that join the rows in ``left`` (row: one per set) as all pairs of a similarity of ``least`` do, given ``texts`` (row, text)."""
+    full = stage(_columns(texts.join(left, "row", "left_semi"), shingle), "jaccard-columns")
 
     entries = full.select("node", "n", F.explode("columns").alias("column"))
     shared = stage(entries.groupBy("column").agg(F.count("*").alias("rows")).where("rows > 1"), "jaccard-shared")
@@ -217,9 +224,9 @@ def classes(texts: DataFrame, shingle: int = SHINGLE, least: tuple[int, int] = L
     rows = stage(_sized(texts, shingle), "jaccard-sized")
 
     def by_set() -> DataFrame:
-        sets = stage(rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("row")), "jaccard-sets")
-        nodes = rows.select("row", "n", "head").join(sets.select("row"), "row", "left_semi")
-        linked = connected_components(links(texts, nodes, shingle, least))
+        sets = stage(rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("row"), F.min("n").alias("n")), "jaccard-sets")
+        left = stage(_left(rows, sets, least), "jaccard-left")
+        linked = connected_components(links(texts, left, shingle, least))
         return sets.join(linked, sets.row == linked.node, "left").select("digest", F.coalesce("component", "row").alias("class"))
 
     found = settle(spark, "jaccard-by-set", by_set)
