@@ -34,7 +34,7 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies (close fingerprints, or five-word shingles that are 0.8 alike) the document with the smallest id stays."""
+    """Of near copies (five-word shingles that are 0.8 alike) the document with the smallest id stays."""
     return near.keep(docs)
 
 
