@@ -5,7 +5,7 @@ shingles, and the product holds the overlap of every two rows. With sizes n and
 overlap >= num / (num + den) * (n + m), so at least num / den of a row's own columns have to be met.
 Columns are worked off in blocks, and what can no longer reach its bound goes:
 
-* The first block is a fixed part of all columns, one in HEAD by hash. A column that a single row has
+* The first block is a part of all columns by hash, HEAD times the share num / den leaves: a fifth at 0.9, two fifths at 0.8. A column that a single row has
   adds nothing to any pair; a row with more of those than its bound leaves goes. This takes out almost
   all texts that are no near copies, and only a part of their shingles is ever shuffled.
 * For the rows left the columns of one row are dropped, and rows are bounded again. Of a row's
@@ -44,7 +44,7 @@ from .components import connected_components
 from .simhash import shingle_hashes
 
 SHINGLE, LEAST = 3, (9, 10)
-HEAD, BLOCK, ENTRIES, COLUMNS = 5, 1024, 1 << 20, 2048
+HEAD, BLOCK, ENTRIES, COLUMNS = 2, 1024, 1 << 20, 2048
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -52,9 +52,10 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, shingle), np.uint64)).view(np.int64)
 
 
-def _head(columns: np.ndarray) -> np.ndarray:
-    """Those of the columns that are in the first block."""
-    return columns[columns.view(np.uint64) < np.uint64((1 << 64) // HEAD)]
+def _head(columns: np.ndarray, least: tuple[int, int]) -> np.ndarray:
+    """Those of the columns that are in the first block: HEAD times as large a part as a row may have to itself."""
+    num, den = least
+    return columns[columns.view(np.uint64) <= np.uint64(min((1 << 64) - 1, (1 << 64) * HEAD * (den - num) // den))]
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -62,7 +63,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
 
 
-def _sized(texts: DataFrame, shingle: int) -> DataFrame:
+def _sized(texts: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
     """row and id of ``texts`` with n, digest (of the set) and head (its columns of the first block)."""
     schema = T.StructType([*(f for f in texts.schema.fields if f.name != "text"), *T.StructType.fromDDL("n long, digest binary, head array<long>").fields])
 
@@ -70,7 +71,7 @@ def _sized(texts: DataFrame, shingle: int) -> DataFrame:
         for batch in text_blocks(batches):
             found = [shingle_set(t, shingle) for t in batch.column("text").to_pylist()]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found]
-            made = [pa.array([len(s) for s in found], pa.int64()), pa.array(digests, pa.binary()), _lists([_head(s) for s in found])]
+            made = [pa.array([len(s) for s in found], pa.int64()), pa.array(digests, pa.binary()), _lists([_head(s, least) for s in found])]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), *made], names=schema.names)
 
     return texts.mapInArrow(run, schema)
@@ -221,7 +222,7 @@ def classes(texts: DataFrame, shingle: int = SHINGLE, least: tuple[int, int] = L
     """row, id, n and class (a row number, one per component; null for texts without words) of each of ``texts`` (row, id, text)."""
     spark = texts.sparkSession
     small_batches(spark)
-    rows = stage(_sized(texts, shingle), "jaccard-sized")
+    rows = stage(_sized(texts, shingle, least), "jaccard-sized")
 
     def by_set() -> DataFrame:
         sets = stage(rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("row"), F.min("n").alias("n")), "jaccard-sets")
