@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marginalia.llm import bpe, chat, lm, near, packing, quality, secrets, sharding, simhash, topk
+from marginalia.llm import bpe, chat, impact, jaccard, lm, mining, near, packing, quality, secrets, sharding, simhash, topk
 from marginalia.llm.dedup import DigestIndex
 
 D = "/root/testdata/sf0.001"
@@ -25,7 +25,7 @@ def docs(spark, tmp_path_factory):
 
 CASES = {
     "encode": lambda s, d: bpe.encode(d, BYTES), "label": lambda s, d: DigestIndex(s, buckets=2).label(d), "assign": lambda s, d: sharding.assign(d, 5000), "scan": lambda s, d: secrets.scan(d), "redact": lambda s, d: secrets.redact(d),
-    "lm": lambda s, d: lm.score(d, PIECES), "simhash": lambda s, d: simhash.label(d), "quality": lambda s, d: quality.score(d, quality.train(d, s.read.parquet(f"{D}/labels.parquet"))),
+    "lm": lambda s, d: lm.score(d, PIECES), "simhash": lambda s, d: simhash.label(d), "jaccard": lambda s, d: jaccard.label(d), "quality": lambda s, d: quality.score(d, quality.train(d, s.read.parquet(f"{D}/labels.parquet"))),
 }
 
 
@@ -53,3 +53,10 @@ def test_turns_and_vectors(spark):
     assert paths.count() == turns.count()
     vectors = spark.read.parquet(f"{D}/embeddings.parquet").withColumns({n: F.lit(1) for n in NAMES if n != "vec_id"})
     assert topk.top_k(vectors).count() == 10 * vectors.where("vec_id % 100 = 0").count()
+    labelled = spark.read.parquet(f"{D}/embeddings.parquet")
+    assert mining.hard_negatives(labelled.withColumns({n: F.lit(1) for n in NAMES if n not in ("vec_id", "label")})).count() == mining.hard_negatives(labelled).count() > 0
+
+
+def test_items(spark, docs):
+    items = spark.read.parquet(f"{D}/benchmark.parquet").withColumns({n: F.lit(1) for n in NAMES})
+    assert impact.search(docs, items).exceptAll(impact.search(docs.select("doc_id", "text"), items.select("item_id", "text"))).count() == 0 < impact.search(docs, items).count()
