@@ -9,11 +9,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 _made: list[str] = []
+#: What the innermost ``settle`` of this thread has staged so far.
+_within: ContextVar[list[str] | None] = ContextVar("within", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     _made.append(path)
+    if (within := _within.get()) is not None:
+        within.append(path)
     return path
 
 
@@ -58,10 +63,17 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
 
 def settle(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> DataFrame:
     """What ``build`` makes, staged; the tables that it staged on the way are deleted."""
-    before = len(_made)
-    result = stage(build(), label)
-    passed = _made[before:-1]
-    del _made[before:-1]
+    made: list[str] = []
+    outer = _within.set(made)
+    try:
+        result = stage(build(), label)
+    finally:
+        _within.reset(outer)
+    *passed, last = made
+    if (within := _within.get()) is not None:
+        within.append(last)
+    for path in passed:
+        _made.remove(path)
     _delete(spark, passed)
     return result
 

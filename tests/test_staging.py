@@ -22,3 +22,25 @@ def test_settle_leaves_the_result_alone(spark):
     kept = staging.stage(spark.range(2), "before")
     assert staging.settle(spark, "end", build).count() == 4 and kept.count() == 2
     assert not os.path.exists(passed[0])
+
+
+def test_settle_in_two_threads(spark):
+    """Each deletes what it has staged itself, whatever the other does meanwhile."""
+    import threading
+
+    both, got = threading.Barrier(2), {}
+
+    def one(n):
+        def build():
+            df = staging.stage(spark.range(n), "inner")
+            both.wait()
+            more = staging.settle(spark, "nested", lambda: staging.stage(df, "deep"))
+            both.wait()
+            return more.union(df)
+
+        got[n] = staging.settle(spark, "outer", build)
+
+    threads = [threading.Thread(target=one, args=(n,)) for n in (3, 5)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert {n: df.count() for n, df in got.items()} == {3: 6, 5: 10}
