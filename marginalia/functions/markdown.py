@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,42 +21,55 @@ LEGACY_TAG = r"(?U)(?<!\w)#([\w/-]+)"
 FENCE = "```"
 #: An opened and closed link: its alias if that has more than white space, else its target.
 LINK = rf"\[\[(?!\]\])(?:{WS_CLASS}*([^\]|]*?){WS_CLASS}*\|{WS_CLASS}*|[^\]|]*\|{WS_CLASS}*([^\]]*?[^\]{WS_INSIDE}]){WS_CLASS}*|{WS_CLASS}*([^\]|]*?){WS_CLASS}*)\]\]"
-LINE_ENDS = r"\r\n|\r"
 #: Where a line ends: after every line end that Unicode knows.
 ENDS = r"\n\x0b\x0c\x1c-\x1e\u0085\u2028\u2029"
-LINE_STARTS = rf"(?<=[{ENDS}])|(?<=\r)(?!\n)"
-#: Text up to a line that begins with a fence, that line too, or the rest. Loops over single characters only, so that long texts need no deep stack.
-SEGMENT = rf"[\s\S]*?(?:\A|{LINE_STARTS})[{WS_INSIDE}&&[^\r{ENDS}]]*+{FENCE}[^\r{ENDS}]*+(?:\r\n|[\r{ENDS}])?|[\s\S]+"
+ONE_END = rf"(?:\r\n|[\r{ENDS}])"
+#: Lines that do not begin with a fence and then one that does, or the rest. Its outer loop gives nothing back, so that long texts need no deep stack.
+OPENS = rf"[{WS_INSIDE}&&[^\r{ENDS}]]*+{FENCE}"
+SEGMENT = rf"(?:(?!{OPENS})[^\r{ENDS}]*+{ONE_END})*+{OPENS}[^\r{ENDS}]*+{ONE_END}?|[\s\S]+"
+#: From an opening ``---`` to the next line that is ``---`` but for white space, where line ends are line feeds. Group 1 is what lies between.
+EDGE = rf"[{WS_INSIDE}&&[^\n]]*+"
+FRONT = rf"\A(?=[^\n]*+\n[^\n]*+\n)---[^\n]*+\n([\s\S]*?)(?<=\n){EDGE}---{EDGE}(?:\n|\z)"
+LEGACY_FRONT = rf"\A{EDGE}---{EDGE}\n([\s\S]*?)(?<=\n){EDGE}---{EDGE}(?:\n|\z)"
 
 
-def _fence_row(text: Column, open_row: Column) -> Column:
-    """Lines of ``text`` and the place of the closing ``---`` (0: none)."""
-    return F.when(open_row, F.array_position(F.transform(F.slice(F.split(text, "\n", -1), 2, 1 << 30), strip), "---")).otherwise(F.lit(0))
+def _once(value: Column, build: Callable[[Column], Column]) -> Column:
+    """``build`` of ``value``, which is worked out once however often ``build`` names it."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
+def _line_feeds(text: Column, ends: str) -> Column:
+    """``text`` with line feeds for its line ends. Plain replacements run faster than a pattern, and leave most texts as they are."""
+    for end in ("\r\n", *ends):
+        text = F.replace(text, F.lit(end), F.lit("\n"))
+    return text
 
 
 def front_matter(text: Column | str, legacy: bool = False) -> Column:
     """Struct of the front matter's source (null: none) and the body.
 
-    New: any text that begins with ``---``, at least 3 lines; lines are joined by line feeds and a final
-    one is lost. Legacy: a byte order mark goes, line ends become line feeds, the first line has to be
-    ``---`` alone, and the body's leading line feeds go.
+    New: any text that begins with ``---``, at least 3 lines; lines end where Unicode says, are joined by line
+    feeds, and a final one is lost. Legacy: byte order marks go, line ends become line feeds, the first line has
+    to be ``---`` alone, and the body's leading line feeds go. Null stays null.
     """
     whole = _col(text)
     if legacy:
-        whole = F.regexp_replace(F.regexp_replace(whole, "^﻿", ""), LINE_ENDS, "\n")
-        rows = F.split(whole, "\n", -1)
-        opened = strip(F.element_at(rows, 1)) == "---"
-        at = _fence_row(whole, opened)
-        body = F.ltrim(F.array_join(F.slice(rows, at.cast("int") + 2, F.size(rows)), "\n"), F.lit("\n"))
+        whole = _line_feeds(F.ltrim(whole, F.lit("\ufeff")), "\r")
+        plain, pattern = whole, LEGACY_FRONT
     else:
-        plain = F.regexp_replace(F.regexp_replace(whole, LINE_ENDS, "\n"), "\n$", "")
-        rows = F.split(plain, "\n", -1)
-        opened = F.startswith(whole, F.lit("---")) & (F.size(rows) >= 3)
-        at = _fence_row(plain, opened)
-        body = F.array_join(F.slice(rows, at.cast("int") + 2, F.size(rows)), "\n")
-    found = opened & (at > 0)
-    source = strip(F.array_join(F.slice(rows, 2, F.greatest(F.lit(0), at.cast("int") - 1)), "\n"))
-    return F.struct(F.when(found, source).alias("source"), F.when(found, body).otherwise(whole).alias("body"))
+        lines = _line_feeds(whole, "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029")
+        lines = _once(lines, lambda t: F.when(F.endswith(t, F.lit("\n")), F.left(t, F.length(t) - 1)).otherwise(t))
+        plain, pattern = F.when(F.startswith(whole, F.lit("---")), lines).otherwise(F.lit("")), FRONT
+
+    def parts(t: Column) -> Column:
+        def cut(head: Column) -> Column:
+            body = F.substring(t, F.length(head) + 1, F.length(t))
+            found = F.struct(strip(F.regexp_extract(head, pattern, 1)).alias("source"), (F.ltrim(body, F.lit("\n")) if legacy else body).alias("body"))
+            return F.when(head != "", found).otherwise(F.struct(F.lit(None).cast("string").alias("source"), whole.alias("body")))
+
+        return _once(F.regexp_extract(t, pattern, 0), cut)
+
+    return _once(plain, parts)
 
 
 def parse_front_matter(source: str | None, legacy: bool = False) -> dict:
@@ -66,7 +79,7 @@ def parse_front_matter(source: str | None, legacy: bool = False) -> dict:
     try:
         import yaml
 
-        loaded = yaml.safe_load(source)
+        loaded = yaml.load(source, getattr(yaml, "CSafeLoader", yaml.SafeLoader))
         return loaded if isinstance(loaded, dict) else {}
     except Exception:
         return {} if legacy else _plain_pairs(source)
@@ -129,21 +142,21 @@ def sections(text: Column | str, min_level: int = 2) -> Column:
     """The text cut at headings of ``min_level`` or deeper: array of (heading, body).
 
     Without such a heading it is one section, as it is; else the text before the first is a section where it
-    is not blank. Higher headings stay in the bodies. Fences do not count here.
+    is not blank. Higher headings stay in the bodies. Fences do not count here; the characters 1 and 2 go.
     """
-    whole = F.translate(F.regexp_replace(_col(text), LINE_ENDS, "\n"), "\x01\x02", "")
+    whole = F.replace(F.replace(_line_feeds(_col(text), "\r"), F.lit("\x01"), F.lit("")), F.lit("\x02"), F.lit(""))
     higher = f"#{{1,{min_level - 1}}}" if min_level > 1 else "(?!)#"
     pattern = rf"(?md)^(?:(#{{{min_level},6}}{WS_CLASS}+.+?){WS_CLASS}*$|({higher}{WS_CLASS}+.+?{WS_CLASS}*$))"
-    marked = F.replace(F.regexp_replace(whole, pattern, "\x01$1\x02$2"), F.lit("\x01\x02"), F.lit(""))
-    parts = F.split(marked, "\x01", -1)
     none = F.lit(None).cast("string")
-    cut = F.transform(
-        F.slice(parts, 2, F.size(parts)),
-        lambda p: F.struct(strip(F.substring_index(p, "\x02", 1)).alias("heading"), strip(F.substring_index(p, "\x02", -1)).alias("body")),
-    )
-    before = strip(F.element_at(parts, 1))
-    lead = F.array(F.struct(none.alias("heading"), before.alias("body")))
-    return F.when(F.size(parts) == 1, F.array(F.struct(none.alias("heading"), whole.alias("body")))).otherwise(F.concat(F.when(before == "", F.slice(lead, 1, 0)).otherwise(lead), cut))
+    section = lambda heading, body: F.struct(heading.alias("heading"), body.alias("body"))
+
+    def cut(parts: Column) -> Column:
+        rest = F.transform(F.slice(parts, 2, F.size(parts)), lambda p: section(strip(F.substring_index(p, "\x02", 1)), strip(F.substring_index(p, "\x02", -1))))
+        before = F.filter(F.array(section(none, strip(F.element_at(parts, 1)))), lambda s: s["body"] != "")
+        return F.when(F.size(parts) == 1, F.array(section(none, F.element_at(parts, 1)))).otherwise(F.concat(before, rest))
+
+    marked = F.replace(F.regexp_replace(whole, pattern, "\x01$1\x02$2"), F.lit("\x01\x02"), F.lit(""))
+    return _once(F.split(marked, "\x01", -1), cut)
 
 
 def classify(file_name: Column | str, kind: Column | str | None, tags: Column | str, legacy: bool = False) -> Column:
