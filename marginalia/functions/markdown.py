@@ -50,7 +50,8 @@ def front_matter(text: Column | str, legacy: bool = False) -> Column:
 
     New: any text that begins with ``---``, at least 3 lines; lines end where Unicode says, are joined by line
     feeds, and a final one is lost. Legacy: byte order marks go, line ends become line feeds, the first line has
-    to be ``---`` alone, and the body's leading line feeds go. Null stays null.
+    to be ``---`` alone, and the body's leading line feeds go. Null stays null. Texts that a Python function made have to come
+    through ``mapInArrow`` or a written table: Spark puts no Python function into a lambda.
     """
     whole = _col(text)
     if legacy:

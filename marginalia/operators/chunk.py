@@ -15,6 +15,7 @@ from . import embed
 from .search import cosine
 
 SIZE, OVERLAP = 1200, 150
+HELD_CHARS = 1 << 22
 
 
 def fixed(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -35,19 +36,29 @@ def fixed(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, doc_id: str
     return rows.select(named, "doc_id", "chunk_index", F.col("c.start").alias("start_char"), F.col("c.end").alias("end_char"), F.col("c.text").alias("text"), *keep)
 
 
+def in_sections(text: str | None, size: int, overlap: int) -> Iterator[dict]:
+    """The header-aware chunks of one text, with the number of their section."""
+    section = -1
+    for c in header_chunks(text or "", size, overlap):
+        section += c["chunk_idx"] == 0
+        yield {"section": section, **c}
+
+
 def by_headers(docs: DataFrame, size: int = SIZE, overlap: int = 200, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Sections by heading, cut by paragraphs, lines and words; chunk_idx and chunk_total count within a section."""
+    """Sections by heading, cut by paragraphs, lines and words; chunk_idx and chunk_total count within a section. A null text has no chunks."""
     schema = "doc_id string, section int, section_heading string, chunk_idx int, chunk_total int, text string"
+    columns = ["doc_id", "section", "section_heading", "chunk_idx", "chunk_total", "text"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
+            rows, held = [], 0
             for i, t in zip(frame["doc_id"], frame["text"], strict=True):
-                section = -1
-                for c in header_chunks(t or "", size, overlap):
-                    section += c["chunk_idx"] == 0
-                    rows.append({"doc_id": i, "section": section, **c})
-            yield pd.DataFrame(rows, columns=["doc_id", "section", "section_heading", "chunk_idx", "chunk_total", "text"])
+                rows += ({"doc_id": i, **c} for c in in_sections(t, size, overlap))
+                held += len(t or "")
+                if held > HELD_CHARS:  # chunks are passed on before the batch is done
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=columns)
 
     return docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, schema)
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as tx
 
+from .models import with_model
+
 HEADER_TOKENS, BREAK_TOKENS = 2, 1  # estimates of the header and of the blank line after a chunk
 # The wording of prompts.
 RENDER_HEAD = (
@@ -78,17 +79,18 @@ def extractive(query: str, context: str) -> str:
     return best.strip() if wanted & set(re.findall(r"[a-z0-9]+", best.lower())) else "I don't know."
 
 
-def answer(contexts: DataFrame, generate: Callable[[str, str], str] = extractive, qid: str = "qid") -> DataFrame:
-    """qid, query, answer and abstained. ``generate`` takes a query and its rendered context."""
-    kind = contexts.schema[qid].dataType.simpleString()
+def answer(contexts: DataFrame, generate: Callable[[str, str], str] = extractive, qid: str = "qid", error: str | None = None, **limits: float) -> DataFrame:
+    """qid, query, answer and abstained. ``generate`` takes a query and its rendered context.
+
+    It is asked one query at a time and again after a failure (``limits`` as in ``models.with_model``). A query that fails in the end has a null answer,
+    which abstains from nothing, and its reason in the column ``error``; without such a column it fails the job. A null query or context has a null answer.
+    """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = [(generate(q, c) or "").strip() for q, c in zip(frame["query"], frame["rendered_context"], strict=True)]
-            yield pd.DataFrame({qid: frame[qid], "query": frame["query"], "answer": texts})
+    def asked(queries: list[str], texts: list[str]) -> list[str]:
+        return [(generate(q, c) or "").strip() for q, c in zip(queries, texts, strict=True)]
 
-    made = contexts.select(qid, "query", "rendered_context").mapInPandas(run, f"{qid} {kind}, query string, answer string")
-    return made.withColumn("abstained", tx.abstained("answer"))
+    made = with_model(contexts.select(qid, "query", "rendered_context"), asked, "string", ("query", "rendered_context"), "answer", error, items=1, **limits)
+    return made.select(qid, "query", "answer", tx.abstained("answer").alias("abstained"), *([error] if error else []))
 
 
 def prompt(context: Column | str, query: Column | str, template: str = QUESTION) -> Column:

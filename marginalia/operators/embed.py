@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import _col, cache_key
 
+from .models import with_model
+
 DIM = 128
 DIGEST = 32
 
@@ -26,17 +27,9 @@ def dummy(rows: DataFrame, text: str = "text", dim: int = DIM) -> DataFrame:
     return rows.withColumn("vector", digest_vector(text, dim))
 
 
-def by_model(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], text: str = "text") -> DataFrame:
-    """Vectors of an external model, a batch of texts at a time, in order."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(vector=embed(frame[text].tolist()))
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*rows.schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType()))])
-    return rows.mapInPandas(run, schema)
+def by_model(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], text: str = "text", **limits: float) -> DataFrame:
+    """Vectors of an external model, a list of texts at a time. ``limits`` bound and repeat its requests, and ``error`` names a column for failures; see ``models.with_model``."""
+    return with_model(rows, embed, "array<double>", (text,), "vector", **limits)
 
 
 def missing(rows: DataFrame, cache: DataFrame, model: str, dim: int | None = None, text: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import markdown as md
 from marginalia.functions import text as tx
 from marginalia.operators import cells, chunk, context, embed, evaluate, search, select
-from marginalia.plans import explore, rag
+from marginalia.plans import explore, rag, tables
 from marginalia.plans.config import load_profile
 from marginalia.plans.staging import new_path, stage
 from marginalia.sources import files, listing, notes, store
@@ -212,6 +212,15 @@ def context_pack(spark, d):
     return packed(spark, d).select("qid", "chunk_id", "rank", "score", F.col("cost").cast("long").alias("cost"), "used")
 
 
+@query(f"WITH {PACK_SQL} SELECT qid, chunk_id, rank, score, cost, used FROM p")
+def pack_in_sql(spark, d):
+    """The same as context_pack, by a table function called from SQL."""
+    tables.register(spark)
+    rows = table(spark, d, "documents").select((F.col("doc_id") % 10).alias("qid"), F.col("doc_id").cast("string").alias("chunk_id"), "text", F.round((F.col("doc_id") * 37 % 101) / 101, 6).alias("score"), F.col("doc_id").alias("n"))
+    rows.createOrReplaceTempView("pack_in_sql_rows")
+    return spark.sql("SELECT qid, chunk_id, rank, score, cost, used FROM pack_context(TABLE(pack_in_sql_rows) PARTITION BY qid ORDER BY (score DESC, n), budget => 1800, max_chunks => 10)")
+
+
 @query(f"WITH {PACK_SQL} SELECT qid, rank, chunk_id, doc_id, uri, substr(text, 1, 240) AS quote, score FROM p")
 def citations(spark, d):
     return context.citations(packed(spark, d))

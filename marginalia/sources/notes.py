@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -170,12 +171,13 @@ def legacy_notes(spark: SparkSession, root: str) -> DataFrame:
     if "://" not in root and not os.path.isdir(root):
         raise FileNotFoundError(f"no such vault: {root}")
 
-    @F.pandas_udf("string")
-    def forgiving(content: pd.Series) -> pd.Series:
-        return content.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+    def forgiving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None if b is None else b.decode("utf-8", "ignore") for b in batch.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(texts, pa.string())], names=["path", "_t"])
 
     read = read_bytes(list_files(spark, [root]).where(extension("path") == ".md"), 1 << 31)
-    front = read.withColumn("_f", md.front_matter(forgiving("content"), legacy=True))
+    front = read.select("path", "content").mapInArrow(forgiving, "path string, _t string").withColumn("_f", md.front_matter("_t", legacy=True))
     tagged = front.withColumn("_tags", md.normalize_tags(F.get_json_object(md.front_matter_json("_f.source", legacy=True), "$.tags"), legacy=True))
     name = F.element_at(F.split("path", "/"), -1)
     return tagged.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as tx
@@ -18,7 +18,7 @@ JSONL = f"chunk struct<{CHUNK.replace(' string', ':string').replace(' int', ':in
 EVAL = "qid string, query string, relevant_chunk_ids array<string>"
 LEGACY_EVAL = "query string, expected_files array<string>"
 CACHE = "key string, model string, vector array<double>"
-PREVIEW, RAW_PREVIEW = 600, 300
+PREVIEW, RAW_PREVIEW, SNIPPET = 600, 300, 200
 DUMPED = ("source_path", "file_name", "root_dir", "relative_dir", "is_ai", "is_moc", "section_heading", "frontmatter_tags", "inline_tags")
 
 
@@ -52,15 +52,40 @@ class IndexTable:
         return self.rows().count()
 
 
-def read_index_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """An exported index, chunk fields as columns. Without a file it is empty, blank lines are left out; lines that are no JSON
-    fail the read, with the file and the first 200 characters of the line (a line has no number where a file is cut)."""
+def _parsed(lines: DataFrame) -> DataFrame:
+    """``lines`` (value and others) without blank ones, with ``r``, the line as a record, and ``bad``, whether it is none."""
+    rows = lines.where(~tx.is_blank("value")).withColumn("r", F.from_json("value", f"{JSONL}, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    return rows.withColumn("bad", F.col("r._bad").isNotNull() | F.col("r.chunk").isNull())
+
+
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line and snippet of the lines of an exported index that are no record. Lines count from 0 in their file, blank ones too.
+
+    A large file is read in splits, whose tasks do not know how many lines lie before them. So lines are counted by split, and the sums of the
+    splits before are added to a line's place in its own.
+    """
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.input_file_block_start().alias("split"), F.monotonically_increasing_id().alias("at"))
+    splits = lines.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    found = _parsed(lines).where("bad").select("file", "split", "at", F.substring("value", 1, SNIPPET).alias("snippet"))
+    return found.join(splits, ["file", "split"]).select("file", (F.col("before") + F.col("at") - F.col("first")).alias("line"), "snippet")
+
+
+def read_index_jsonl(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
+    """An exported index, chunk fields as columns. Without a file it is empty, blank lines are left out.
+
+    Lines that are no record fail the call, with the file, the line (from 0) and its first 200 characters; that is one more pass over the
+    text. Without ``check`` they fail the read when it comes to them, without a line number.
+    """
     if not exists(spark, path):
         return spark.createDataFrame([], f"{CHUNK}, vector array<double>")
-    lines = spark.read.text(path).select("value", F.input_file_name().alias("file")).where(~tx.is_blank("value"))
-    rows = lines.select("value", "file", F.from_json("value", f"{JSONL}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
-    told = F.raise_error(F.concat(F.lit("not a line of an index: "), "file", F.lit(": "), F.substring("value", 1, 200)))
-    good = rows.select(F.when(F.col("r._bad").isNotNull() | F.col("r.chunk").isNull(), told.cast("string")).alias("_told"), "r.chunk.*", "r.vector")
+    rows = _parsed(spark.read.text(path).select("value", F.input_file_name().alias("file")))
+    if check and not rows.where("bad").isEmpty():
+        one = bad_lines(spark, path).orderBy("file", "line").first()
+        raise ValueError(f"not a line of an index: {one.file}, line {one.line}: {one.snippet}")
+    told = F.raise_error(F.concat(F.lit("not a line of an index: "), "file", F.lit(": "), F.substring("value", 1, SNIPPET)))
+    good = rows.select(F.when(F.col("bad"), told.cast("string")).alias("_told"), "r.chunk.*", "r.vector")
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     return good.where("_told IS NULL").drop("_told").withColumn("metadata", F.coalesce("metadata", none))
 

@@ -137,7 +137,7 @@ def test_index_table_and_interchange(spark, tmp_path):
     same = ["chunk_id", "doc_id", "chunk_index", "start_char", "end_char", "text", "vector"]
     assert sorted(map(repr, back.select(same).collect())) == sorted(map(repr, index.rows().select(same).collect()))
     (tmp_path / "bad.jsonl").write_text('{"chunk": {"chunk_id": 1}, "vector": [1]}\n\nnot json\n')
-    with pytest.raises(Exception, match="bad.jsonl: not json"):
+    with pytest.raises(Exception, match="bad.jsonl, line 2: not json"):
         store.read_index_jsonl(spark, str(tmp_path / "bad.jsonl")).collect()
     assert store.read_index_jsonl(spark, str(tmp_path / "none.jsonl")).count() == 0
 
@@ -187,3 +187,25 @@ def test_streaming_ingest(spark, vault, tmp_path):
     got = spark.read.parquet(index)
     assert sorted(re.sub(".*/", "", r.uri) for r in got.collect()) == ["a.txt", "b.txt", "c.txt"]
     assert got.where(F.size("vector") == 128).count() == 3
+
+
+def test_a_bad_line_has_its_number(spark, tmp_path):
+    """Files of several splits, blank lines among them."""
+    good = '{"chunk": {"chunk_id": "c", "text": "' + "x" * 500 + '"}, "vector": [1.0]}\n'
+    bad = {("one", 1701): "{broken\n", ("one", 3): '{"vector": [1.0]}\n', ("two", 999): "[]\n"}
+    for name, n in (("one", 2000), ("two", 1000)):
+        (tmp_path / name).write_text("".join(bad.get((name, i), "\n" if i % 7 == 0 else good) for i in range(n)))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        found = store.bad_lines(spark, str(tmp_path))
+        assert {(r.file.rpartition("/")[2], r.line): r.snippet + "\n" for r in found.collect()} == bad
+        with pytest.raises(ValueError, match=r"one, line 3: \{\"vector"):
+            store.read_index_jsonl(spark, str(tmp_path))
+        with pytest.raises(Exception, match="not a line of an index"):
+            store.read_index_jsonl(spark, str(tmp_path), check=False).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
