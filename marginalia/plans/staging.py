@@ -55,7 +55,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(found)
 
 
-def _delete(spark: SparkSession, paths: list[str]) -> None:
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds; nothing where there is none."""
+    system, found = _file_system(spark, path)
+    return [s.getPath().getName() for s in system.listStatus(found)] if system.exists(found) else []
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         system, found = _file_system(spark, path)
         system.delete(found, True)
@@ -74,11 +80,11 @@ def settle(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> D
         within.append(last)
     for path in passed:
         _made.remove(path)
-    _delete(spark, passed)
+    delete(spark, passed)
     return result
 
 
 def clear(spark: SparkSession) -> None:
     """Delete what this session has staged; call it when results that read it are written."""
-    _delete(spark, _made)
+    delete(spark, _made)
     _made.clear()
