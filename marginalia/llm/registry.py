@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, impact, jaccard, lm, mining, packing, quality, secrets, sharding, simhash, topk
 from .common import fold_column, table
-from .dedup import DigestIndex
+from .dedup import DigestIndex, buckets_for
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +24,9 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = DigestIndex(spark)
-    labels = index.label(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    index = DigestIndex(spark, buckets=buckets_for(docs.count()))
+    labels = index.label(docs)
     index.close()
     return labels.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.llm import registry
-from marginalia.llm.dedup import DigestIndex
+from marginalia.llm.dedup import DigestIndex, buckets_for
+from marginalia.sources.versions import ConcurrentWrite, create_once
 
 
 def brute(rows):
@@ -102,6 +103,75 @@ def test_index_layout(spark):
     assert about["Num Buckets"] == "4" and "digest" in about["Bucket Columns"] and "digest" in about["Sort Columns"]
 
 
+def texts(spark, lo, hi):
+    return spark.createDataFrame([(i, f"text {i}") for i in range(lo, hi)], "doc_id long, text string")
+
+
+def test_many_batches_are_compacted(spark):
+    """Files of a bucket stay bounded, and answers are those of an index that was never compacted."""
+    index, plain = DigestIndex(spark, buckets=2, most_files=3), DigestIndex(spark, buckets=2, most_files=1000)
+    for n in range(10):
+        docs = texts(spark, 20 * n, 20 * n + 30)
+        got = [sorted((r.doc_id, r.keep_id, r.kept, r.group_size) for r in i.label(docs, batch=str(n)).collect()) for i in (index, plain)]
+        assert got[0] == got[1] and sum(kept for _, _, kept, _ in got[0]) == (30 if n == 0 else 20)
+        assert len(index.rows().inputFiles()) <= 3 * 2
+    assert index.generation > 1 and plain.generation == 0
+    assert sorted(index.rows().collect()) == sorted(plain.rows().collect()) and index.rows().count() == 210
+    again = sorted(map(str, index.label(texts(spark, 180, 210), batch="9").collect()))
+    assert again == sorted(map(str, plain.label(texts(spark, 180, 210), batch="9").collect()))
+
+
+def test_opened_before_another_compacts(spark):
+    first = DigestIndex(spark, buckets=2)
+    first.label(texts(spark, 0, 10))
+    other = DigestIndex(spark, first.path)
+    other.compact()
+    other.label(texts(spark, 10, 20))
+    assert first.keep(texts(spark, 0, 25)).count() == 5
+    assert first.generation == other.generation == 1
+
+
+def test_a_compaction_that_was_killed_does_not_count(spark):
+    index = DigestIndex(spark, buckets=2)
+    index.label(texts(spark, 0, 10))
+    index.rows().where("false").write.parquet(index._folder(1))
+    index.rows().limit(3).write.mode("append").parquet(index._folder(1))
+    again = DigestIndex(spark, index.path)
+    assert again.rows().count() == 10
+    again.compact()
+    assert sorted(again.rows().collect()) == sorted(index.rows().collect()) and len(again.rows().inputFiles()) == 2
+
+
+def test_one_writer_at_a_time(spark):
+    index = DigestIndex(spark, buckets=2)
+    index.label(texts(spark, 0, 10), batch="one")
+    assert create_once(spark, f"{index.path}.writer", "killed")
+    with pytest.raises(ConcurrentWrite, match="killed"):
+        index.label(texts(spark, 0, 20), batch="two")
+    assert index.rows().count() == 10
+    assert index.keep(texts(spark, 0, 15), batch="killed").count() == 5  # its own batch takes it over
+    assert index.keep(texts(spark, 0, 20), batch="two").count() == 5
+    assert create_once(spark, f"{index.path}.writer", "killed")
+    index.release()
+    assert index.keep(texts(spark, 0, 20)).count() == 0
+
+
+def test_plan_meets_the_index_once_and_in_order(spark):
+    """One scan of the index by a sort-merge join; after compaction its side is neither shuffled nor sorted."""
+    index = DigestIndex(spark, buckets=2)
+    index.label(texts(spark, 0, 10))
+    index.compact()
+    index.spark.range(10).selectExpr("sha2(string(id), 256) AS digest").write.parquet(f"{index.path}-groups")
+    with index._in_order():
+        plan = index._met(spark.read.parquet(f"{index.path}-groups"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and plan.count("FileScan") == 2
+    assert len(re.findall(r"\bSort \[", plan)) == 1 and plan.count("Exchange") == 1
+
+
+def test_bucket_numbers():
+    assert buckets_for(0) == 64 and buckets_for(64_000_001) == 65 and buckets_for(10**12) == 100_000
+
+
 def test_query_against_brute_force(spark):
     d = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
