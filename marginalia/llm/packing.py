@@ -32,7 +32,7 @@ from marginalia.plans.staging import stage
 from .common import fresh, small_batches, text_blocks, with_fields
 
 GROUP_PIECES = 2048
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 MEMO_WORDS = 1 << 17
 #: Letters of the first Unicode blocks and a stop, where the library's rules surely part the two.
 PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[,.]").fullmatch
@@ -124,6 +124,8 @@ def token_pieces(docs: DataFrame, path: str, limit: int = 4096, end_id: int = 2,
                 ends = np.cumsum([0, *map(len, held)])
                 columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(held), pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
+            del ids, held, columns
+            pa.default_memory_pool().release_unused()  # workers live on, and what they keep adds up
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -157,9 +159,16 @@ def pack(pieces: DataFrame, limit: int = 4096, group_pieces: int = GROUP_PIECES)
     """``pieces`` (length at most ``limit``) with sequence_id and offset.
 
     Sequences are gapless from offset 0. The pieces are written once, as their number
-    decides how many groups there are.
+    decides how many groups there are. Nested columns, such as the ids, are not handed to the groups but joined to their result.
     """
     small_batches(pieces.sparkSession)
+    nested = [f.name for f in pieces.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    if nested:
+        (row,) = fresh(pieces, "row")
+        kept = [f.name for f in pieces.schema.fields if f.name.lower() not in ("sequence_id", "offset")]
+        whole = stage(pieces.select(*kept, F.monotonically_increasing_id().alias(row)), "pieces-whole")
+        placed = stage(pack(whole.drop(*nested), limit, group_pieces).select(row, "sequence_id", "offset"), "pieces-placed")
+        return whole.join(placed, row).select(*kept, "sequence_id", "offset")
     staged = stage(pieces, "pieces")
     groups = max(1, -(-staged.count() // group_pieces))
     (name,) = fresh(staged, "group")
