@@ -14,10 +14,8 @@ gives no rows; other columns are left out of the pieces.
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,18 +30,33 @@ from marginalia.plans.staging import stage
 from .common import fresh, small_batches, text_blocks, with_fields
 
 GROUP_PIECES = 2048
-BLOCK_BYTES = 1 << 19
-MEMO_WORDS = 1 << 17
+#: Bytes of text that are tokenised at a time, and of known words and their ids that a task keeps.
+BLOCK_BYTES, MEMO_BYTES = 1 << 21, 32 << 20
+#: Words that the library is handed at a time.
+WORD_BATCH = 4096
 #: Letters of the first Unicode blocks and a stop, where the library's rules surely part the two.
-PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[,.]").fullmatch
+PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[,.]?$"
+STOPS = [",", ".", ""]
+#: How a vocabulary of words spells the end of one.
+WORD_END = "</w>"
+
+
+def spread(flat: np.ndarray, counts: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the words ``codes`` in a row, and where each ends; ``flat`` has those of word 0, 1, ... in turn, ``counts`` how many each has."""
+    first = np.cumsum(counts) - counts
+    lengths = counts[codes]
+    ends = np.cumsum(lengths)
+    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first[codes] - (ends - lengths), lengths)
+    return flat[at], ends
 
 
 class WordIds:
-    """Token ids of words, each tokenised once until the bounded memo is full.
+    """Token ids of words, each tokenised once until the bounded memo, a table of words and their ids, is full.
 
     The vocabulary drops white space and no token spans it, so a text's ids are those of its
     words in turn. Letters and a comma or full stop after them are tokens apart too, so a plain
-    word is known with either.
+    word is known with either. A word of letters ends with the first token spelled as the end
+    of a word, so many of them are handed to the library as one text.
     """
 
     def __init__(self, path: str):
@@ -53,24 +66,50 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.memo: dict[str, bytes] = {}
-        self.stops = dict(zip(",.", self.encode([",", "."]), strict=True))
-
-    def encode(self, words: list[str]) -> Iterator[bytes]:
-        """The ids of each word, four bytes each."""
-        for lo in range(0, len(words), 4096):
-            for e in self.library.encode_batch_fast(words[lo : lo + 4096], add_special_tokens=False):
-                yield array("i", e.ids).tobytes()
-
-    def of(self, words: list[str]) -> list[bytes]:
-        stops, memo = self.stops, self.memo
-        cut = [w[:-1] if w[-1:] in stops and PLAIN(w) else w for w in words]
-        new = list({w for w in cut if w not in memo})
-        if len(memo) + len(new) > MEMO_WORDS:
-            memo.clear()
-            new = list(set(cut))
-        memo.update(zip(new, self.encode(new), strict=True))
-        return [memo[c] if len(c) == len(w) else memo[c] + stops[w[-1]] for c, w in zip(cut, words, strict=True)]
+        known = self.library.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(known.values()) + 1, bool)
+        self.ends_word[[i for token, i in known.items() if token.endswith(WORD_END)]] = True
+        self.start_anew()
+
+    def start_anew(self) -> None:
+        self.words, (self.flat, self.counts) = pa.array(STOPS, pa.string()), self.encode(STOPS)
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``words`` in a row, and how many each has."""
+        each = [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        return np.concatenate(each), np.array([len(x) for x in each])
+
+    def encode_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of plain letters."""
+        ids, _ = self.encode([" ".join(words)])
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) == len(words) and ends[-1] == len(ids):
+            return ids, np.diff(ends, prepend=0)
+        return self.encode(words)  # a vocabulary that spells the end of a word otherwise
+
+    def learn(self, words: pa.Array, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> None:
+        found = [encode(words.slice(lo, WORD_BATCH).to_pylist()) for lo in range(0, len(words), WORD_BATCH)]
+        self.words = pa.concat_arrays([self.words, words])
+        self.flat = np.concatenate([self.flat, *(x for x, _ in found)])
+        self.counts = np.concatenate([self.counts, *(x for _, x in found)])
+
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``words`` in a row, and how many each has."""
+        if self.words.nbytes + self.flat.nbytes + self.counts.nbytes > MEMO_BYTES:
+            self.start_anew()
+        plain = pc.match_substring_regex(words, PLAIN)
+        cut = pc.if_else(plain, pc.ascii_rtrim(words, ",."), words).dictionary_encode()
+        new = cut.dictionary.filter(pc.invert(pc.is_in(cut.dictionary, self.words)))
+        letters = pc.match_substring_regex(new, PLAIN)
+        self.learn(new.filter(letters), self.encode_letters)
+        self.learn(new.filter(pc.invert(letters)), self.encode)
+
+        codes = np.full((len(words), 2), STOPS.index(""))
+        codes[:, 0] = pc.index_in(cut.dictionary, self.words).to_numpy()[cut.indices.to_numpy()]
+        for i, stop in enumerate(STOPS[:2]):
+            codes[pc.and_(plain, pc.ends_with(words, stop)).to_numpy(zero_copy_only=False), 1] = i
+        flat, ends = spread(self.flat, self.counts, codes.ravel())
+        return flat, np.diff(ends[1::2], prepend=0)
 
 
 @lru_cache(maxsize=4)
@@ -87,16 +126,9 @@ def tokenise(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     texts = pc.fill_null(texts, "")
     lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
     words = lists.flatten().dictionary_encode()
-    codes = words.indices.to_numpy(zero_copy_only=False)
-    ids = word_ids(path).of(words.dictionary.to_pylist())
-    counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-    flat = np.frombuffer(b"".join(ids), np.int32)
-    first = np.cumsum(counts) - counts
-    lengths = counts[codes]
-    ends = np.cumsum(lengths)
-    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first[codes] - (ends - lengths), lengths)
+    flat, ends = spread(*word_ids(path).of(words.dictionary.cast(pa.string())), words.indices.to_numpy(zero_copy_only=False))
     offsets = lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists.offsets) else 0)
-    return flat[at], np.concatenate([[0], ends])[offsets]
+    return flat, np.concatenate([[0], ends])[offsets]
 
 
 def token_pieces(docs: DataFrame, path: str, limit: int = 4096, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from marginalia.llm import packing, registry
@@ -69,6 +70,53 @@ def test_pieces_hold_each_id_once(spark):
         assert all(r.doc_tokens == len(want) for r in own)
 
 
+class Counting:
+    """The library, which counts the texts that it is handed."""
+
+    def __init__(self, library):
+        self.library, self.texts = library, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.library.encode_batch_fast(texts, **options)
+
+
+def test_words_are_handed_over_together_and_once(monkeypatch):
+    words = ["".join("abcdefghij"[int(c)] for c in str(i)) for i in range(150_000)]
+    known = packing.WordIds(PATH)
+    known.library = counting = Counting(known.library)
+    monkeypatch.setattr(packing, "word_ids", lambda path: known)
+    for _ in range(2):
+        for lo in range(0, len(words), 10_000):
+            packing.tokenise(pa.array([" ".join(words[lo : lo + 10_000]) + "."]), PATH)
+    assert counting.texts < 100
+
+
+def test_words_against_library(monkeypatch):
+    rng = random.Random(6)
+    lib = Tokenizer.from_file(PATH)
+    alphabet = ["a", "B", "é", "Ö", "ß", "÷", "×", "ª", "'", "s", ",", ".", "1", "e\u0301", "\u0301", "İ", "日", "<|", "|>", "\x1c", "</w>"]
+    texts = [" ".join("".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 7))) for _ in range(30)) for _ in range(300)]
+    texts += [None, "", ",", ".", ". ,", "a,. b.,", "É", "e\u0301 \u0301a", "a <|endoftext|> b.", "abc " * 50]
+    want = [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+    def check(kind):
+        ids = []
+        for lo in range(0, len(texts), 40):
+            flat, at = packing.tokenise(pa.array(texts[lo : lo + 40], kind), PATH)
+            ids += [flat[a:b].tolist() for a, b in zip(at, at[1:])]
+        assert ids == want
+
+    packing.word_ids.cache_clear()
+    check(pa.string())
+    check(pa.large_string())
+    monkeypatch.setattr(packing, "MEMO_BYTES", 2000)  # full after each block
+    check(pa.string())
+    packing.word_ids(PATH).ends_word[:] = False  # a vocabulary without marks
+    check(pa.string())
+    packing.word_ids.cache_clear()
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack_documents(docs, PATH).count() == 0
