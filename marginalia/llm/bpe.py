@@ -1,6 +1,7 @@
 """Byte-level BPE encoding and decoding with a segment tree over adjacent pair ranks.
 
-``encode`` adds the token ids of every whole text, ``decode`` the text of every id list.
+``encode`` adds the token ids of every whole text, ``decode`` the text of every id list. The
+new words of a block of texts are merged together, their trees side by side in a matrix.
 The vocabulary is a public tokenizer file (byte-level BPE, no normaliser); its path is
 a parameter. Ids equal those of the tokenizers library with add_special_tokens=False.
 
@@ -25,13 +26,16 @@ from pyspark.sql import types as T
 
 from .common import put_columns, small_batches, text_blocks, with_fields
 
-#: Fixed value: the split pattern of this family of byte-level vocabularies.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: the split pattern of this family of byte-level vocabularies. Letters, the most frequent, are tried first;
+#: the order matters only among branches that can start alike.
+PATTERN = r" ?\p{L}+|'(?:s|t|re|ve|m|ll|d)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Outside these ranges the Unicode tables of regex and of the tokenizers library may
 #: differ, so a text with such a character is split by the library's own pre-tokenizer.
 UNSURE = r"[^\x00-՗‐-⁤ぁ-ゖァ-ヺ一-鿿가-힣]"
 NO_PAIR = 1 << 62
 MEMO_WORDS, MEMO_CHARS = 1 << 18, 64
+#: Bytes of text whose words are met together, and words whose trees are kept side by side; fewer than FEW have a tree each.
+BLOCK_BYTES, TREES, FEW = 1 << 20, 4096, 64
 
 
 def byte_characters() -> list[str]:
@@ -101,6 +105,65 @@ def merge(symbols: list[int], ranks: dict[int, int], merged: list[int], width: i
     return [s for s in symbols if s >= 0]
 
 
+class Forest:
+    """``merge`` for many words at a time: the trees of equally large words are rows of one matrix.
+
+    Symbols stand at places 1 to n of their row, between places that hold ``none``, which no pair
+    has, so that the ends of a word need no case of their own.
+    """
+
+    def __init__(self, ranks: dict[int, int], merged: list[int], byte_ids: list[int], width: int):
+        self.pairs = np.array([*sorted(ranks), NO_PAIR])
+        self.rank = np.array([*(ranks[p] for p in self.pairs[:-1].tolist()), 0])
+        self.merged, self.byte_ids = np.array(merged, np.int64), np.array(byte_ids, np.int64)
+        self.width, self.none = width, width - 1
+
+    def leaves(self, left: np.ndarray, right: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+        """rank * size + place of each pair, or NO_PAIR."""
+        pairs = left * self.width + right
+        at = np.searchsorted(self.pairs, pairs)
+        return np.where(self.pairs[at] == pairs, self.rank[at] * size + places, NO_PAIR)
+
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``words`` in a row, and how many each has."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        size = 1 << int(lengths.max()).bit_length()  # more than the longest
+        places = np.arange(size + 1)
+        symbols = np.full((len(words), size + 1), self.none)
+        symbols[(places > 0) & (places <= lengths[:, None])] = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        trees = np.full((len(words), 2 * size), NO_PAIR)
+        trees[:, size:] = self.leaves(symbols[:, :-1], symbols[:, 1:], places[:-1], size)
+        half = size
+        while half > 1:
+            trees[:, half // 2 : half] = np.minimum(trees[:, half : 2 * half : 2], trees[:, half + 1 : 2 * half : 2])
+            half //= 2
+        after, before = np.tile(places + 1, (len(words), 1)), np.tile(places - 1, (len(words), 1))
+
+        rows = np.arange(len(words))
+        while True:
+            root = trees[rows, 1]
+            more = root != NO_PAIR
+            rows = rows[more]
+            if not len(rows):
+                break
+            rank, i = np.divmod(root[more], size)
+            h, j = before[rows, i], after[rows, i]
+            k = after[rows, j]
+            new = self.merged[rank]
+            symbols[rows, i], symbols[rows, j] = new, self.none
+            after[rows, i], before[rows, k] = k, i
+            trees[rows, size + h] = self.leaves(symbols[rows, h], new, h, size)
+            trees[rows, size + i] = self.leaves(new, symbols[rows, k], i, size)
+            trees[rows, size + j] = NO_PAIR
+            up = [size + h, size + i, size + j]
+            while up[0][0] > 1:
+                up = [x >> 1 for x in up]
+                for x in up:
+                    trees[rows, x] = np.minimum(trees[rows, 2 * x], trees[rows, 2 * x + 1])
+        kept = symbols != self.none
+        return symbols[kept].astype(np.int32), kept.sum(axis=1)
+
+
 class Vocabulary:
     """One tokenizer file, ready for encoding and decoding."""
 
@@ -109,11 +172,12 @@ class Vocabulary:
             spec = json.load(f)
         ids = spec["model"]["vocab"]
         pairs = [p if isinstance(p, list) else p.split(" ") for p in spec["model"]["merges"]]
-        self.width = max(ids.values()) + 1
+        self.width = max(ids.values()) + 2  # one more than the ids, for no symbol
         self.ranks = {ids[a] * self.width + ids[b]: r for r, (a, b) in enumerate(pairs)}
         self.merged = [ids[a + b] for a, b in pairs]
         shown = byte_characters()
         self.byte_ids = [ids[c] for c in shown]
+        self.forest = Forest(self.ranks, self.merged, self.byte_ids, self.width)
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         back = {c: bytes([b]) for b, c in enumerate(shown)}
         self.bytes_of = [b""] * (max([self.width - 1, *self.special.values()]) + 1)
@@ -140,34 +204,69 @@ class Vocabulary:
     def encode_word(self, word: str) -> list[int]:
         return merge([self.byte_ids[b] for b in word.encode()], self.ranks, self.merged, self.width)
 
-    def encode(self, text: str, out: array) -> None:
-        """Append the ids of ``text`` to ``out``."""
-        start = 0
+    def parts(self, text: str) -> list[list[str] | int]:
+        """``text`` as lists of words and the ids of special tokens between them."""
+        found, start = [], 0
         for m in self.at_special.finditer(text) if self.at_special else ():
-            out.extend(chain.from_iterable(map(self.memo.__getitem__, self.split(text[start : m.start()]))))
-            out.append(self.special[m[0]])
+            found += [self.split(text[start : m.start()]), self.special[m[0]]]
             start = m.end()
-        out.extend(chain.from_iterable(map(self.memo.__getitem__, self.split(text[start:] if start else text))))
+        return [*found, self.split(text[start:] if start else text)]
+
+    def encode_parts(self, parts: list[list[str] | int], out: array) -> None:
+        for part in parts:
+            if isinstance(part, int):
+                out.append(part)
+            else:
+                out.frombytes(b"".join(map(self.memo.__getitem__, part)))
+
+    def encode(self, text: str, out: array) -> None:
+        """Append the ids of ``text`` to ``out``."""
+        self.encode_parts(self.parts(text), out)
+
+    def encode_all(self, texts: Iterable[str | None], out: array) -> list[int]:
+        """Append the ids of all ``texts`` to ``out``; where each begins and ends there. New words are merged together."""
+        split = [self.parts(text) if text else [] for text in texts]
+        self.memo.learn(set(chain.from_iterable(part for parts in split for part in parts if not isinstance(part, int))))
+        ends = [len(out)]
+        for parts in split:
+            self.encode_parts(parts, out)
+            ends.append(len(out))
+        return ends
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
 class Memo(dict):
-    """Ids of words met in this task; bounded, as it starts anew when full."""
+    """Ids of words met in this task, four bytes each; bounded, as it starts anew when full."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.encode = vocabulary.encode_word
+        self.encode, self.forest = vocabulary.encode_word, vocabulary.forest
 
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.encode(word)
+    def __missing__(self, word: str) -> bytes:
+        ids = array("i", self.encode(word)).tobytes()
         if len(word) <= MEMO_CHARS:
             if len(self) >= MEMO_WORDS:
                 self.clear()
             self[word] = ids
         return ids
 
+    def learn(self, words: set[str]) -> None:
+        """Know ``words``, but for long ones."""
+        new = [w for w in words if w not in self and len(w) <= MEMO_CHARS]
+        if len(self) + len(new) > MEMO_WORDS:
+            self.clear()
+            new = [w for w in words if len(w) <= MEMO_CHARS]
+        if len(new) < FEW:
+            return
+        new.sort(key=len)
+        for lo in range(0, len(new), TREES):
+            some = new[lo : lo + TREES]
+            ids, counts = self.forest.merge([w.encode() for w in some])
+            held, ends = ids.tobytes(), [0, *(4 * np.cumsum(counts)).tolist()]
+            self.update((w, held[a:b]) for w, (a, b) in zip(some, pairwise(ends), strict=True))
+
 
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
@@ -185,12 +284,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(path)
-        for batch in text_blocks(batches, text):
-            flat, ends = array("i"), [0]
-            for value in batch.column(text).to_pylist():
-                if value:
-                    known.encode(value, flat)
-                ends.append(len(flat))
+        for batch in text_blocks(batches, text, BLOCK_BYTES):
+            flat = array("i")
+            ends = known.encode_all(batch.column(text).to_pylist(), flat)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32) if flat else [], pa.int32()))
             made = {ids: lists}
             if decoded:
