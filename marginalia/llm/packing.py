@@ -31,7 +31,7 @@ from .common import fresh, small_batches, text_blocks, with_fields
 
 GROUP_PIECES = 2048
 #: Bytes of text that are tokenised at a time, and of known words and their ids that a task keeps.
-BLOCK_BYTES, MEMO_BYTES = 1 << 21, 32 << 20
+BLOCK_BYTES, MEMO_BYTES = 1 << 22, 16 << 20
 #: Words that the library is handed at a time.
 WORD_BATCH = 4096
 #: Letters of the first Unicode blocks and a stop, where the library's rules surely part the two.
@@ -99,13 +99,16 @@ class WordIds:
             self.start_anew()
         plain = pc.match_substring_regex(words, PLAIN)
         cut = pc.if_else(plain, pc.ascii_rtrim(words, ",."), words).dictionary_encode()
-        new = cut.dictionary.filter(pc.invert(pc.is_in(cut.dictionary, self.words)))
-        letters = pc.match_substring_regex(new, PLAIN)
-        self.learn(new.filter(letters), self.encode_letters)
-        self.learn(new.filter(pc.invert(letters)), self.encode)
+        rows = pc.fill_null(pc.index_in(cut.dictionary, self.words), -1).to_numpy().copy()
+        letters = pc.match_substring_regex(cut.dictionary, PLAIN).to_numpy(zero_copy_only=False)
+        for some, encode in ((letters, self.encode_letters), (~letters, self.encode)):
+            new = some & (rows < 0)
+            first = len(self.words)
+            self.learn(cut.dictionary.filter(pa.array(new)), encode)
+            rows[new] = np.arange(first, len(self.words))
 
         codes = np.full((len(words), 2), STOPS.index(""))
-        codes[:, 0] = pc.index_in(cut.dictionary, self.words).to_numpy()[cut.indices.to_numpy()]
+        codes[:, 0] = rows[cut.indices.to_numpy()]
         for i, stop in enumerate(STOPS[:2]):
             codes[pc.and_(plain, pc.ends_with(words, stop)).to_numpy(zero_copy_only=False), 1] = i
         flat, ends = spread(self.flat, self.counts, codes.ravel())
