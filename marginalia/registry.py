@@ -6,6 +6,8 @@ engines alike.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from marginalia.functions import text as tx
 from marginalia.operators import cells, chunk, context, embed, evaluate, search, select
 from marginalia.plans import explore, rag, tables
 from marginalia.plans.config import load_profile
-from marginalia.plans.staging import new_path, stage
+from marginalia.plans.staging import delete, new_path, stage
 from marginalia.sources import files, listing, notes, store
 from marginalia.sources.versions import VersionedTable
 from marginalia.streaming import sync
@@ -23,6 +25,7 @@ QUERIES, ORACLES = {}, {}
 SQL_WS = "(" + " || ".join(f"chr({c})" for c in map(ord, tx.WS)) + ")"
 RE_WS = "[" + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in tx.WS_RANGES) + "]"
 QUESTION = "the retrieval of en la is quality"
+SHARES = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -400,6 +403,23 @@ def binary_and_decoding(spark, d):
     return rows.select("doc_id", files.looks_binary("c").alias("is_binary"), files.decoded("c").alias("decoded"))
 
 
+def of_files(spark, d, label, use):
+    """What ``use`` makes of a folder in which each document is a file in a folder of its own, beside the mark that all are written.
+
+    A small file and its folder take a block of the disk each, five times the table in all. So the documents are written, used and deleted
+    a share at a time; ``use`` gives rows that need the folder no more.
+    """
+    folder, made = new_path(spark, label), []
+    name = F.concat(F.lit("n="), F.coalesce(F.col("doc_id").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")))
+    for n in range(SHARES):
+        files.write_texts(table(spark, d, "documents").where(F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)) == n).select(name.alias("folder"), "text"), folder)
+        if n == SHARES - 1:
+            files.mark_written(folder)
+        made.append(use(folder))
+        delete(spark, [folder])
+    return reduce(DataFrame.unionAll, made)
+
+
 @query(
     f"""SELECT doc_id, text || chr(10) AS text, '.txt' AS ext, 'filesystem' AS source, CAST(strlen(text) + 1 AS BIGINT) AS size_bytes, sha256(text || chr(10)) AS content_hash
     FROM documents WHERE trim(text, {SQL_WS}) <> '' AND strlen(text) < {files.MAX_BYTES}"""
@@ -483,11 +503,9 @@ def knn_cells(spark, d):
 )
 def files_listed(spark, d):
     """All documents written to a folder each and listed; the writer's own mark is a file without content and with a leading underscore."""
-    folder = new_path(spark, "files-listed")
-    table(spark, d, "documents").select("text", F.col("doc_id").alias("n")).write.partitionBy("n").text(folder)
+    found = of_files(spark, d, "files-listed", lambda folder: stage(listing.list_files(spark, [folder]), "files-listed"))
     name = F.regexp_replace(files.file_name("path"), "^part-.*[.]txt$", "part.txt")
-    shown = listing.list_files(spark, [folder]).where(~F.endswith("path", F.lit(".crc")))
-    return shown.select(F.expr("try_cast(regexp_extract(path, '/n=([0-9]+)/', 1) AS BIGINT)").alias("doc_id"), name.alias("name"), "size")
+    return found.select(F.expr("try_cast(regexp_extract(path, '/n=([0-9]+)/', 1) AS BIGINT)").alias("doc_id"), name.alias("name"), "size")
 
 
 CHANGED_SQL = "CASE WHEN doc_id % 5 = 0 THEN text || ' edited' ELSE text END"

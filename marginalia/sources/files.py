@@ -11,11 +11,12 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as afs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as tx
-from marginalia.plans.staging import stage
+from marginalia.plans.staging import delete, new_path, stage
 
 from .listing import list_files
 
@@ -47,6 +48,38 @@ def read_bytes(files: DataFrame, most: int = MAX_BYTES) -> DataFrame:
     return files.mapInArrow(run, schema)
 
 
+def write_texts(rows: DataFrame, into: str, folder: str = "folder", text: str = "text") -> None:
+    """Each row's text and a line end as a file of its own, in the folder below ``into`` that the row names; a null text is empty.
+
+    Spark's own writer makes a checksum file beside each file, moves all of them one by one on the driver, and joins rows of one folder. Here tasks
+    write and move a file when it is whole; a task that is run again, over the same rows, replaces what it has written.
+    """
+    aside = new_path(rows.sparkSession, "unfinished")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n = TaskContext.get(), 0
+        (system, top), (_, own) = afs.FileSystem.from_uri(into), afs.FileSystem.from_uri(aside)
+        system.create_dir(own)
+        for batch in batches:
+            for where, what in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                system.create_dir(f"{top}/{where}")
+                with system.open_output_stream(unfinished := f"{own}/{task.taskAttemptId()}-{n}") as f:
+                    f.write((what or b"") + b"\n")
+                system.move(unfinished, f"{top}/{where}/part-{task.partitionId():05d}-{n}.txt")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    rows.select(folder, text).mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+    delete(rows.sparkSession, [aside])
+
+
+def mark_written(into: str) -> None:
+    """Spark's mark of a folder that is written, a file without content."""
+    system, top = afs.FileSystem.from_uri(into)
+    system.create_dir(top)
+    system.open_output_stream(f"{top}/_SUCCESS").close()
+
+
 def file_name(path: Column | str) -> Column:
     return F.element_at(F.split(tx._col(path), "/"), -1)
 
