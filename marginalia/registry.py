@@ -426,9 +426,7 @@ def of_files(spark, d, label, use):
 )
 def ingest_files(spark, d):
     """All documents written to a folder each, as text files, and loaded from there."""
-    folder = new_path(spark, "ingest-files")
-    table(spark, d, "documents").select("text", F.col("doc_id").alias("n")).write.partitionBy("n").text(folder)
-    docs, _ = files.load_documents(spark, [folder])
+    docs = of_files(spark, d, "ingest-files", lambda folder: files.load_documents(spark, [folder])[0])
     return docs.select(F.regexp_extract("uri", "/n=([0-9]+)/", 1).cast("long").alias("doc_id"), "text", "ext", "source", "size_bytes", "content_hash")
 
 

@@ -16,12 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as tx
-from marginalia.plans.staging import delete, new_path, stage
+from marginalia.plans.staging import delete, new_path, settle, stage
 
 from .listing import list_files
 
 EXTENSIONS = (".md", ".txt", ".py", ".json", ".yaml", ".yml")
 MAX_BYTES, SNIFF_BYTES, CONTROL_SHARE = 2_000_000, 4096, 0.02
+BLOCK_BYTES = 1 << 22
 OUTCOMES = ("skipped_hidden", "skipped_extension", "skipped_empty", "skipped_too_large", "failed", "loaded")
 
 
@@ -31,21 +32,37 @@ def read_bytes(files: DataFrame, most: int = MAX_BYTES) -> DataFrame:
 
     schema = T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())])
 
+    def one(path: str, size: int | None) -> tuple[bytes | None, str | None]:
+        if (size or 0) > most:
+            return None, None
+        try:
+            system, path = afs.FileSystem.from_uri(path)
+            with system.open_input_stream(path) as f:
+                return f.read(), None
+        except Exception as e:  # the report counts whatever fails
+            return None, f"{type(e).__name__}: {e}"[:500]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):  # a file at a time, so memory is bounded by ``most``
-                row = batch.slice(i, 1)
-                content = error = None
-                if (row.column("size")[0].as_py() or 0) <= most:
-                    try:
-                        system, path = afs.FileSystem.from_uri(row.column("path")[0].as_py())
-                        with system.open_input_stream(path) as f:
-                            content = f.read()
-                    except Exception as e:  # the report counts whatever fails
-                        error = f"{type(e).__name__}: {e}"[:500]
-                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([content], pa.binary()), pa.array([error], pa.string())], names=[f.name for f in schema.fields])
+            begin, got, held = 0, [], 0
+
+            def block() -> pa.RecordBatch:
+                contents, errors = zip(*got, strict=True)
+                return pa.RecordBatch.from_arrays([*batch.slice(begin, len(got)).columns, pa.array(contents, pa.binary()), pa.array(errors, pa.string())], names=[f.name for f in schema.fields])  # noqa: B023
 
-    return files.mapInArrow(run, schema)
+            for path, size in zip(batch.column("path").to_pylist(), batch.column("size").to_pylist(), strict=True):
+                if got and held + (size or 0) > BLOCK_BYTES:  # so memory is bounded by a block or by one file
+                    yield block()
+                    begin, got, held = begin + len(got), [], 0
+                got.append(one(path, size))
+                held += len(got[-1][0] or b"")
+            if got:
+                yield block()
+
+    # dealt to as many tasks as shuffles have: names are few bytes, so that Spark would leave all files to one task; by a hash of the
+    # path, as it takes rows that a join or grouping has dealt by path for dealt already
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(tasks, F.xxhash64("path")).mapInArrow(run, schema)
 
 
 def write_texts(rows: DataFrame, into: str, folder: str = "folder", text: str = "text") -> None:
@@ -150,16 +167,23 @@ def load_documents(spark: SparkSession, inputs: Iterable[str], extensions: Itera
     A document: doc_id, text, source, uri, title, ext, mtime, size_bytes, content_hash, collection, and a note's
     frontmatter (JSON), frontmatter_tags, inline_tags, classification.
     """
-    from .notes import load_notes
+    from .notes import NOTE_COLUMNS, load_notes
 
     extensions = tuple(extensions)
-    files = list_files(spark, inputs, recursive)
-    read = stage(load_text(read_bytes(files)).drop("content"), "files")  # each file is read once
-    plain = read.where(extension("path") != ".md").select("path", "size", "mtime", "error", F.col("raw").alias("text"))
-    vault = stage(load_text(read_bytes(list_files(spark, [vault_root]))).drop("content"), "vault") if vault_root else read
-    notes = load_notes(read.where(extension("path") == ".md"), vault, vault_root)
-    both = notes.unionByName(plain, allowMissingColumns=True)
-    judged = stage(both.withColumn("outcome", outcome("text", extensions, failed=F.col("error").isNotNull())), "judged")
+
+    def build() -> DataFrame:
+        files = list_files(spark, inputs, recursive)
+        read = stage(load_text(read_bytes(files)).drop("content"), "files")  # each file is read once
+        plain = read.where(extension("path") != ".md").select("path", "size", "mtime", "error", F.col("raw").alias("text"))
+        markdown = read.where(extension("path") == ".md")
+        if markdown.isEmpty():  # neither the vault nor its joins are needed
+            both = plain.withColumns({name: F.lit(None).cast(kind) for name, kind in NOTE_COLUMNS.items()})
+        else:
+            vault = stage(load_text(read_bytes(list_files(spark, [vault_root]))).drop("content"), "vault") if vault_root else read
+            both = load_notes(markdown, vault, vault_root).unionByName(plain, allowMissingColumns=True)
+        return both.withColumn("outcome", outcome("text", extensions, failed=F.col("error").isNotNull()))
+
+    judged = settle(spark, "judged", build)
     hashed = judged.where("outcome = 'loaded'").withColumn("content_hash", tx.content_hash("text"))
     docs = hashed.select(
         tx.doc_id("path", "content_hash").alias("doc_id"), "text", F.lit("filesystem").alias("source"), F.col("path").alias("uri"), stem("path").alias("title"), extension("path").alias("ext"),

@@ -232,7 +232,7 @@ def _whole(begun: DataFrame) -> DataFrame:
 def list_files(spark: SparkSession, inputs: Iterable[str], recursive: bool = True) -> DataFrame:
     """path, size and mtime of every distinct file of ``inputs``: folders, files, or patterns relative to here."""
     spark.dataSource.register(Files)
-    # inputs may overlap; the shuffle also spreads the files of a large folder over tasks
+    # inputs may overlap
     return _whole(spark.read.format(NAME).options(**_options(inputs, recursive)).load()).groupBy("path").agg({"size": "max", "mtime": "max"}).toDF("path", "size", "mtime")
 
 

@@ -20,6 +20,8 @@ from marginalia.functions import markdown as md
 from marginalia.functions import text as tx
 
 DEPTH = 4
+#: What ``load_notes`` adds to a file.
+NOTE_COLUMNS = {"frontmatter": "string", "frontmatter_tags": "array<string>", "inline_tags": "array<string>", "classification": "string"}
 EMBED = r"!\[\[([^\]]+)\]\]"
 # Suffixes of notes to write out and of attachments to name.
 NOTE_SUFFIXES = (".md", ".txt")
