@@ -11,6 +11,7 @@ As a stream it has no memory of its own: each micro-batch lists everything as it
 
 from __future__ import annotations
 
+import errno
 import glob
 import json
 import os
@@ -84,13 +85,15 @@ def _entries(place: Place) -> Iterator[tuple[str, int | None, int | None]]:
         with os.scandir(path) as found:  # a name at a time, as folders may be wide
             for f in found:
                 name = os.path.realpath(f.path) if f.is_symlink() and not place.remote else head + f.path
-                if f.is_dir():
+                try:
+                    folder, about = f.is_dir(), f.stat() if f.is_file() else None
+                except OSError as e:
+                    if e.errno not in (errno.ENOENT, errno.ELOOP):  # gone meanwhile, or a link in a circle
+                        raise
+                    continue
+                if folder:
                     yield name, None, None
-                elif f.is_file():
-                    try:
-                        about = f.stat()
-                    except FileNotFoundError:  # gone meanwhile
-                        continue
+                elif about:
                     yield name, about.st_size, about.st_mtime_ns // 1000
 
 

@@ -46,6 +46,16 @@ def test_tasks_do_not_follow_folders(spark, tmp_path):
     assert sum(1 for p in first if p.deep) == 151
 
 
+def test_links_that_lead_nowhere(spark, tmp_path):
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "a").write_text("a")
+    for top in (tmp_path, tmp_path / "f"):
+        os.symlink("self", top / "self")
+        os.symlink("none", top / "broken")
+    os.symlink("f/a", tmp_path / "again")
+    assert [r.path for r in listing.list_files(spark, [str(tmp_path)]).collect()] == [str(tmp_path / "f" / "a")]
+
+
 def test_a_file_per_row(spark, tmp_path):
     rows = [("a", "one"), ("a", "two\nlines"), ("b/c", "é"), ("b/c", None), ("d", "")] * 3
     files.write_texts(spark.createDataFrame(rows, "folder string, text string").repartition(3), f"file://{tmp_path}/in")
